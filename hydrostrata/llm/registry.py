@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merge_replay, sharding, token_orc
+from . import merge_replay, minhash, quality_qda, sharding, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
+    "op3_quality_qda": quality_qda.op3_quality_qda,
+    "op4_toxicity_nb_linear": toxicity.op4_toxicity_nb_linear,
+    "op5_minmax_hash": minhash.op5_minmax_hash,
     "op8_token_orc": token_orc.op8_token_orc,
     "op9_merge_replay": merge_replay.op9_merge_replay,
 }
