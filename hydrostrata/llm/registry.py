@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merge_replay, minhash, quality_qda, sharding, token_orc, toxicity
+from . import merge_replay, minhash, quality_crf, quality_qda, run_index, sharding, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
     "op3_quality_qda": quality_qda.op3_quality_qda,
     "op4_toxicity_nb_linear": toxicity.op4_toxicity_nb_linear,
     "op5_minmax_hash": minhash.op5_minmax_hash,
+    "op6_line_crf": quality_crf.op6_line_crf,
+    "op7_run_index": run_index.op7_run_index,
     "op8_token_orc": token_orc.op8_token_orc,
     "op9_merge_replay": merge_replay.op9_merge_replay,
 }
