@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merge_replay, minhash, quality_crf, quality_qda, run_index, sharding, token_orc, toxicity
+from . import decontaminate, merge_replay, minhash, quality_crf, quality_qda, run_index, sharding, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_run_index": run_index.op7_run_index,
     "op8_token_orc": token_orc.op8_token_orc,
     "op9_merge_replay": merge_replay.op9_merge_replay,
+    "op10_qgram_bands": decontaminate.op10_qgram_bands,
 }
 
 ORACLE_SQL: dict[str, str] = {}
