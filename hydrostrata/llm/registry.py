@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, merge_replay, minhash, quality_crf, quality_qda, run_index, sharding, token_orc, toxicity
+from . import decontaminate, lm_score, merge_replay, minhash, quality_crf, quality_qda, run_index, sharding, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
+    "op2_cross_entropy_difference": lm_score.op2_cross_entropy_difference,
     "op3_quality_qda": quality_qda.op3_quality_qda,
     "op4_toxicity_nb_linear": toxicity.op4_toxicity_nb_linear,
     "op5_minmax_hash": minhash.op5_minmax_hash,

@@ -489,12 +489,13 @@ def removal_digest(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with the repeated bytes gone from text; a character that a span cuts through goes whole."""
     _, spans = repeated_spans(docs)
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), "_tk": F.hash("text")})
-    joined = keyed.join(spans.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "spans"), ["_id", "_tk"], "left").select(*docs.columns, F.col("spans").alias("_spans"))
+    columns = docs.columns
+    keyed = docs.withColumns({"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), "__row_tk": F.hash("text")})
+    joined = keyed.join(spans.select(F.col("doc_id").alias("__row_id"), F.col("tk").alias("__row_tk"), "spans"), ["__row_id", "__row_tk"], "left").select(*docs.columns, F.col("spans").alias("__spans"))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x if s is None else cut(x.encode(), s)[0].decode(errors="ignore") for x, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], docs.columns)
+        texts = [x if s is None else cut(x.encode(), s)[0].decode(errors="ignore") for x, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
 
     return map_batches(joined, fn, docs.schema)
 

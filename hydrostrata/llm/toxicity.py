@@ -151,8 +151,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: i
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def with_toxicity(docs: DataFrame, model: tuple[np.ndarray | None, float], keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (doc_id) and the score of every row."""
+def with_toxicity(docs: DataFrame, model: tuple[np.ndarray | None, float], keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns keep (doc_id) and the score of every row, under the given name."""
     keep = keep or ["doc_id"]
     coef, bias = model
     coef = None if coef is None else coef.astype(np.float32)
@@ -166,10 +166,10 @@ def with_toxicity(docs: DataFrame, model: tuple[np.ndarray | None, float], keep:
                 if len(g):
                     s[k] += coef[np.unique(g)].sum(dtype=np.float64)
         score = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, name])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(docs, fn, f"{schema}, score double")
+    return map_batches(docs, fn, f"{schema}, `{name}` double")
 
 
 def op4_toxicity_nb_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
