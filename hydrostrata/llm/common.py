@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -40,28 +41,40 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn on every Arrow batch; empty batches are skipped."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, limit: int = 8 << 20) -> DataFrame:
+    """fn on every Arrow batch, in parts of about `limit` bytes; empty ones are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
+            for part in sliced(batch, limit):
+                if (out := fn(part)) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
-    """Join Arrow batches until `column` holds about `limit` bytes, so that per-block work is amortised in bounded memory."""
+def sliced(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Zero-copy parts of a batch of about `limit` bytes at most (one row at least)."""
+    if batch.num_rows > 1 and batch.get_total_buffer_size() and batch.nbytes > limit:
+        half = batch.num_rows // 2
+        yield from sliced(batch.slice(0, half), limit)
+        yield from sliced(batch.slice(half), limit)
+    elif batch.num_rows:
+        yield batch
+
+
+def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Cut and join Arrow batches to about `limit` bytes, so that per-block work is amortised in bounded memory."""
+    pool = pa.default_memory_pool()
     held, size = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.column(column).nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+        for part in sliced(batch, limit):
+            if held and size + part.nbytes > limit:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+                pool.release_unused()
+            held.append(part)
+            size += part.nbytes
     if held:
         yield pa.Table.from_batches(held)
 

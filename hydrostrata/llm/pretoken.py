@@ -21,8 +21,8 @@ from .common import ragged
 #: White space besides the space, by Unicode or by Python: beside a space it makes a run.
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
 _COMMON, _RARE = "\n\t\r", [c for c in _OTHER if c not in "\n\t\r"]
-#: A worker forgets its pieces beyond this many; the results do not depend on it.
-MAX_PIECES = 900_000
+#: A worker keeps this many pieces, the first it met; it forgets later ones after their block. The results do not depend on it.
+MAX_PIECES = 180_000
 
 
 def _has_run(text: str) -> bool:
@@ -59,9 +59,6 @@ class PieceEncoder:
 
     def __init__(self, pattern: str, encode_new: Callable[[list[str]], list[list[int]]]):
         self.pattern, self.encode_new = regex.compile(pattern), encode_new
-        self.clear()
-
-    def clear(self) -> None:
         self.at: dict[str | tuple[str], int] = {}
         self.pieces = _Store()
         self.match_at: dict[str, int] = {}
@@ -98,10 +95,17 @@ class PieceEncoder:
             self._learn(list(dict.fromkeys(new)))
         return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
 
+    def _forget(self, n: int, n_ids: int, n_matches: int, n_match_ids: int) -> None:
+        """Back to the given sizes; dicts keep the order of insertion."""
+        for _ in range(len(self.at) - n):
+            self.at.popitem()
+        for _ in range(len(self.match_at) - n_matches):
+            self.match_at.popitem()
+        self.pieces.n, self.pieces.n_ids, self.matches.n, self.matches.n_ids = n, n_ids, n_matches, n_match_ids
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        if self.pieces.n > MAX_PIECES:
-            self.clear()
+        known = self.pieces.n, self.pieces.n_ids, self.matches.n, self.matches.n_ids
         collects = gc.isenabled()
         gc.disable()  # millions of small strings, no cycles
         try:
@@ -127,5 +131,7 @@ class PieceEncoder:
             ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(counts)]
             return ids, np.diff(ends, prepend=0)
         finally:
+            if self.pieces.n > MAX_PIECES:
+                self._forget(*known)
             if collects:
                 gc.enable()

@@ -54,13 +54,13 @@ def library_encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID, block_bytes: int = 16 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID, block_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, ids) in the order of the input's partitions."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
-        for table in blocks(batches, "text", block_bytes):
+        for table in blocks(batches, block_bytes):
             ids, lens = encoder.encode(texts(table["text"]))
             ends = np.cumsum(lens)
             ids = np.insert(ids.astype(np.int32), ends, end_id)
