@@ -1,4 +1,4 @@
-"""Queries of the domain operators by name, each with its SQL."""
+"""Queries of the domain operators by name, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import series_queries, spatial_queries, table_queries
+
+_MODULES = (series_queries, spatial_queries, table_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
