@@ -148,13 +148,13 @@ def replayer(path: str) -> tuple[Ranks, PieceEncoder]:
     return _STATE[path]
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, block_bytes: int = 3 << 20) -> DataFrame:
     """doc_id and ids (int array) of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder = replayer(path)
-        for table in blocks(batches, "text", block_bytes):
+        for table in blocks(batches, block_bytes):
             ids, counts = encoder.encode(texts(table["text"]))
             ends = np.concatenate([[0], np.cumsum(counts)])
             for a in range(0, table.num_rows, 2000):
@@ -180,21 +180,24 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, data binary")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
+def round_trip(docs: DataFrame, path: str, block_bytes: int = 3 << 20, text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text (and the decoded text), in one Python pass."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            n = np.diff(ids.offsets.to_numpy())
-            ends = np.concatenate([[0], np.cumsum(n)]).tolist()
-            sums = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            data = [hashlib.sha256(x).hexdigest() for x in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sums), pa.array(data)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decode(encode(docs, path), path).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        ranks, encoder = replayer(path)
+        for table in blocks(batches, block_bytes):
+            ids, counts = encoder.encode(texts(table["text"]))
+            data = ranks.decode(ids, counts)
+            ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            ids = ids.astype("<u4")
+            columns = [pa.concat_arrays(table["doc_id"].chunks), pa.array(counts), pa.array([hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]), pa.array([hashlib.sha256(x).hexdigest() for x in data])]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if text:
+                columns, names = [*columns, pa.array([x.decode() for x in data])], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * text)
 
 
 def op9_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
