@@ -173,7 +173,7 @@ def send_keys(docs: DataFrame, n_parts: int) -> DataFrame:
             parts.append(p)
             doc_parts.append(None)
             blobs.append(pack(check_of(ask[o]), asker[o][:1], narrow(np.diff(asker[o], prepend=asker[o][:1])), shared[o].astype("u1")))
-        for p, d, blob in _answers(part_of(key[several], n_parts), check_of(key[several]), who[several], np.zeros(int(several.sum()), "u1"), n_parts):
+        for p, d, blob in _answers(part_of(key[several], n_parts), check_of(key[several]), who[several], n_parts):
             parts.append(p)
             doc_parts.append(d)
             blobs.append(blob)
@@ -187,18 +187,18 @@ def _doc_part(ids: np.ndarray, n_parts: int) -> np.ndarray:
     return part_of(mix64(ids.view(np.uint64)), n_parts)
 
 
-def _answers(part: np.ndarray, check: np.ndarray, ids: np.ndarray, hot: np.ndarray, n_parts: int) -> Iterator[tuple[int, int, bytes]]:
-    """Answers by the part of their documents: part, check and whether hot."""
+def _answers(part: np.ndarray, check: np.ndarray, ids: np.ndarray, n_parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """Answers by the part of their documents: part and check of each shared key."""
     if not len(ids):
         return
     where = _doc_part(ids, n_parts)
     order = np.lexsort((ids, where))
     for d, a, b in _slices(where[order]):
         o = order[a:b]
-        yield int(part[o[0]]), d, pack(ids[o], part[o].astype(np.uint32), check[o], hot[o])
+        yield int(part[o[0]]), d, pack(ids[o], part[o].astype(np.uint32), check[o])
 
 
-def answer_keys(asked: DataFrame, n_parts: int) -> DataFrame:
+def answer_keys(asked: DataFrame, n_parts: int, hot_size: int = HOT) -> DataFrame:
     """(doc_part, blob): for documents, the keys that others hold too."""
 
     def answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +223,10 @@ def answer_keys(asked: DataFrame, n_parts: int) -> DataFrame:
             size = np.diff(np.append(starts, len(check)))
             several = (who[starts] != who[starts + size - 1]) | (np.maximum.reduceat(shared, starts) > 0)
             hit = np.repeat(several, size)
-            hot = np.repeat(size > HOT, size)[hit].astype("u1")
-            out += [(d, blob) for _, d, blob in _answers(np.full(int(hit.sum()), p), check[hit], who[hit], hot, n_parts)]
+            out += [(d, blob) for _, d, blob in _answers(np.full(int(hit.sum()), p), check[hit], who[hit], n_parts)]
+            if len(hot := check[starts[size > hot_size]]):  # every document that has them must know
+                told = pack(np.empty(0, np.int64), np.full(len(hot), p, np.uint32), hot)
+                out += [(d, told) for d in range(n_parts)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["doc_part", "blob"])
 
@@ -236,10 +238,15 @@ def keys_by_document(answers: DataFrame) -> DataFrame:
 
     def gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [unpack(b) for batch in batches for b in batch.column("blob").to_pylist()]
-        ids, part, check, hot = (np.concatenate(x) for x in zip(*found, strict=True))
+        mine = [x for x in found if len(x[0])]
+        if not mine:
+            return
+        told = [x[1].astype(np.uint64) << np.uint64(32) | x[2] for x in found if not len(x[0])]
+        ids, part, check = (np.concatenate(x) for x in zip(*mine, strict=True))
         full = part.astype(np.uint64) << np.uint64(32) | check
         order = np.lexsort((full, ids))
-        ids, full, hot = ids[order], full[order], hot[order]
+        ids, full = ids[order], full[order]
+        hot = np.isin(full, np.concatenate(told)).astype("u1") if told else np.zeros(len(full), "u1")
         out = [(d, pack(full[a:b], hot[a:b])) for d, a, b in _slices(ids)]
         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["doc_id", "keys"])
 
@@ -451,10 +458,10 @@ def spans_by_document(answers: DataFrame) -> DataFrame:
     return answers.groupBy("doc_part").applyInArrow(gather, "doc_id long, tk int, spans binary")
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, hot_size: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Packed rows of docs, and (doc_id, tk, spans) of those with bytes to remove."""
     n_parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = keys_by_document(answer_keys(send_keys(docs, n_parts), n_parts))
+    keys = keys_by_document(answer_keys(send_keys(docs, n_parts), n_parts, hot_size))
     rows = packed_rows(docs)
     sent = send_phrases(rows.join(keys, "doc_id"), n_parts)
     return rows, stored(spans_by_document(settle(sent, n_parts)), "spans")
@@ -469,10 +476,10 @@ def cut(text: bytes, spans: bytes | None) -> tuple[bytes, int]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), len(lo)
 
 
-def removal_digest(docs: DataFrame) -> DataFrame:
+def removal_digest(docs: DataFrame, hot_size: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows, spans = repeated_spans(docs)
+    rows, spans = repeated_spans(docs, hot_size)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(4)]
