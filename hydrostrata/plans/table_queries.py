@@ -187,7 +187,7 @@ def sw_allocation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", F.round("surface_water", 2).alias("surface_water"), F.round(budget.sources(source, F.col("surface_water"), F.col("short")), 2).alias("groundwater"))
 
 
-_DRIVERS = """dr AS (SELECT user_id AS field, CAST(ts AS DATE) AS day, sum(value) / 1000 AS precip, count(*) * 0.01 AS irr, 0.15 + (user_id % 7) * 0.02 AS pet FROM events GROUP BY 1, 2),
+_DRIVERS = """dr AS (SELECT user_id AS field, CAST(ts AS DATE) AS day, sum(value) / 1000 AS precip, count(*) * 0.01::DOUBLE AS irr, 0.15::DOUBLE + (user_id % 7) * 0.02::DOUBLE AS pet FROM events GROUP BY 1, 2),
  num AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY day) AS n FROM dr),
  bud AS (WITH RECURSIVE b AS (SELECT field, day, n, precip, irr, pet, least(pet, 0.1 + precip + irr) AS aet, greatest(0, 0.1 + precip + irr - least(pet, 0.1 + precip + irr) - 0.25) AS recharge, least(0.25, 0.1 + precip + irr - least(pet, 0.1 + precip + irr)) AS swc FROM num WHERE n = 1
   UNION ALL SELECT x.field, x.day, x.n, x.precip, x.irr, x.pet, least(x.pet, b.swc + x.precip + x.irr), greatest(0, b.swc + x.precip + x.irr - least(x.pet, b.swc + x.precip + x.irr) - 0.25), least(0.25, b.swc + x.precip + x.irr - least(x.pet, b.swc + x.precip + x.irr)) FROM b JOIN num x ON x.field = b.field AND x.n = b.n + 1) SELECT * FROM b)"""

@@ -18,6 +18,9 @@ def duck(sf_dir):
     return con
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
+
+
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else v + 0.0
@@ -34,6 +37,8 @@ def test_query(spark, duck, sf_dir, name):
         return
     rel = duck.sql(ORACLE_SQL[name])
     assert sorted(rel.columns) == sorted(df.columns)
+    kinds = dict(zip(rel.columns, map(str, rel.types)))
+    assert {c: KINDS.get(t, t) for c, t in df.dtypes} == kinds
     order = [rel.columns.index(c) for c in df.columns]
     want = [tuple(plain(r[k]) for k in order) for r in rel.fetchall()]
     key = lambda r: tuple((v is None, str(v)) for v in r)
