@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_score, merge_replay, minhash, quality_crf, quality_qda, run_index, sharding, token_orc, toxicity
+from . import decontaminate, lm_score, merge_replay, minhash, oracle, quality_crf, quality_qda, run_index, sharding, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
@@ -21,4 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_qgram_bands": decontaminate.op10_qgram_bands,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_minmax_hash": oracle.NEAR_DUPLICATES,
+    "op7_run_index": oracle.REPEATED_SPANS,
+}
