@@ -1,7 +1,7 @@
 """Cross-entropy difference of two matched word bigram models.
 
 A target model (documents labelled good) and a background model (all documents) share one vocabulary, the
-VOCABULARY most frequent lower-cased words of the whole corpus plus marks for other words and for a text's
+lower-cased words of the whole corpus that are frequent enough for VOCABULARY of them, plus marks for other words and for a text's
 start, and the same smoothing: bigram shares interpolated with add-one unigram shares. A document's score is
 its mean per-token loss under the target model less that under the background model; the lower, the more it
 is like the target.
@@ -24,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, mix64, sliced
+from .common import documents, map_batches, mix64, sliced, stored
 from .quality_qda import clean_labels
 from .run_index import narrow, pack, unpack
 
@@ -47,7 +47,7 @@ def words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words over all documents, ties by the word; at most `size` come to the driver."""
+    """The most frequent words over all documents: those of at least the least count that no more than `size` words have; only they come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,8 +56,12 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
                 if len(found):
                     yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["word", "n"])
 
-    total = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in total.orderBy(F.desc("n"), "word").limit(size).collect()]
+    total = stored(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+    levels = total.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n"))))  # one row a distinct count
+    least = levels.where(F.col("above") <= size).agg(F.min("n")).first()[0]
+    if least is None:
+        return []
+    return [r["word"] for r in sorted(total.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))]
 
 
 def bigrams(column: pa.Array, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +145,7 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
     vocab = vocabulary(docs)
-    marked = docs.join(target.select("doc_id", F.lit(True).alias("target")), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    marked = docs.join(target.select("doc_id", F.lit(True).alias("target")).hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     sc = docs.sparkSession.sparkContext
     model, shared = sc.broadcast(count_models(marked, vocab)), sc.broadcast(vocab)  # fixed sizes: 2 * 2**BUCKET_BITS counts, VOCABULARY words
 

@@ -5,10 +5,11 @@ costs half the hash evaluations of plain MinHash. Values are banded; texts with
 candidates. Candidates are confirmed on their full shingle sets and linked, and documents are labelled by
 connected components.
 
-Texts with equal shingle sets are one class, represented by its least doc_id. Within a bucket each member is
-first compared with the bucket's least member only (a star, linear in the bucket). Then buckets that still
-hold several components are compared across components: pairs inside a component are never needed. With BANDS
-bands of ROWS values a link of similarity 0.8 is missed with probability (1 - 0.8**6)**40 = 5e-6.
+Texts with equal shingle sets are one class, represented by its least doc_id. Each bucket's least member is
+held against the others (a star, linear in the bucket), and confirmed links join components. Only buckets that
+still hold several components go on: there, members are compared across components inside bounded groups that
+give out joining links alone, never pairs. With BANDS bands of ROWS values a link of similarity 0.8 is missed
+with probability (1 - 0.8**6)**40 = 5e-6.
 
 Defined cases: null, empty and white-space texts have empty sets and are linked with nothing; rows that share
 a doc_id are one node of the graph; ties are resolved by the least doc_id; a null doc_id is its own (null)
@@ -31,6 +32,8 @@ from .common import documents, map_batches, mix64, stored, texts
 from .graph import components
 
 BANDS, ROWS = 40, 6
+#: Members of a bucket that one group holds at most twice.
+GROUP = 3000
 PERMUTATIONS = BANDS * ROWS // 2
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1)
@@ -128,6 +131,44 @@ def confirmed(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
+def linked_inside(mixed: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components inside each bucket (band, rep, component, _n: members), on full sets.
+
+    A bucket is one Arrow group; one of more than GROUP members is dealt into blocks, and each pair of blocks is
+    a group, so no group is larger than two blocks. Inside, each member outside the largest component is held
+    against all members, and of the links found only those that join components are given out.
+    """
+    n_blocks = F.ceil(F.col("_n") / GROUP).cast("int")
+    own = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
+    dealt = mixed.withColumns({"_b": own, "_c": F.explode(F.sequence(F.lit(0), n_blocks - 1))})
+    dealt = dealt.select("band", "rep", "component", F.least("_b", "_c").alias("i"), F.greatest("_b", "_c").alias("j"))
+    rows = dealt.join(held.select(F.col("doc_id").alias("rep"), "z"), "rep")
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        z = zstandard.ZstdDecompressor()
+        rep, component = table.column("rep").to_numpy(), table.column("component").to_numpy().copy()
+        sets = [shingles(z.decompress(x).decode(), k) for x in table.column("z").to_pylist()]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        ends = np.cumsum(size)
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(int(flat.max()) + 1, np.int32)
+        names, counts = np.unique(component, return_counts=True)
+        out = []
+        for p in np.flatnonzero(component != names[counts.argmax()]).tolist():
+            mine = flat[ends[p] - size[p] : ends[p]]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[flat], ends - size)
+            mark[mine] = 0
+            hit = (100 * common >= percent * (size + size[p] - common)) & (component != component[p])
+            for q in np.flatnonzero(hit).tolist():
+                if component[q] != component[p]:
+                    out.append((int(rep[p]), int(rep[q])))
+                    component[component == component[q]] = component[p]
+        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+    return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the least doc_id of its component) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -139,25 +180,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = reps.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot")
     shared = stored(reps.join(least, "band").select("band", "pivot", "rep", "n_shingles"), "buckets")
     held = stored(packed(docs.where("doc_id is not null")).join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "candidates").dropDuplicates(["doc_id"])
-    size = shared.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("pivot_n")).distinct()
-    star = shared.where("rep <> pivot").select("pivot", "rep", "n_shingles").distinct().join(size, "pivot")
-    star = stored(star.where(f"100 * least(n_shingles, pivot_n) >= {percent} * greatest(n_shingles, pivot_n)").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    links = stored(confirmed(star, held, k, percent), "links")
-    found = components(links)
-    # Buckets whose members are not all connected yet: compare across components only.
+    size = F.struct(F.col("rep").alias("rep2"), F.col("n_shingles").alias("n2"))
+    star = shared.groupBy("band").agg(F.min(size).alias("p")).select("band", "p.rep2", "p.n2")
+    near = f"100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)"
+    pairs = shared.join(star, "band").where("rep <> rep2").where(near).select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct()
+    links = stored(confirmed(pairs, held, k, percent), "links")
+    found = stored(components(links), "components")
+    # Buckets that are not connected yet.
     part = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = part.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band")
-    mixed = stored(part.join(mixed, "band").select("band", "rep", "n_shingles", "component"), "mixed")
-    other = mixed.select("band", F.col("rep").alias("rep2"), F.col("n_shingles").alias("n2"), F.col("component").alias("component2"))
-    across = mixed.join(other, "band").where(f"component < component2 and 100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)")
-    across = across.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(confirmed(across, held, k, percent), "links")
-    found = stored(components(links.unionByName(more)), "components")
+    open_ = part.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("band", "_n")
+    mixed = stored(part.join(open_, "band").select("band", "rep", "component", "_n"), "mixed")
+    links = links.unionByName(stored(linked_inside(mixed, held, k, percent), "links"))
+    found = stored(components(links), "components")
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class_component"))
     # A doc_id with several sets belongs to the component of each: its rows take the least.
     own = found.select(F.col("id").alias("doc_id"), F.col("component").alias("own_component"))
     out = sketch.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").join(own, "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce(F.least("class_component", "own_component"), "doc_id")).otherwise(F.col("doc_id"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(linked, F.coalesce(F.least("class_component", "own_component"), "doc_id")).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").cast(kind), "n_shingles", component.cast(kind).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

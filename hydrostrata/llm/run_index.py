@@ -460,7 +460,7 @@ def spans_by_document(answers: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, hot_size: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Packed rows of docs, and (doc_id, tk, spans) of those with bytes to remove."""
-    n_parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # parts answer document parts, so messages go with the square
     keys = keys_by_document(answer_keys(send_keys(docs, n_parts), n_parts, hot_size))
     rows = packed_rows(docs)
     sent = send_phrases(rows.join(keys, "doc_id"), n_parts)
