@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ class PieceEncoder:
         if fresh := list(set(flat) - self.match_at.keys()):
             ids = self.encode_new(fresh)
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            first = self.matches.add(np.array([i for x in ids for i in x], np.uint32), lens)
+            first = self.matches.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)
             self.match_at.update(zip(fresh, range(first, first + len(fresh)), strict=True))
         ids, lens = self.matches.get(np.fromiter(map(self.match_at.__getitem__, flat), np.int64, len(flat)))
         of_match = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
@@ -115,7 +116,7 @@ class PieceEncoder:
             idx = np.zeros(0, np.int64)
             offsets = split.offsets.to_numpy().astype(np.int64)
             if len(words):
-                idx = self._number(words.dictionary.to_pylist())[words.indices.to_numpy()]
+                idx = self._number(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
                 idx[offsets[:-1]] = self._number([(x,) for x in words.take(pa.array(offsets[:-1])).to_pylist()])
             counts = np.zeros(len(texts), np.int64)
             counts[~odd] = np.diff(offsets)
