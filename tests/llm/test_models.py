@@ -159,3 +159,24 @@ def test_lm(spark, sf_dir):
         assert math.isclose(r["background_loss"], loss[0], rel_tol=1e-5, abs_tol=1e-9) and math.isclose(r["score"], loss[1] - loss[0], rel_tol=1e-4, abs_tol=1e-6)
     assert lm_score.score_documents(frame(spark, []), good).count() == 0
     assert lm_score.score_documents(docs, good.limit(0)).count() == len(texts)
+
+
+def test_lm_keeps_every_word_and_bigram(spark):
+    """60,000 words of equal count: each keeps its own counts."""
+    texts = [(k, " ".join(f"w{j % 60_000}" for j in range(1000 * k, 1000 * k + 1000))) for k in range(120)]
+    docs = frame(spark, texts).repartition(3)
+    out = {r["doc_id"]: r for r in lm_score.score_documents(docs, spark.createDataFrame([(0,), (1,)], "doc_id long")).collect()}
+    uni, ctx, big = ([Counter(), Counter()] for _ in range(3))
+    for i, t in texts:
+        s = ["", *t.split()]
+        for k in (0, 1) if i < 2 else (0,):
+            uni[k].update(s[1:])
+            ctx[k].update(s[:-1])
+            big[k].update(zip(s, s[1:]))
+    for i, t in texts:
+        s, loss = ["", *t.split()], []
+        for k in (0, 1):
+            n = sum(uni[k].values()) + len(uni[0]) + 2
+            p = [lm_score.UNIGRAM * (uni[k][b] + 1) / n + (1 - lm_score.UNIGRAM) * big[k][a, b] / max(ctx[k][a], 1) for a, b in zip(s, s[1:])]
+            loss.append(-sum(map(math.log, p)) / len(p))
+        assert math.isclose(out[i]["background_loss"], loss[0], rel_tol=1e-9) and math.isclose(out[i]["target_loss"], loss[1], rel_tol=1e-9)
