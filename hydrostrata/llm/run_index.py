@@ -171,8 +171,8 @@ def send_keys(docs: DataFrame, n_parts: int) -> DataFrame:
         for p, a, b in _slices(part[order]):
             o = order[a:b]
             parts.append(p)
-            doc_parts.append(None)
-            blobs.append(pack(check_of(ask[o]), asker[o][:1], narrow(np.diff(asker[o], prepend=asker[o][:1])), shared[o].astype("u1")))
+            doc_parts.append(None)  # steps between sorted ids may pass 2**63 (FIRST_ID): unsigned, and added modulo 2**64
+            blobs.append(pack(check_of(ask[o]), asker[o][:1], narrow(np.diff(asker[o], prepend=asker[o][:1]).view(np.uint64)), shared[o].astype("u1")))
         for p, d, blob in _answers(part_of(key[several], n_parts), check_of(key[several]), who[several], n_parts):
             parts.append(p)
             doc_parts.append(d)

@@ -135,6 +135,18 @@ def test_repeated_spans(spark, sf_dir):
     assert run_index.removal_digest(frame(spark, [])).count() == 0
 
 
+def test_null_id_among_other_batches(spark):
+    """The null id and ids far apart share a batch; their matches lie in another partition."""
+    rng = random.Random(3)
+    passages = ["".join(rng.choice("abcdefghij ") for _ in range(200)) for _ in range(6)]
+    rows = [(None, passages[0] + "x" + passages[1]), (300, passages[2]), (-(1 << 62), passages[5]), ((1 << 63) - 1, passages[4])]
+    rows += [(2, passages[2] + "y" + passages[0]), (400, passages[2] + passages[4]), (5, passages[1]), (-7, passages[5])]
+    docs = frame(spark, rows)
+    assert docs.rdd.getNumPartitions() == 4  # of two rows each
+    got = sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in run_index.removal_digest(docs).collect())
+    assert got == brute_spans(rows)
+
+
 def test_without_repeats(spark):
     rows = repetitive(2, "abcdefghij é")
     docs = frame(spark, rows)
