@@ -4,6 +4,9 @@ Documents are range-partitioned and sorted by id, encoded inside each partition,
 whose stripes a reader takes in parallel. Statistics and Bloom filters on doc_id prune files, stripes and row
 groups when single documents are looked up.
 
+Ids are those of the library's Tokenizer.encode(text, add_special_tokens=False): an added token that a text quotes
+is one id.
+
 Defined cases: a null text is the empty text (its only id is the end id); a null doc_id sorts first; rows that
 repeat a doc_id are ordered by their text and all kept; an empty table gives an empty result.
 """
@@ -27,6 +30,7 @@ from .pretoken import PieceEncoder
 END_ID = 0
 STRIPE_BYTES = 16 << 20
 _ENCODERS: dict[str, PieceEncoder] = {}
+_WHOLE: dict[str, TextEncoder] = {}
 
 
 def _byte_chars() -> dict[int, str]:
@@ -60,12 +64,44 @@ def library_encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def text_encoder(path: str) -> TextEncoder:
+    """One per worker."""
+    if path not in _WHOLE:
+        _WHOLE[path] = TextEncoder(path)
+    return _WHOLE[path]
+
+
+class TextEncoder:
+    """Tokenizer.encode(text, add_special_tokens=False) of many texts: those that hold an added token (one that is cut out before the pattern) go to the library whole, the others by their pieces."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        if told["normalizer"] is not None:
+            raise ValueError("a tokenizer without a normalizer is needed")
+        self.added = [x["content"] for x in told["added_tokens"]]
+        self.whole, self.pieces = Tokenizer.from_file(path), library_encoder(path)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has."""
+        marked = [k for k, x in enumerate(texts) if any(a in x for a in self.added)]
+        if not marked:
+            return self.pieces.encode(texts)
+        own = {k: self.whole.encode(texts[k], add_special_tokens=False).ids for k in marked}
+        ids, lens = self.pieces.encode(["" if k in own else x for k, x in enumerate(texts)])
+        at = np.repeat((np.cumsum(lens) - lens)[marked], [len(own[k]) for k in marked])
+        lens[marked] = [len(own[k]) for k in marked]
+        return np.insert(ids, at, np.concatenate([own[k] for k in marked])), lens
+
+
 def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID, block_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, ids) in the order of the input's partitions."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(path)
+        encoder = text_encoder(path)
         for table in blocks(batches, block_bytes):
             ids, lens = encoder.encode(texts(table["text"]))
             ends = np.cumsum(lens)

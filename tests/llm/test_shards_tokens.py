@@ -78,6 +78,18 @@ def test_token_orc(spark, sf_dir, library, tmp_path):
     assert token_orc.token_digest(spark.read.schema("doc_id long, ids array<int>, file_no int").orc(empty)).count() == 0
 
 
+def test_token_orc_added_token(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["plain text", "a <|endoftext|> b", "", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  z", "<|endoftext|", "last one"]
+    out = token_orc.scratch(spark, "t")
+    token_orc.write_token_orc(frame(spark, list(enumerate(texts))), out, P.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r["ids"] for r in token_orc.read_token_orc(spark, out).collect()}
+    assert got == {k: own.encode(x, add_special_tokens=False).ids + [0] for k, x in enumerate(texts)}
+    assert 50256 in got[1]
+
+
 def test_merge_replay(spark, sf_dir):
     import tiktoken
 
