@@ -1,12 +1,13 @@
 """Exact removal of long byte strings that an earlier document holds, by run-length indexes over a parsed corpus.
 
 Every WIDTH-byte string has a key, the least hash of its GRAM-byte grams, so equal strings share a key wherever
-they are. A maximal run of strings with one key is a phrase; neighbouring phrases overlap by WIDTH - 1 bytes.
-Only keys that two documents share matter, and copies of a phrase need indexing once (as in prefix-free
-parsing). The distinct phrases of a hash part, each with the first document that holds it, are indexed: their
-strings in suffix order, the Burrows-Wheeler transform of that order run-length compressed, and at each end of
-a run a sample of the least first document inside it. Matching statistics, cut off at WIDTH, then say of each
-string of a phrase whether an earlier document holds it, by minima over samples instead of rows.
+they are. A maximal run of strings with one key (LONG at most) is a phrase; neighbouring phrases overlap by
+WIDTH - 1 bytes. Only keys that two documents share matter, and copies of a phrase need indexing once (as in
+prefix-free parsing). The distinct phrases of a hash part, each with the first document that holds it, are indexed,
+a range of keys of about BLOCK bytes at a time: a run-length compressed Burrows-Wheeler transform of their strings
+with a sample of the document at the end of each run (RunLengthIndex). Phrases are then streamed against it from
+right to left, one step over the runs a byte, and give their matching statistics cut off at WIDTH: for each string,
+the sampled document of the first run that holds it. Where that one is earlier, the string's bytes go.
 
 Steps, each a Spark shuffle of packed arrays:
   1. documents send their keys to hash parts; parts answer with the keys of several documents. A key that one
@@ -38,6 +39,10 @@ WIDTH, GRAM = 50, 16
 HOT = 2000
 #: Bytes of text that a task condenses at a time; the more, the fewer copies of a key or phrase are sent.
 BATCH = 32 << 20
+#: Bytes of text that one hash part is made for, and bytes of phrases that are indexed at a time.
+PART_BYTES, BLOCK = 8 << 20, 1 << 20
+#: Strings of a phrase at most; longer ones are cut.
+LONG = 256
 FIRST_ID = -(1 << 63)
 _SPAN = WIDTH - GRAM + 1
 _rng = np.random.default_rng(50)
@@ -95,6 +100,10 @@ def runs(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     last = np.append(first[1:], n) - 1
     good = inside[first]
     first, last = first[good], last[good]
+    if len(first) and (last - first).max() >= LONG:
+        n = (last - first) // LONG + 1
+        first, end = np.repeat(first, n) + LONG * ragged(np.zeros(len(n), np.int64), n), np.repeat(last, n)
+        last = np.minimum(first + LONG - 1, end)
     return low[first], first, last
 
 
@@ -317,59 +326,113 @@ def _spans(ids: np.ndarray, tk: np.ndarray, begin: np.ndarray, end: np.ndarray,
 
 
 class RunLengthIndex:
-    """The WIDTH-byte strings of phrases in suffix order, their run-length compressed BWT and a sample at each run's end.
+    """The WIDTH-byte strings of phrases in sorted order, as a run-length compressed Burrows-Wheeler transform.
 
-    heads, ends: byte and last row of each run (runs also end where the string changes); samples: the least
-    first document among the run's rows.
+    Rows are the strings of all phrases; equal strings lie in the order of the phrases' first documents. A step (LF)
+    leads from a row to that of the string one byte further left in its phrase. A run is a stretch of rows of one
+    string with one byte before it (its head) whose steps lead to neighbouring rows, so a step inside it is known
+    from its first row alone. Per run: first (its first row), heads, to (where its first row steps to), samples (the
+    document at its first end, the least inside it) and lead (the first run of its string). Rows themselves are not kept.
     """
 
     def __init__(self, phrases: list[bytes], first_docs: np.ndarray):
-        lens = np.fromiter(map(len, phrases), np.int64, len(phrases))
-        text = np.frombuffer(b"".join(phrases) + bytes(64), np.uint8)
-        n = len(text) - 64
+        by_doc = np.argsort(first_docs, kind="stable")
+        lens = np.fromiter((len(phrases[i]) for i in by_doc.tolist()), np.int64, len(phrases))
+        self.text = text = np.frombuffer(b"".join(phrases[i] for i in by_doc.tolist()), np.uint8)
         starts = np.cumsum(lens) - lens
-        self.windows = ragged(starts, lens - WIDTH + 1)  # text position of each string, phrase by phrase
-        self.of_phrase = np.repeat(np.arange(len(phrases)), lens - WIDTH + 1)
-        word = np.zeros(n + 56, np.uint64)
+        n_strings = lens - WIDTH + 1
+        at = ragged(starts, n_strings)  # where each string starts, phrase by phrase
+        row = self._rows(text, at, ragged(starts, lens - 7), ragged(starts, lens - 23))
+        order = np.empty(len(at), np.int64)
+        order[row] = np.arange(len(at))
+        key, lead = self._key[order], np.ones(len(at), bool)
+        lead[1:] = key[1:] != key[:-1]
+        del self._key
+        begins = np.cumsum(n_strings) - n_strings
+        is_first = np.zeros(len(at), bool)
+        is_first[begins] = True
+        is_first = is_first[order]
+        step = np.where(is_first, -1, row[order - 1])
+        bwt = np.where(is_first, 256, text[at[order] - 1]).astype(np.int16)  # 256: the phrase begins here
+        new = lead.copy()
+        new[1:] |= (bwt[1:] != bwt[:-1]) | (~is_first[1:] & (step[1:] != step[:-1] + 1))
+        self.first = np.flatnonzero(new)
+        self.heads, self.to = bwt[self.first], step[self.first]
+        self.samples = np.repeat(first_docs[by_doc], n_strings)[order[self.first]]
+        self.lead = np.maximum.accumulate(np.where(lead[self.first], np.arange(len(self.first)), 0))
+        # Where each phrase is entered, and where its strings go in the order in which phrases were given.
+        self.n_rows, self.n_strings, self.last_row, self.last_at = len(at), n_strings, row[begins + n_strings - 1], at[begins + n_strings - 1]
+        given = np.empty(len(phrases), np.int64)
+        given[by_doc] = n_strings
+        self.of_phrase = np.repeat(np.arange(len(phrases)), given)
+        self.last_out = (np.cumsum(given) - 1)[by_doc]
+
+    def _rows(self, text: np.ndarray, at: np.ndarray, at8: np.ndarray, at24: np.ndarray) -> np.ndarray:
+        """The row of each string, from ranks of 8 and 24 bytes; equal strings keep their order."""
+        word = np.zeros(len(at8), np.uint64)
         for k in range(8):
-            word = word << np.uint64(8) | text[k : k + n + 56]
-        rank, size = self._ranks(word), 8
-        while size < 32:  # prefix doubling: ranks of 16 and 32 bytes
-            pad = np.append(rank, np.zeros(size, np.int64))
-            rank = self._ranks((rank.astype(np.uint64) << np.uint64(32)) | pad[size : size + len(rank)].astype(np.uint64))
-            size *= 2
-        key = rank[self.windows].astype(np.uint64) << np.uint64(32) | rank[self.windows + WIDTH - 32].astype(np.uint64)
-        docs = first_docs[self.of_phrase]
-        self.order = np.argsort(key, kind="stable")
-        key, docs = key[self.order], docs[self.order]
-        at = self.windows[self.order]
-        bwt = np.where(np.isin(at, starts), np.uint8(0), text[at - 1])
-        change = np.ones(len(key), bool)
-        change[1:] = key[1:] != key[:-1]
-        run = change.copy()
-        run[1:] |= bwt[1:] != bwt[:-1]
-        heads = np.flatnonzero(run)
-        self.heads, self.ends = bwt[heads], np.append(heads[1:], len(key)) - 1
-        self.samples = np.minimum.reduceat(docs, heads) if len(heads) else docs
-        self.strings = np.flatnonzero(change[heads])  # the first run of each distinct string
-        self.rows = np.diff(np.append(heads[self.strings], len(key)))
+            word = word << np.uint64(8) | text[at8 + k]
+        rank = np.zeros(len(text), np.uint32)
+        rank[at8] = self._ranks(word)
+        wide = np.zeros(len(text), np.uint32)
+        wide[at24] = self._ranks(self._joined(rank[at24], rank[at24 + 8], rank[at24 + 16]))
+        self._key = self._joined(wide[at], wide[at + 24], wide[at + WIDTH - 24])
+        row = np.empty(len(at), np.int64)
+        row[np.argsort(self._key, kind="stable")] = np.arange(len(at))
+        return row
+
+    @classmethod
+    def _joined(cls, *ranks: np.ndarray) -> np.ndarray:
+        """Keys that sort like the three ranks one after the other."""
+        a, b, c = (x.astype(np.uint64) for x in ranks)
+        if max(int(x.max(initial=0)) for x in ranks) < 1 << 21:
+            return a << np.uint64(42) | b << np.uint64(21) | c
+        return cls._ranks(a << np.uint64(32) | b).astype(np.uint64) << np.uint64(32) | c
 
     @staticmethod
     def _ranks(values: np.ndarray) -> np.ndarray:
-        order = np.argsort(values, kind="stable")
-        rank = np.empty(len(values), np.int64)
+        order = np.argsort(values)
         same = values[order]
-        rank[order] = np.cumsum(np.concatenate([[0], same[1:] != same[:-1]]))
+        rank = np.empty(len(values), np.uint32)
+        rank[order] = np.cumsum(np.concatenate([[0], same[1:] != same[:-1]]))[: len(values)]
         return rank
 
     def earliest(self) -> np.ndarray:
-        """For each string of each phrase, in text order, the least first document that holds it."""
-        out = np.empty(len(self.order), np.int64)
-        if len(out):
-            out[self.order] = np.repeat(np.minimum.reduceat(self.samples, self.strings), self.rows)
+        """For each string of each phrase, in text order, the least first document that holds it.
+
+        All phrases are streamed side by side from their last string to their first, a step over the runs a byte.
+        """
+        out = np.empty(self.n_rows, np.int64)
+        longest = np.argsort(-self.n_strings, kind="stable")
+        row, at, to, left = self.last_row[longest], self.last_at[longest], self.last_out[longest], self.n_strings[longest]
+        while len(row):
+            run = np.searchsorted(self.first, row, side="right") - 1
+            out[to] = self.samples[self.lead[run]]
+            n = int(np.searchsorted(-left, -1, side="left"))  # phrases with strings further left
+            run, row, at, to, left = run[:n], row[:n], at[:n], to[:n] - 1, left[:n] - 1
+            if (self.heads[run] != self.text[at - 1]).any():
+                raise ValueError("a run's head is not the byte before its string")
+            row, at = self.to[run] + row - self.first[run], at - 1
         return out
 
 
+def _key_ranges(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Phrases in blocks of about BLOCK bytes that never part the phrases of a key; a phrase alone under its key shares no string."""
+    order = np.argsort(key, kind="stable")
+    cuts = _slices(key[order])
+    block, held = [], 0
+    for _, a, b in cuts:
+        if b - a < 2:
+            continue
+        block.append(order[a:b])
+        held += int(size[order[a:b]].sum())
+        if held >= BLOCK:
+            yield np.concatenate(block)
+            block, held = [], 0
+    if block:
+        yield np.concatenate(block)
+
+
 def settle(sent: DataFrame, n_parts: int) -> DataFrame:
     """(doc_part, blob): spans of the phrases' strings that an earlier document holds."""
 
@@ -399,33 +462,27 @@ def settle(sent: DataFrame, n_parts: int) -> DataFrame:
             later = ids > first[phrase]
             if later.any():
                 spans.append((ids[later], tk[later], begin[later], begin[later] + lens[later]))
-            # A phrase's first document: look up its strings in the phrases that share its key.
+            # Other strings of a phrase's first documents: streamed against the index of the phrases under the same keys.
             key_of = np.empty(len(phrases), np.uint64)
             key_of[phrase] = own
-            _, back, n = np.unique(key_of, return_inverse=True, return_counts=True)
-            use = np.flatnonzero(n[back] > 1)
-            if len(use):
+            own_rows = np.flatnonzero(~later)
+            own_rows = own_rows[np.argsort(phrase[own_rows], kind="stable")]
+            bounds = np.searchsorted(phrase[own_rows], np.arange(len(phrases) + 1))
+            for use in _key_ranges(key_of, np.fromiter(map(len, phrases), np.int64, len(phrases))):
                 index = RunLengthIndex([phrases[i] for i in use.tolist()], first[use])
-                hit = index.earliest() < first[use][index.of_phrase]
-                counts = np.zeros(len(phrases), np.int64)
-                sizes = np.bincount(index.of_phrase, minlength=len(use))
-                counts[use] = sizes
-                offset = np.zeros(len(phrases), np.int64)
-                offset[use] = np.cumsum(sizes) - sizes
-                some = np.zeros(len(phrases), bool)
-                some[use[np.unique(index.of_phrase[hit])]] = True
-                rows = np.flatnonzero(~later & some[phrase])
-                at = ragged(offset[phrase[rows]], counts[phrase[rows]])
-                row = np.repeat(rows, counts[phrase[rows]])
-                place = ragged(np.zeros(len(rows), np.int64), counts[phrase[rows]])
-                good = hit[at]
-                row, place = row[good], place[good]
-                cut = np.ones(len(row), bool)  # neighbouring strings make one span
-                cut[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+                hit = np.flatnonzero(index.earliest() < first[use][index.of_phrase])
+                if not len(hit):
+                    continue
+                of = index.of_phrase[hit]
+                place = hit - np.searchsorted(index.of_phrase, of)
+                cut = np.ones(len(hit), bool)  # neighbouring strings make one span
+                cut[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)
                 a = np.flatnonzero(cut)
-                b = np.append(a[1:], len(row)) - 1
-                if len(a):
-                    spans.append((ids[row[a]], tk[row[a]], begin[row[a]] + place[a], begin[row[a]] + place[b] + WIDTH))
+                b = np.append(a[1:], len(hit)) - 1
+                p, lo, hi = use[of[a]], place[a], place[b] + WIDTH
+                n = bounds[p + 1] - bounds[p]
+                row = own_rows[ragged(bounds[p], n)]
+                spans.append((ids[row], tk[row], begin[row] + np.repeat(lo, n), begin[row] + np.repeat(hi, n)))
             if spans:
                 out += [(d, blob) for _, d, blob in _spans(*(np.concatenate(x) for x in zip(*spans, strict=True)), n_parts)]
         if out:
@@ -460,7 +517,8 @@ def spans_by_document(answers: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, hot_size: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Packed rows of docs, and (doc_id, tk, spans) of those with bytes to remove."""
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # parts answer document parts, so messages go with the square
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     keys = keys_by_document(answer_keys(send_keys(docs, n_parts), n_parts, hot_size))
     rows = packed_rows(docs)
     sent = send_phrases(rows.join(keys, "doc_id"), n_parts)

@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from hydrostrata.llm import minhash, run_index
 from hydrostrata.llm.graph import components
 
@@ -160,13 +162,45 @@ def test_without_repeats(spark):
 
 
 def test_index_runs():
-    phrases = [b"x" * 60, b"y" + b"x" * 59, b"abc" * 30]
     import numpy as np
 
-    index = run_index.RunLengthIndex(phrases, np.array([3, 5, 1]))
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdef ") for _ in range(300)).encode()
+    phrases = [b"x" * 60, b"y" + b"x" * 59, b"abc" * 30, bytes(range(256)), bytes(70), b"\0" + bytes(60)]
+    phrases += [line[a : a + 50 + rng.randrange(60)] for a in (rng.randrange(180) for _ in range(80))]
+    docs = np.array([rng.randrange(-40, 40) for _ in phrases])
     first = defaultdict(lambda: 99)
-    for p, d in zip(phrases, (3, 5, 1)):
+    for p, d in zip(phrases, docs.tolist()):
         for s in range(len(p) - 49):
             first[p[s : s + 50]] = min(first[p[s : s + 50]], d)
-    assert index.earliest().tolist() == [first[p[s : s + 50]] for p in phrases for s in range(len(p) - 49)]
-    assert len(index.heads) == len(index.ends) == len(index.samples) < len(index.order)
+    want = [first[p[s : s + 50]] for p in phrases for s in range(len(p) - 49)]
+
+    def index():
+        return run_index.RunLengthIndex(phrases, docs)
+
+    built = index()
+    assert built.earliest().tolist() == want
+    assert built.of_phrase.tolist() == [k for k, p in enumerate(phrases) for s in range(len(p) - 49)]
+    assert len(built.first) == len(built.heads) == len(built.to) == len(built.samples) < built.n_rows / 3  # runs, not rows
+    for broken in ("samples", "lead", "to"):  # the answers come from the runs
+        other = index()
+        setattr(other, broken, np.zeros_like(getattr(other, broken)))
+        try:
+            assert other.earliest().tolist() != want
+        except ValueError:
+            pass
+    other = index()
+    other.heads = np.full_like(other.heads, 1)
+    with pytest.raises(ValueError):
+        other.earliest()
+
+
+def test_index_joins_wide_ranks():
+    """Ranks beyond 21 bits are joined in two sorts."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    a, b, c = (r.integers(0, 1 << 23, 3000).astype(np.uint32) // (1 << 21) for _ in range(3))
+    a[0] = 1 << 22
+    got = run_index.RunLengthIndex._joined(a, b, c)
+    assert np.argsort(got, kind="stable").tolist() == np.lexsort((c, b, a)).tolist()
