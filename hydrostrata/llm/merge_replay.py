@@ -148,7 +148,7 @@ def replayer(path: str) -> tuple[Ranks, PieceEncoder]:
     return _STATE[path]
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = 3 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id and ids (int array) of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -180,7 +180,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, block_bytes: int = 3 << 20, text: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, block_bytes: int = 4 << 20, text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text (and the decoded text), in one Python pass."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,13 @@ from .common import ragged
 #: White space besides the space, by Unicode or by Python: beside a space it makes a run.
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
 _COMMON, _RARE = "\n\t\r", [c for c in _OTHER if c not in "\n\t\r"]
-#: A worker keeps this many pieces, the first it met; it forgets later ones after their block. The results do not depend on it.
+_RARE_ASCII = [c for c in _RARE if c.isascii()]
+#: Strings that a worker keeps (one block more at most). Results do not depend on it.
 MAX_PIECES = 180_000
 
 
 def _has_run(text: str) -> bool:
-    return "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in _COMMON) or any(c in text for c in _RARE)
+    return "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in _COMMON) or any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE))
 
 
 class _Store:
@@ -55,58 +56,78 @@ class _Store:
         return self.ids[ragged(self.starts[idx], lens)], lens
 
 
+class _Kept:
+    """A store and the numbers of the strings in it that a worker keeps: those it meets in a second block, up to MAX_PIECES.
+
+    Which were met before is told by a fixed table of hashes; a chance agreement only keeps a string too early.
+    """
+
+    def __init__(self) -> None:
+        self.store, self.at, self.met = _Store(), {}, np.zeros(1 << 22, bool)
+        self.again: list[tuple[list, np.ndarray]] = []
+        self.size = 0, 0
+
+    def add(self, keys: list, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The numbers of new strings' lists, good until the block ends."""
+        number = self.store.add(ids, lens) + np.arange(len(keys))
+        if len(self.at) < MAX_PIECES:
+            slot = np.fromiter(map(hash, keys), np.int64, len(keys)) & (len(self.met) - 1)
+            keep = self.met[slot]
+            self.met[slot] = True
+            self.again.append((list(compress(keys, keep.tolist())), number[keep]))
+        return number
+
+    def end_block(self) -> None:
+        """Drop what was new, but for strings met before."""
+        found = [(keys, *self.store.get(number)) for keys, number in self.again]
+        self.store.n, self.store.n_ids = self.size
+        for keys, ids, lens in found:
+            first = self.store.add(ids, lens)
+            self.at.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.again, self.size = [], (self.store.n, self.store.n_ids)
+
+
 class PieceEncoder:
-    """encode_new: distinct pattern matches to id lists, as the tokenizer at hand encodes them."""
+    """encode_new: distinct pattern matches to id lists, as the tokenizer at hand encodes them. What a worker keeps does not change results."""
 
     def __init__(self, pattern: str, encode_new: Callable[[list[str]], list[list[int]]]):
         self.pattern, self.encode_new = regex.compile(pattern), encode_new
-        self.at: dict[str | tuple[str], int] = {}
-        self.pieces = _Store()
-        self.match_at: dict[str, int] = {}
-        self.matches = _Store()
-
-    def _learn(self, new: list[str | tuple[str]]) -> None:
-        flat: list[str] = []
-        counts = []
-        findall = self.pattern.findall
-        for x in new:
-            if type(x) is tuple:
-                own = findall(x[0])
-            elif x.isalpha():  # the pattern matches a space with the letters that follow
-                flat.append(" " + x)
-                counts.append(1)
-                continue
-            else:
-                own = findall(" " + x)
-            flat += own
-            counts.append(len(own))
-        if fresh := list(set(flat) - self.match_at.keys()):
-            ids = self.encode_new(fresh)
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            first = self.matches.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)
-            self.match_at.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-        ids, lens = self.matches.get(np.fromiter(map(self.match_at.__getitem__, flat), np.int64, len(flat)))
-        of_match = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        first = self.pieces.add(ids, np.diff(of_match))
-        self.at.update(zip(new, range(first, first + len(new)), strict=True))
+        self.pieces, self.matches = _Kept(), _Kept()
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.encode_new(new)
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
+
+    def _learn(self, new: list[str | tuple[str]]) -> np.ndarray:
+        """The numbers of distinct new pieces."""
+        number = np.empty(len(new), np.int64)
+        plain = np.fromiter((type(x) is str and x.isalpha() for x in new), bool, len(new))
+        if plain.any():  # the pattern matches a space with the letters that follow
+            keys = list(compress(new, plain.tolist()))
+            number[plain] = self.pieces.add(keys, *self._encoded([" " + x for x in keys]))
+        if not plain.all():
+            keys, findall, known = list(compress(new, (~plain).tolist())), self.pattern.findall, self.matches.at.get
+            own = [findall(x[0] if type(x) is tuple else " " + x) for x in keys]
+            flat = list(chain.from_iterable(own))
+            at = {m: known(m, -1) for m in flat}
+            if fresh := [m for m, k in at.items() if k < 0]:
+                at.update(zip(fresh, self.matches.add(fresh, *self._encoded(fresh)).tolist(), strict=True))
+            ids, lens = self.matches.store.get(np.fromiter(map(at.__getitem__, flat), np.int64, len(flat)))
+            of_match = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(list(map(len, own)))])]
+            number[~plain] = self.pieces.add(keys, ids, np.diff(of_match))
+        return number
 
     def _number(self, keys: list) -> np.ndarray:
-        """The numbers of distinct pieces, learned where new."""
-        if new := [x for x in keys if x not in self.at]:
-            self._learn(list(dict.fromkeys(new)))
-        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
-
-    def _forget(self, n: int, n_ids: int, n_matches: int, n_match_ids: int) -> None:
-        """Back to the given sizes; dicts keep the order of insertion."""
-        for _ in range(len(self.at) - n):
-            self.at.popitem()
-        for _ in range(len(self.match_at) - n_matches):
-            self.match_at.popitem()
-        self.pieces.n, self.pieces.n_ids, self.matches.n, self.matches.n_ids = n, n_ids, n_matches, n_match_ids
+        """The numbers of pieces, learned where new."""
+        known = self.pieces.at.get
+        at = {x: known(x, -1) for x in keys}
+        if new := [x for x, k in at.items() if k < 0]:
+            at.update(zip(new, self._learn(new).tolist(), strict=True))
+        return np.fromiter(map(at.__getitem__, keys), np.int64, len(keys))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        known = self.pieces.n, self.pieces.n_ids, self.matches.n, self.matches.n_ids
         collects = gc.isenabled()
         gc.disable()  # millions of small strings, no cycles
         try:
@@ -128,11 +149,11 @@ class PieceEncoder:
                 mask = np.repeat(odd, counts)
                 every[mask], every[~mask] = numbers, idx
                 idx = every
-            ids, lens = self.pieces.get(idx)
+            ids, lens = self.pieces.store.get(idx)
             ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(counts)]
             return ids, np.diff(ends, prepend=0)
         finally:
-            if self.pieces.n > MAX_PIECES:
-                self._forget(*known)
+            self.pieces.end_block()
+            self.matches.end_block()
             if collects:
                 gc.enable()

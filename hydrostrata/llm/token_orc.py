@@ -8,7 +8,8 @@ Ids are those of the library's Tokenizer.encode(text, add_special_tokens=False):
 is one id.
 
 Defined cases: a null text is the empty text (its only id is the end id); a null doc_id sorts first; rows that
-repeat a doc_id are ordered by their text and all kept; an empty table gives an empty result.
+repeat a doc_id are all kept, in the order of the input's partitions; very long texts are encoded whole; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ class TextEncoder:
         return np.insert(ids, at, np.concatenate([own[k] for k in marked])), lens
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID, block_bytes: int = 2 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, ids) in the order of the input's partitions."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -118,10 +119,11 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID, block_byt
 
 
 def write_token_orc(docs: DataFrame, out: str, path: str, end_id: int = END_ID) -> None:
-    """ids in ascending doc_id order; `file_no` tells the order of the files."""
+    """ids in ascending doc_id order; `file_no` and `row_no` tell the order of files and of rows. Rows of one doc_id may be split over files."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    encode_documents(ordered, path, end_id).withColumn("file_no", F.spark_partition_id()).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.compress", "ZSTD").orc(out)
+    ordered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("tie")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    placed = encode_documents(ordered, path, end_id).withColumns({"file_no": F.spark_partition_id(), "row_no": F.monotonically_increasing_id()})
+    placed.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.compress", "ZSTD").orc(out)
 
 
 def read_token_orc(spark: SparkSession, out: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -131,7 +133,7 @@ def read_token_orc(spark: SparkSession, out: str, doc_ids: list[int] | None = No
 
 
 def token_digest(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from the files' rows."""
+    """doc_id, start, n_tokens, ids_crc32 from the files' rows, in the order of the files."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,10 +142,10 @@ def token_digest(rows: DataFrame) -> DataFrame:
             offsets = ids.offsets.to_numpy()
             flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file_no"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file_no", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file_no"), batch.column("row_no"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file_no", "row_no", "n_tokens", "ids_crc32"])
 
-    out = stored(rows.select("doc_id", "file_no", "ids").mapInArrow(run, f"doc_id {kind}, file_no int, n_tokens long, ids_crc32 long"), "token_digest")
-    inside = Window.partitionBy("file_no").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    out = stored(rows.select("doc_id", "file_no", "row_no", "ids").mapInArrow(run, f"doc_id {kind}, file_no int, row_no long, n_tokens long, ids_crc32 long"), "token_digest")
+    inside = Window.partitionBy("file_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
     totals = out.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))  # one row a file
     before = totals.select("file_no", F.coalesce(F.sum("n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return out.join(before, "file_no").select("doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")

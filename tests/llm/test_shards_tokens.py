@@ -52,13 +52,12 @@ def test_slot_map_versions(spark, tmp_path):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def test_token_orc(spark, sf_dir, library, tmp_path):
-    for docs in (token_orc.documents(spark, sf_dir), frame(spark, odd_rows())):
+    shared = [(7, "first text of three"), (7, "x <|endoftext|> y"), (7, "third"), (None, "null id")]
+    for docs in (token_orc.documents(spark, sf_dir), frame(spark, odd_rows() + shared)):
         out = token_orc.scratch(spark, "t")
         token_orc.write_token_orc(docs, out, P.path("byte_bpe_50k.json"))
         got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_orc.token_digest(token_orc.read_token_orc(spark, out)).collect())
@@ -67,6 +66,12 @@ def test_token_orc(spark, sf_dir, library, tmp_path):
             ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [0]
             want.append((r["doc_id"] is not None, r["doc_id"] or 0, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         assert sorted(g[:2] + g[3:] for g in got) == sorted(want)
+        in_files = sorted(token_orc.read_token_orc(spark, out).collect(), key=lambda r: (r["file_no"], r["row_no"]))
+        at, starts = 0, {}
+        for r in in_files:  # start follows the rows of the files, also where a doc_id repeats
+            starts.setdefault((r["doc_id"], zlib.crc32(struct.pack(f"<{len(r['ids'])}I", *r["ids"]))), []).append(at)
+            at += len(r["ids"])
+        assert all(g[2] in starts[g[1] if g[0] else None, g[4]] for g in got)
         at = 0
         for g in sorted(got, key=lambda g: (g[0], g[1], g[2])):
             assert g[2] == at
@@ -75,7 +80,7 @@ def test_token_orc(spark, sf_dir, library, tmp_path):
         assert [r["doc_id"] for r in one] == [5]
     empty = token_orc.scratch(spark, "t")
     token_orc.write_token_orc(frame(spark, []), empty, P.path("byte_bpe_50k.json"))
-    assert token_orc.token_digest(spark.read.schema("doc_id long, ids array<int>, file_no int").orc(empty)).count() == 0
+    assert token_orc.token_digest(spark.read.schema("doc_id long, ids array<int>, file_no int, row_no long").orc(empty)).count() == 0
 
 
 def test_token_orc_added_token(spark):
