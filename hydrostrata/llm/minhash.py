@@ -5,15 +5,16 @@ costs half the hash evaluations of plain MinHash. Values are banded; texts with
 candidates. Candidates are confirmed on their full shingle sets and linked, and documents are labelled by
 connected components.
 
-Texts with equal shingle sets are one class, represented by its least doc_id. Each bucket's least member is
-held against the others (a star, linear in the bucket), and confirmed links join components. Only buckets that
-still hold several components go on: there, members are compared across components inside bounded groups that
-give out joining links alone, never pairs. With BANDS bands of ROWS values a link of similarity 0.8 is missed
-with probability (1 - 0.8**6)**40 = 5e-6.
-
-Defined cases: null, empty and white-space texts have empty sets and are linked with nothing; rows that share
-a doc_id are one node of the graph; ties are resolved by the least doc_id; a null doc_id is its own (null)
-component; other columns are ignored; an empty table gives an empty result.
+Nodes of the graph are distinct shingle sets: texts with equal sets are one class, and a doc_id whose rows have
+several sets links these. Each bucket's least member is held against the others (a star, linear in the bucket,
+salted where the bucket is large), and confirmed links join components. Only buckets that still hold several
+components go on, buckets with the same members once: there, members are compared across components inside groups
+of bounded members and shingles that give out joining links alone, never pairs. With BANDS bands of ROWS values a
+link of similarity 0.8 is missed with probability (1 - 0.8**6)**40 = 5e-6.
+
+Defined cases: null, empty and white-space texts have empty sets and are linked with nothing; rows that share a
+doc_id share a component, whatever their texts; ties are resolved by the least doc_id; a null doc_id is its own
+(null) component; very long texts are taken whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from .common import documents, map_batches, mix64, stored, texts
 from .graph import components
 
 BANDS, ROWS = 40, 6
-#: Members of a bucket that one group holds at most twice.
-GROUP = 3000
+#: Members, and shingles beside those of one text, of a bucket that one group holds at most twice.
+GROUP, GROUP_SHINGLES = 3000, 2_000_000
+#: Pairs of a star that one task holds.
+STAR = 500
 PERMUTATIONS = BANDS * ROWS // 2
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1)
@@ -82,39 +85,32 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the full set) and band keys of every row."""
+    """doc_id, n_shingles, set_key (of the full set), band keys and compressed text (null where the set is empty) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, keys, flat, ends = [], [], [], [0]
+        sizes, keys, flat, ends, z = [], [], [], [0], []
+        pressed = zstandard.ZstdCompressor(level=1)
         for text in texts(batch.column("text")):
             found = shingles(text, k)
             sizes.append(len(found))
             keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
             if len(found):
                 flat.append(bands(found))
+            z.append(pressed.compress(text.encode()) if len(found) else None)
             ends.append(ends[-1] + (BANDS if len(found) else 0))
         keyed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), keyed], ["doc_id", "n_shingles", "set_key", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), keyed, pa.array(z, pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "z"])
 
-    return map_batches(docs.select("doc_id", "text"), fn, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>")
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text, for shuffles."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        z = zstandard.ZstdCompressor(level=1)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([z.compress(x.encode()) for x in texts(batch.column("text"))], pa.binary())], ["doc_id", "z"])
-
-    return map_batches(docs.select("doc_id", "text"), fn, f"doc_id {kind}, z binary")
+    return map_batches(docs.select("doc_id", "text"), fn, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, z binary")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union of their full sets; held: id and compressed text."""
-    one = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
-    both = one.join(held.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").select("a", "b", "za", "zb")
+    """Of pairs (a, b, n: members of the largest bucket they share), those with 100 * intersection >= percent * union of their full sets; held: node and compressed text."""
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR).cast("long")))
+    first = dealt.select("a", "salt").distinct().join(held.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
+    one = dealt.join(held.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+    both = one.join(first, ["a", "salt"]).select("a", "b", "za", "zb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, last, first = zstandard.ZstdDecompressor(), None, np.empty(0, np.uint64)
@@ -132,21 +128,22 @@ def confirmed(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFr
 
 
 def linked_inside(mixed: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the components inside each bucket (band, rep, component, _n: members), on full sets.
+    """Links (a, b) that join the components inside each bucket (band, node, component, _n: members, _w: shingles), on full sets.
 
-    A bucket is one Arrow group; one of more than GROUP members is dealt into blocks, and each pair of blocks is
-    a group, so no group is larger than two blocks. Inside, each member outside the largest component is held
-    against all members, and of the links found only those that join components are given out.
+    A bucket is one Arrow group; one of more than GROUP members or GROUP_SHINGLES shingles is dealt into blocks,
+    and each pair of blocks is a group, so no group is larger than two blocks. Inside, each member outside the
+    largest component is held against all members, and of the links found only those that join components are
+    given out.
     """
-    n_blocks = F.ceil(F.col("_n") / GROUP).cast("int")
-    own = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
+    n_blocks = F.ceil(F.greatest(F.col("_n") / GROUP, F.col("_w") / GROUP_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
     dealt = mixed.withColumns({"_b": own, "_c": F.explode(F.sequence(F.lit(0), n_blocks - 1))})
-    dealt = dealt.select("band", "rep", "component", F.least("_b", "_c").alias("i"), F.greatest("_b", "_c").alias("j"))
-    rows = dealt.join(held.select(F.col("doc_id").alias("rep"), "z"), "rep")
+    dealt = dealt.select("band", "node", "component", F.least("_b", "_c").alias("i"), F.greatest("_b", "_c").alias("j"))
+    rows = dealt.join(held, "node")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         z = zstandard.ZstdDecompressor()
-        rep, component = table.column("rep").to_numpy(), table.column("component").to_numpy().copy()
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
         sets = [shingles(z.decompress(x).decode(), k) for x in table.column("z").to_pylist()]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         ends = np.cumsum(size)
@@ -162,7 +159,7 @@ def linked_inside(mixed: DataFrame, held: DataFrame, k: int, percent: int) -> Da
             hit = (100 * common >= percent * (size + size[p] - common)) & (component != component[p])
             for q in np.flatnonzero(hit).tolist():
                 if component[q] != component[p]:
-                    out.append((int(rep[p]), int(rep[q])))
+                    out.append((int(node[p]), int(node[q])))
                     component[component == component[q]] = component[p]
         return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
 
@@ -173,31 +170,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id, kept (the least doc_id of its component) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(sketches(docs, k), "sketch")
+    sketch = stored(sketches(docs, k).withColumn("row", F.monotonically_increasing_id()), "sketch")
     some = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes, (some.set_key == classes.set_key) & (some.doc_id == classes.rep), "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("band"))
-    least = reps.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot")
-    shared = stored(reps.join(least, "band").select("band", "pivot", "rep", "n_shingles"), "buckets")
-    held = stored(packed(docs.where("doc_id is not null")).join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "candidates").dropDuplicates(["doc_id"])
-    size = F.struct(F.col("rep").alias("rep2"), F.col("n_shingles").alias("n2"))
-    star = shared.groupBy("band").agg(F.min(size).alias("p")).select("band", "p.rep2", "p.n2")
+    # A class is named by the least of its rows, its node.
+    classes = stored(some.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "classes")
+    nodes = sketch.select(F.col("row").alias("node"), "n_shingles", "bands").join(classes.select("node"), "node").select("node", "n_shingles", F.explode("bands").alias("band"))
+    size = F.struct("node", "n_shingles")
+    buckets = nodes.groupBy("band").agg(F.min(size).alias("p"), F.count("*").alias("n")).where("n > 1").select("band", "n", F.col("p.node").alias("node2"), F.col("p.n_shingles").alias("n2"))
+    shared = stored(nodes.join(buckets, "band"), "buckets")
+    held = stored(sketch.select(F.col("row").alias("node"), "z").join(shared.select("node").distinct(), "node"), "candidates")
     near = f"100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)"
-    pairs = shared.join(star, "band").where("rep <> rep2").where(near).select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = shared.where("node <> node2").where(near).groupBy(F.col("node2").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
     links = stored(confirmed(pairs, held, k, percent), "links")
+    # A doc_id with several sets links them.
+    owned = some.join(classes, "set_key").select("doc_id", "node").distinct()
+    several = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a <> _z").select("doc_id", "a")
+    links = links.unionByName(stored(owned.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")), "links"))
     found = stored(components(links), "components")
-    # Buckets that are not connected yet.
-    part = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = part.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("band", "_n")
-    mixed = stored(part.join(open_, "band").select("band", "rep", "component", "_n"), "mixed")
+    # Buckets that are not connected yet, one of those with the same members.
+    part = shared.select("band", "node", "n_shingles").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    states = part.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n"), F.sum("n_shingles").alias("_w"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y"))
+    open_ = states.where("_lo <> _hi").groupBy("_n", "_w", "_x", "_y").agg(F.min("band").alias("band")).select("band", "_n", "_w")
+    mixed = stored(part.join(open_, "band").select("band", "node", "component", "_n", "_w"), "mixed")
     links = links.unionByName(stored(linked_inside(mixed, held, k, percent), "links"))
     found = stored(components(links), "components")
-    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class_component"))
-    # A doc_id with several sets belongs to the component of each: its rows take the least.
-    own = found.select(F.col("id").alias("doc_id"), F.col("component").alias("own_component"))
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").join(own, "doc_id", "left")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linked, F.coalesce(F.least("class_component", "own_component"), "doc_id")).otherwise(F.col("doc_id"))
+    named = classes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    labels = named.join(least, "component").select("set_key", "component_id")
+    out = sketch.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").cast(kind), "n_shingles", component.cast(kind).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

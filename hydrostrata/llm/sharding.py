@@ -52,7 +52,7 @@ class SlotMap:
         self.versions.append(new)
 
     def rebalance(self, slot_bytes: dict[int, int]) -> int:
-        """Move or swap slots between the fullest and another shard until no such edit evens the sizes; returns slots moved."""
+        """Move or swap slots between the fullest and another shard until no such edit evens the sizes (at most 64 edits a slot); returns slots moved."""
         held: list[list[tuple[int, int]]] = [[] for _ in range(self.n_shards)]
         for slot, shard in enumerate(self.shards):
             if slot_bytes.get(slot, 0) > 0:

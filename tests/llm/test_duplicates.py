@@ -82,6 +82,25 @@ def test_large_group_of_near_copies(spark):
     same(spark, rows, 4)
 
 
+def test_repeated_ids_keep_every_link(spark):
+    """Rows of one doc_id with different texts are each linked by their own text."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (5, c + " more"), (5, ""), (6, ""), (6, c), (None, a), (None, "")]
+    same(spark, rows, 5)
+    got = {r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), 5).collect() if r["doc_id"] in (1, 2, 3)}
+    assert got == {1}
+
+
+def test_groups_split(spark, monkeypatch):
+    """Stars, members and shingles beyond their bounds are dealt into several tasks and blocks."""
+    monkeypatch.setattr(minhash, "GROUP", 7)
+    monkeypatch.setattr(minhash, "GROUP_SHINGLES", 900)
+    monkeypatch.setattr(minhash, "STAR", 3)
+    same(spark, planted(4, 30), 4)
+    test_large_group_of_near_copies(spark)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 60)] + [(1000, k) for k in range(1001, 1100)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(70)] + [(5, 5)]
@@ -129,7 +148,7 @@ def repetitive(seed, alphabet, n=60):
 
 
 def test_repeated_spans(spark, sf_dir):
-    cases = [repetitive(1, "ab"), repetitive(2, "abcdefghij é"), odd_rows()[:3] + odd_rows()[4:], [(r["doc_id"], r["text"]) for r in run_index.documents(spark, sf_dir).collect()]]
+    cases = [repetitive(1, "ab"), repetitive(2, "abcdefghij é"), odd_rows() + [(5, "repeated id " * 9), (6, "repeated id " * 9)], [(r["doc_id"], r["text"]) for r in run_index.documents(spark, sf_dir).collect()]]
     for rows in cases:
         for hot in (run_index.HOT, 1):
             got = sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in run_index.removal_digest(frame(spark, rows), hot).collect())
