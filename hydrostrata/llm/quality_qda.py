@@ -7,8 +7,9 @@ computed once and shipped with the model (a few kilobytes, whatever the corpus).
 
 Defined cases: null and empty texts have the statistics of the empty text and a score; rows that repeat are
 scored alike; labels that are null or contradict each other for a doc_id are not learned from; with under
-MIN_ROWS rows of a class the score is the smoothed share of label 1; an empty table gives an empty result;
-other columns are ignored.
+MIN_ROWS rows of a class the score is the smoothed share of label 1; classes whose texts are all equal have the
+ridge as their covariance; very long texts are read whole; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .stats import base_counts, words_of
 MIN_ROWS = 8
 #: Shrinkage towards the pooled covariance, and of that towards the scaled identity.
 POOL, RIDGE = 0.2, 0.02
+#: Least mean variance that the ridge counts on, for classes whose texts are all equal.
+LEAST_SPREAD = 1e-3
 FEATURES = (
     "log_chars", "log_words", "word_chars", "long_word", "symbols", "upper", "digits", "punctuation", "distinct", "same_as_last",
     "top_word", "dup_lines", "repeat_words", "line_chars", "open_lines", "marked_words",
@@ -104,7 +107,7 @@ def fit(sums: dict[int, tuple[int, np.ndarray, np.ndarray]], pool: float = POOL,
     for k in (0, 1):
         own = cov[k] / np.outer(scale, scale)
         s = (1 - pool) * own + pool * pooled
-        s = (1 - ridge) * s + ridge * np.trace(s) / d * np.eye(d)
+        s = (1 - ridge) * s + ridge * max(np.trace(s) / d, LEAST_SPREAD) * np.eye(d)
         low = np.linalg.cholesky(s)
         means.append((mean[k] - shift) / scale)
         factors.append(np.linalg.inv(low))

@@ -64,6 +64,84 @@ def test_qda_matches_density():
     assert np.allclose(model.score(at), 1 / (1 + np.exp(-odds)), atol=1e-8)
 
 
+def test_quality_equal_texts(spark):
+    """Classes whose labelled texts are all equal have no spread; the fit still gives the right side."""
+    rows = [(i, "good words in a row here." if i % 2 else "BAD ### BAD ### 1 2 3") for i in range(1, 200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    out = quality_qda.score_quality(frame(spark, rows), labels).collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == r["doc_id"] % 2 for r in out)
+
+
+def brute_vector(text):
+    """The sixteen statistics by their names."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if x.strip()]
+    _, chars, symbols, dup, repeat = brute_base(text)
+    n, k, m = max(len(text), 1), max(len(words), 1), max(len(lines), 1)
+    latin = [c for c in text if ord(c) < 256 and c not in "ªµº"]
+    upper, lower = sum(c.isupper() for c in latin), sum(c.islower() or c == "÷" for c in latin)
+    marks = sum(33 <= ord(c) < 127 and not c.isalnum() for c in text)
+    share = lambda x: math.asin(math.sqrt(min(max(x, 0), 1)))
+    return [
+        math.log1p(len(text)), math.log1p(len(words)), math.log1p(chars / k), math.log1p(max((len(w.encode()) for w in words), default=0)),
+        share(symbols / n), share(upper / max(upper + lower, 1)), share(sum(c in "0123456789" for c in text) / n), share(marks / n), share(len(set(words)) / k), share(sum(a == b for a, b in zip(words, words[1:])) / k),
+        share(max(Counter(words).values(), default=0) / k), share(dup / m), share(repeat / k), math.log1p(len(text) / m), share(sum(x[-1] not in ".!?:;\"'" for x in lines) / m), share(sum(w[-1] in "!#*$%&|<>" for w in words) / k),
+    ]
+
+
+def test_quality_features_and_scores(spark):
+    """Vectors, class moments and scores against loops."""
+    docs = quality_qda.documents(spark, BIG)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    vectors = {i: brute_vector(t) for i, t in texts.items()}
+    assert all(np.allclose(r["x"], vectors[r["doc_id"]], atol=1e-9) for r in quality_qda.features(docs).collect())
+    import zlib
+
+    learn = [(r["doc_id"], r["quality"]) for r in labels_of(spark).collect() if r["quality"] is not None and r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    x = {y: np.array([vectors[i] for i, q in learn if q == y]) for y in (0, 1)}
+    both = np.concatenate([x[0], x[1]])
+    cov = {y: np.cov(v.T, bias=True) for y, v in x.items()}
+    pooled = sum(len(x[y]) * cov[y] for y in x) / len(both)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-8))
+    dens = {}
+    for y in x:
+        s = (0.8 * cov[y] + 0.2 * pooled) / np.outer(scale, scale)
+        s = 0.98 * s + 0.02 * np.trace(s) / len(s) * np.eye(len(s))
+        d = (np.array([vectors[i] for i in texts]) - x[y].mean(axis=0)) / scale
+        dens[y] = math.log((len(x[y]) + 1) / (len(both) + 2)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d)
+    want = dict(zip(texts, 1 / (1 + np.exp(np.clip(dens[0] - dens[1], -50, 50)))))
+    assert all(math.isclose(r["score"], want[r["doc_id"]], abs_tol=1e-6) for r in quality_qda.score_quality(docs, labels_of(spark)).collect())
+
+
+def test_toxicity_model(spark):
+    """Gram counts against sets of substrings; the fitted weights are a stationary point of the penalised loss."""
+    rows = [(1, "You are BAD bad"), (2, "fine text"), (3, "bad"), (4, None), (5, "fine  fine")]
+    y = {1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+    docs = spark.createDataFrame([(t, y[i]) for i, t in rows], "text string, y int")
+    want = np.zeros((2, 1 << toxicity.BITS), int)
+    for i, t in rows:
+        s = f" {' '.join((t or '').lower().split())} ".encode() if t else b""
+        own = {g for n in toxicity.SIZES for p in range(len(s) - n + 1) for g in [s[p : p + n]]}
+        slots = {int(toxicity.mix64(np.array([(sum((b + 1) * pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k, b in enumerate(g)) + len(g)) % (1 << 64)], np.uint64))[0] >> np.uint64(64 - toxicity.BITS)) for g in own}
+        want[y[i], sorted(slots)] += 1
+    assert (toxicity.gram_counts(docs) == want).all()
+    rng = np.random.default_rng(3)
+    feats = [np.unique(rng.integers(0, 40, 8)) for _ in range(60)]
+    gold = np.array([int(3 in f or 7 in f) for f in feats])
+    ratios = np.zeros(1 << toxicity.BITS)
+    ratios[:40] = rng.normal(size=40)
+    coef, bias = toxicity.fit_linear(feats, gold, ratios, steps=4000)
+    x = np.zeros((60, 40))
+    for k, f in enumerate(feats):
+        x[k, f] = 1
+    s = x @ coef[:40] + bias
+    weight = np.where(gold == 1, 0.5 / gold.sum(), 0.5 / (1 - gold).sum())
+    e = weight * (1 / (1 + np.exp(-s)) - gold)
+    r = ratios[:40]
+    assert abs(e.sum()) < 2e-3 and abs(e @ (x @ r)) < 2e-3
+    assert ((s > 0) == gold).mean() > 0.95
+
+
 def test_toxicity(spark):
     docs = toxicity.documents(spark, BIG)
     out = toxicity.score_toxicity(docs, labels_of(spark)).cache()
@@ -117,6 +195,9 @@ def test_line_labels(spark):
 def test_line_labels_odd(spark):
     docs = frame(spark, odd_rows())
     assert quality_crf.train(docs, no_labels(spark)) is None
+    field = quality_crf.Crf(np.random.default_rng(2).normal(size=(2, quality_crf.D)), np.array([[0.5, -0.2], [0.1, 0.3]]), np.array([0.1, -0.1]))
+    for r in quality_crf.judge(docs, field).collect():  # decoding meets odd texts too
+        assert 0 <= r["content_share"] <= 1 and r["kept"] == (not r["base_failed"] and r["content_share"] >= quality_crf.LEAST_SHARE)
     rows = quality_crf.judge(docs, None).collect()
     assert sorted(tuple(r)[1:6] for r in rows) == sorted(brute_base(t) for _, t in odd_rows())
     assert all(r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (1, 2, 3))
@@ -134,7 +215,7 @@ def test_viterbi():
 
 
 def test_lm(spark, sf_dir):
-    texts = [(i, t) for i, t in odd_rows() if i != 4] + [(50 + k, " ".join(random.Random(k).choices(["Red", "green", "blue", "tea"], k=30))) for k in range(20)]
+    texts = odd_rows() + [(50 + k, " ".join(random.Random(k).choices(["Red", "green", "blue", "tea"], k=30))) for k in range(20)]
     docs = frame(spark, texts)
     good = spark.createDataFrame([(50 + k,) for k in range(10)], "doc_id long")
     out = {(r["doc_id"], r["n_tokens"]): r for r in lm_score.score_documents(docs, good).collect()}
