@@ -4,13 +4,15 @@ Texts and items are compared in lower case, with every run of ASCII characters o
 one space. An item of m bytes with an edit budget of e shares at least m - q + 1 - q * e of its q-grams with
 any region that it aligns to within the budget (the q-gram lemma), and these lie within e neighbouring
 diagonals. Diagonals are dealt into overlapping bands, two for each diagonal; a band whose count meets the bound
-is aligned, inside the band only, and kept if its edits are within the budget.
+is aligned, inside the band only, and kept if its edits are within the budget. q is 8, and 4 for items so short
+that their budget would leave no 8-gram whole.
 
 The items are the stated query set: they are held against all documents in blocks of at most about BLOCK_BYTES,
 so that what is shipped to tasks is bounded; every block costs one pass over the documents.
 
-Defined cases: null, empty and blank texts match nothing; items shorter than Q bytes are found as exact words
-only; items that repeat are each reported; a null item_id is reported as null; rows that repeat are each
+Defined cases: null, empty and blank texts match nothing; items shorter than Q bytes (their budget is
+0 edits) are found as exact words only; equal matches of an item in a text are one row, with the least edits and
+then the first end; very long texts are searched whole; items that repeat are each reported; a null item_id is reported as null; rows that repeat are each
 reported; a null doc_id is kept; other columns are ignored; empty tables give an empty result.
 """
 
@@ -26,7 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import documents, map_batches, ragged, stored
 
-Q = 8
+#: Bytes of a q-gram, for items that are long enough for the lemma to bound anything (m - q + 1 - q * e >= 1), and for shorter ones.
+Q, SHORT_Q = 8, 4
 #: Edits allowed as a share of the item's bytes.
 BUDGET = 0.1
 BLOCK_BYTES = 4 << 20
@@ -51,12 +54,12 @@ def normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data[~drop], starts
 
 
-def codes(data: np.ndarray) -> np.ndarray:
-    """The Q = 8 bytes at each position as one number."""
-    if len(data) < Q:
+def codes(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q (4 or 8) bytes at each position as one number."""
+    if len(data) < q:
         return np.empty(0, np.uint64)
     c, step = data.astype(np.uint64), 1
-    for _ in range(3):
+    while step < q:
         c = (c[:-step] << np.uint64(8 * step)) | c[step:]
         step *= 2
     return c
@@ -66,8 +69,26 @@ def _slot(c: np.ndarray) -> np.ndarray:
     return ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
+class Grams:
+    """The q-grams of a block's items of one q, with all their places."""
+
+    def __init__(self, items: "Items", data: np.ndarray, starts: np.ndarray, q: int):
+        self.q = q
+        own = (items.q == q) & (items.m >= Q)
+        self.least = int(items.least[own].min(initial=1 << 40))
+        n = np.where(own, items.m - q + 1, 0)
+        place = ragged(np.zeros(len(n), np.int64), n)
+        item = np.repeat(np.arange(len(n)), n)
+        c = codes(data, q)[starts[item] + place] if len(place) else np.empty(0, np.uint64)
+        order = np.argsort(c, kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.codes, self.first, self.count = np.unique(c[order], return_index=True, return_counts=True)
+        self.table = np.zeros(1 << _TABLE_BITS, bool)
+        self.table[_slot(self.codes)] = True
+
+
 class Items:
-    """A block of items: their q-grams with all their places, thresholds and band widths."""
+    """A block of items: budgets, thresholds, band widths and q-grams."""
 
     def __init__(self, ids: list, texts: list[str], budget: float = BUDGET):
         data, starts = normal(texts)
@@ -75,20 +96,14 @@ class Items:
         self.ids = ids
         self.items = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
         self.m = (ends - starts).astype(np.int64)
-        # The budget is lowered where the lemma would otherwise say nothing.
-        self.e = np.maximum(np.minimum((self.m * budget).astype(np.int64), (self.m - Q) // Q), 0)
-        self.least = np.maximum(self.m - Q + 1 - Q * self.e, 1)
+        self.e = (self.m * budget).astype(np.int64)
+        self.q = np.where(self.m - Q + 1 - Q * self.e >= 1, Q, SHORT_Q)
+        self.least = self.m - self.q + 1 - self.q * self.e
+        if ((self.m >= Q) & (self.least < 1)).any():
+            raise ValueError("a budget under which an item need not share any q-gram")
         self.width = self.e + 1
         self.short = [k for k in range(len(ids)) if 0 < self.m[k] < Q]
-        n = np.maximum(self.m - Q + 1, 0)
-        place = ragged(np.zeros(len(n), np.int64), n)
-        item = np.repeat(np.arange(len(n)), n)
-        c = codes(data)[starts[item] + place] if len(place) else np.empty(0, np.uint64)
-        order = np.argsort(c, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.codes, self.first, self.count = np.unique(c[order], return_index=True, return_counts=True)
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[_slot(self.codes)] = True
+        self.grams = [Grams(self, data, starts, q) for q in (Q, SHORT_Q)]
 
     def align(self, k: int, text: bytes, low: int) -> tuple[int, int] | None:
         """Least edits of item k against text with start diagonals from low to low + 2 * width, and where it ends; None if over the budget."""
@@ -120,37 +135,8 @@ class Items:
         data, starts = normal(texts)
         found: dict[tuple[int, int], tuple[int, int]] = {}
         bounds = np.append(starts, len(data))
-        c = codes(data)
-        hit = np.flatnonzero(self.table[_slot(c)]) if len(self.codes) else np.empty(0, np.int64)
-        if len(hit):
-            at = np.minimum(np.searchsorted(self.codes, c[hit]), len(self.codes) - 1)
-            good = self.codes[at] == c[hit]
-            hit, at = hit[good], at[good]
-        if len(hit):
-            text = np.searchsorted(starts, hit, side="right") - 1
-            # A text needs as many hits as the least demanding item.
-            enough = np.bincount(text, minlength=len(texts))[text] >= self.least[self.m >= Q].min()
-            hit, at, text = hit[enough], at[enough], text[enough]
-            n = self.count[at]
-            o = ragged(self.first[at], n)
-            item, text = self.item[o], np.repeat(text, n)
-            diagonal = np.repeat(hit, n) - starts[text] - self.place[o]
-            top = int(self.m.max()) + 2
-            band = (diagonal + top) // self.width[item]
-            span = int(band.max(initial=0)) + 2
-            key = (text * len(self.ids) + item) * span + band
-            key, count = np.unique(key, return_counts=True)
-            # A band has its own diagonals and those of the next one.
-            total = count.copy()
-            follows = np.flatnonzero(key[1:] == key[:-1] + 1)
-            total[follows] += count[follows + 1]
-            band, rest = key % span, key // span
-            text, item = rest // len(self.ids), rest % len(self.ids)
-            for j in np.flatnonzero((total >= self.least[item])).tolist():
-                t, k = int(text[j]), int(item[j])
-                own = data[bounds[t] : bounds[t + 1] - 1].tobytes()
-                if (hit_at := self.align(k, own, int(band[j]) * int(self.width[k]) - top)) is not None and ((t, k) not in found or hit_at < found[t, k]):
-                    found[t, k] = hit_at
+        for grams in self.grams:
+            self._search(grams, data, bounds, found)
         for k in self.short:
             for t in range(len(texts)):
                 own = b" " + data[bounds[t] : bounds[t + 1] - 1].tobytes() + b" "
@@ -159,6 +145,44 @@ class Items:
         return [(t, k, *v) for (t, k), v in sorted(found.items())]
 
 
+    def _search(self, grams: Grams, data: np.ndarray, bounds: np.ndarray, found: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Adds to found (text, item): the least edits and where they end."""
+        if not len(grams.codes):
+            return
+        starts = bounds[:-1]
+        c = codes(data, grams.q)
+        hit = np.flatnonzero(grams.table[_slot(c)])
+        at = np.minimum(np.searchsorted(grams.codes, c[hit]), len(grams.codes) - 1)
+        good = grams.codes[at] == c[hit]
+        hit, at = hit[good], at[good]
+        if not len(hit):
+            return
+        text = np.searchsorted(starts, hit, side="right") - 1
+        # A text needs as many hits as the least demanding item.
+        enough = np.bincount(text, minlength=len(starts))[text] >= grams.least
+        hit, at, text = hit[enough], at[enough], text[enough]
+        n = grams.count[at]
+        o = ragged(grams.first[at], n)
+        item, text = grams.item[o], np.repeat(text, n)
+        diagonal = np.repeat(hit, n) - starts[text] - grams.place[o]
+        top = int(self.m.max()) + 2
+        band = (diagonal + top) // self.width[item]
+        span = int(band.max(initial=0)) + 2
+        key = (text * len(self.ids) + item) * span + band
+        key, count = np.unique(key, return_counts=True)
+        # A band has its own diagonals and those of the next one.
+        total = count.copy()
+        follows = np.flatnonzero(key[1:] == key[:-1] + 1)
+        total[follows] += count[follows + 1]
+        band, rest = key % span, key // span
+        text, item = rest // len(self.ids), rest % len(self.ids)
+        for j in np.flatnonzero(total >= self.least[item]).tolist():
+            t, k = int(text[j]), int(item[j])
+            own = data[bounds[t] : bounds[t + 1] - 1].tobytes()
+            if (hit_at := self.align(k, own, int(band[j]) * int(self.width[k]) - top)) is not None and ((t, k) not in found or hit_at < found[t, k]):
+                found[t, k] = hit_at
+
+
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple]]:
     """The items in blocks of about block_bytes by a hash of their text."""
     rows = benchmark.select("item_id", "text").where("length(trim(text)) > 0")
