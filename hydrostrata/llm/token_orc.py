@@ -52,14 +52,11 @@ def library_encoder(path: str) -> PieceEncoder:
             raise ValueError("a byte-level tokenizer without a prefix space is needed")
         model, table = Tokenizer.from_file(path).model, _byte_chars()
 
-        blank = table[32]
-
-        def written(m: str) -> str:
-            """The match in the model's characters; printable ASCII stands for itself but for the space."""
-            return m.replace(" ", blank) if m.isascii() and m.isprintable() else m.encode().decode("latin-1").translate(table)
+        blank, tokenize = table[32], model.tokenize
 
         def encode_new(matches: list[str]) -> list[list[int]]:
-            return [[t.id for t in model.tokenize(written(m))] for m in matches]
+            """Matches are handed over in the model's characters; printable ASCII stands for itself but for the space."""
+            return [[t.id for t in tokenize(m.replace(" ", blank) if m.isascii() and m.isprintable() else m.encode().decode("latin-1").translate(table))] for m in matches]
 
         _ENCODERS[path] = PieceEncoder(public_tokenizers.PATTERN, encode_new)
     return _ENCODERS[path]
