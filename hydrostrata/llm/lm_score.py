@@ -39,6 +39,8 @@ CHUNK, PART_BYTES = 12 << 20, 8 << 20
 #: Share of the unigram model in the interpolation.
 UNIGRAM = 0.4
 _START = np.uint64(0x9E3779B97F4A7C15)
+#: Texts are stored once and sent twice: matches over the whole chunk are worth their time.
+_LONG = zstandard.ZstdCompressionParameters.from_level(6, window_log=24, enable_ldm=True)
 _WORD, _CONTEXT, _BIGRAM = (np.uint64(k) for k in range(3))
 
 
@@ -54,7 +56,7 @@ def words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def pack_sorted(keys: np.ndarray, *counts: np.ndarray, sums: tuple[int, ...] = ()) -> bytes:
     """Differences of the keys, the counts and some sums; bytes of equal weight lie together, so that leading zeros compress away."""
     arrays = [narrow(a) for a in ([np.diff(keys, prepend=np.uint64(0))] if len(keys) else []) + list(counts)]
-    return pack(np.array([len(counts[0]), *sums], np.int64), *(np.ascontiguousarray(a.view("u1").reshape(len(a), a.itemsize).T).ravel() for a in arrays))
+    return pack(np.array([len(counts[0]), *sums], np.int64), *(np.ascontiguousarray(a.view("u1").reshape(len(a), a.itemsize).T).ravel() for a in arrays), level=3)
 
 
 def unpack_sorted(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -115,7 +117,7 @@ def in_chunks(docs: DataFrame, kind: str) -> DataFrame:
             for part in sliced(batch, CHUNK):
                 data = pc.fill_null(part.column("text"), "").cast(pa.large_binary())
                 lens = pc.binary_length(data).to_numpy()
-                z = pack(narrow(lens), np.frombuffer(zstandard.ZstdCompressor(level=3).compress(b"".join(data.to_pylist())), np.uint8))
+                z = pack(narrow(lens), np.frombuffer(zstandard.ZstdCompressor(compression_params=_LONG).compress(b"".join(data.to_pylist())), np.uint8))
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id"))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([int(lens.sum())], pa.int64()), pa.array([z], pa.binary())], ["chunk", "ids", "size", "z"])
                 number += 1

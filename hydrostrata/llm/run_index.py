@@ -52,11 +52,11 @@ _CODES = {c: np.dtype(d) for c, d in zip(b"ilIHB", ("<i8", "<i4", "<u4", "<u2",
 _CODE_OF = {d: bytes([c]) for c, d in _CODES.items()}
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value."""
     arrays = [a.astype(a.dtype.newbyteorder("<"), copy=False) for a in arrays]
     head = b"".join(_CODE_OF[a.dtype] + len(a).to_bytes(6, "little") for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(bytes([len(arrays)]) + head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(bytes([len(arrays)]) + head + b"".join(a.tobytes() for a in arrays))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
