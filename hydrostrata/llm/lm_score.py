@@ -39,8 +39,6 @@ CHUNK, PART_BYTES = 12 << 20, 8 << 20
 #: Share of the unigram model in the interpolation.
 UNIGRAM = 0.4
 _START = np.uint64(0x9E3779B97F4A7C15)
-#: Texts are stored once and sent twice: matches over the whole chunk are worth their time.
-_LONG = zstandard.ZstdCompressionParameters.from_level(6, window_log=24, enable_ldm=True)
 _WORD, _CONTEXT, _BIGRAM = (np.uint64(k) for k in range(3))
 
 
@@ -113,11 +111,12 @@ def in_chunks(docs: DataFrame, kind: str) -> DataFrame:
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        far = zstandard.ZstdCompressionParameters.from_level(6, window_log=24, enable_ldm=True)  # texts are stored once and sent twice: matches over the whole chunk are worth their time
         for batch in batches:
             for part in sliced(batch, CHUNK):
                 data = pc.fill_null(part.column("text"), "").cast(pa.large_binary())
                 lens = pc.binary_length(data).to_numpy()
-                z = pack(narrow(lens), np.frombuffer(zstandard.ZstdCompressor(compression_params=_LONG).compress(b"".join(data.to_pylist())), np.uint8))
+                z = pack(narrow(lens), np.frombuffer(zstandard.ZstdCompressor(compression_params=far).compress(b"".join(data.to_pylist())), np.uint8))
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id"))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([int(lens.sum())], pa.int64()), pa.array([z], pa.binary())], ["chunk", "ids", "size", "z"])
                 number += 1
