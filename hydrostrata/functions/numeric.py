@@ -80,5 +80,14 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x < 0, tail).otherwise(1 - tail)
 
 
+def standard_log(x: Column, mu: Column, sigma: Column) -> Column:
+    """The standard normal variate of a lognormal one; null where x is not positive."""
+    return F.when(x > 0, (F.ln(x) - mu) / sigma)
+
+
+#: Cubic feet a second in cubic metres a day.
+CFS_TO_M3_DAY = 0.3048**3 * 86400
+
+
 def lognormal_cdf(x: Column, mu: Column, sigma: Column) -> Column:
     return F.when(x <= 0, 0.0).otherwise(normal_cdf((F.ln(F.greatest(x, F.lit(1e-300))) - mu) / sigma))

@@ -94,3 +94,20 @@ def effective_moves(moves: DataFrame, months: DataFrame) -> DataFrame:
     """Water moves in force in each month: start <= month < end. Moves are a stated table, exploded to their months and equi-joined."""
     span = moves.where("start_month < end_month").withColumn("month", F.explode(F.sequence("start_month", F.col("end_month") - 1)))
     return months.join(span, "month")
+
+
+def depth_to_volume(df: DataFrame, depths: list[str], area: str) -> DataFrame:
+    """Depths of water over a field's area as volumes."""
+    return df.withColumns({c: F.col(c) * F.col(area) for c in depths})
+
+
+def pumping(df: DataFrame, well: list[str], day: str, order: str, volume: str) -> DataFrame:
+    """By well and month: daily values kept as they are overwritten (the last field of the day), and the month's volume and mean rate, which add every field up."""
+    month = F.trunc(day, "month")
+    days = df.groupBy(*well, day).agg(F.max_by(volume, order).alias("last"), F.sum(volume).alias("all"))
+    return days.groupBy(*well, month.alias("month")).agg(F.sum("last").alias("daily_sum"), F.sum("all").alias("monthly"), (F.sum("all") / F.day(F.last_day(F.max(day)))).alias("rate"))
+
+
+def segment_runoff(df: DataFrame, segment: list[str], runoff: str, days: int) -> DataFrame:
+    """A month's runoff by stream segment as a daily rate."""
+    return df.groupBy(*segment).agg((F.sum(runoff) / days).alias("rate"))

@@ -45,36 +45,105 @@ def _model(kind: str, nugget: float, sill: float, reach: float):
     return cov
 
 
-def kriging_weights(neighbours: DataFrame, kind: str, nugget: float, sill: float, reach: float, ordinary: bool = True) -> DataFrame:
-    """(qid, pid, weight) of ordinary or simple kriging; the k neighbours of a target are one row, solved in Arrow batches.
+Model = tuple[str, float, float, float]  # kind, nugget, partial sill, range
 
-    Sources that coincide make a singular system; the pseudo-inverse shares the weight among them.
+
+def kriging_weights(neighbours: DataFrame, kind: str, nugget: float, sill: float, reach: float, ordinary: bool = True, zones: dict[int, Model] | None = None, cross: dict[tuple[int, int], Model] | None = None) -> DataFrame:
+    """(qid, pid, weight) of ordinary or simple kriging; the neighbours of a target are one row, and all systems of one size in an Arrow batch are solved at once.
+
+    zones: models by the targets' `zone` column, the given one for other zones. cross: models by pairs of datasets
+    (0 is the estimated one) for neighbours with a column `dataset`; all weights together add up to 1. Sources that
+    coincide make a singular system; the pseudo-inverse shares the weight among them.
     """
-    gathered = neighbours.groupBy("qid", "qx", "qy").agg(F.sort_array(F.collect_list(F.struct("rank", "pid", "px", "py"))).alias("near"))
-    cov = _model(kind, nugget, sill, reach)
+    keys = ["qid", "qx", "qy"] + ["zone"] * (zones is not None)
+    part = F.col("dataset").cast("int") if cross else F.lit(0)
+    gathered = neighbours.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(part.alias("set"), F.col("rank"), F.col("pid"), F.col("px"), F.col("py")))).alias("near"))
+    base = (kind, nugget, sill, reach)
+    sets = sorted({k for pair in cross for k in pair}) if cross else [0]
+    sid = {int(k): m for k, m in (zones or {}).items()}
+
+    def matrix(d: np.ndarray, left: np.ndarray, right: np.ndarray, model: Model) -> np.ndarray:
+        if not cross:
+            return _model(*model)(d)
+        out = np.empty(d.shape)
+        for i in sets:
+            for j in sets:
+                at = np.broadcast_to((left == i) & (right == j), d.shape)
+                out[at] = _model(*(cross.get((i, j)) or cross[j, i]))(d)[at]
+        return out
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
+            size = pdf.near.map(len).to_numpy()
+            zone = pdf.zone.map(lambda z: z if z in sid else -1).to_numpy() if zones is not None else np.full(len(pdf), -1)
             out = []
-            for row in pdf.itertuples(index=False):
-                xy = np.array([(p["px"], p["py"]) for p in row.near])
-                n = len(xy)
-                a = np.ones((n + 1, n + 1)) if ordinary else np.empty((n, n))
-                a[:n, :n] = cov(np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)))
-                b = np.ones(len(a))
-                b[:n] = cov(np.hypot(xy[:, 0] - row.qx, xy[:, 1] - row.qy))
+            for n, z in sorted(set(zip(size.tolist(), zone.tolist(), strict=True))):
+                own = pdf[(size == n) & (zone == z)]
+                flat = [(p["px"], p["py"], p["set"]) for near in own.near for p in near]
+                xyz = np.array(flat, float).reshape(len(own), n, 3)
+                xy, part = xyz[:, :, :2], xyz[:, :, 2]
+                model, m = sid.get(z, base), n + ordinary
+                a, b = np.ones((len(own), m, m)), np.ones((len(own), m))
+                a[:, :n, :n] = matrix(np.hypot(*np.moveaxis(xy[:, :, None] - xy[:, None], 3, 0)), part[:, :, None], part[:, None, :], model)
+                b[:, :n] = matrix(np.hypot(*np.moveaxis(xy - own[["qx", "qy"]].to_numpy(float)[:, None], 2, 0)), part, np.zeros_like(part), model)
                 if ordinary:
-                    a[n, n] = 0.0
+                    a[:, n, n] = 0.0
                 try:
-                    w = np.linalg.solve(a, b)
+                    w = np.linalg.solve(a, b[:, :, None])[:, :, 0]
                 except np.linalg.LinAlgError:
-                    w = np.linalg.pinv(a) @ b
-                out += [(row.qid, p["pid"], float(v)) for p, v in zip(row.near, w[:n], strict=True)]
-            yield pd.DataFrame(out, columns=["qid", "pid", "weight"])
+                    w = (np.linalg.pinv(a) @ b[:, :, None])[:, :, 0]
+                out.append(pd.DataFrame({"qid": np.repeat(own.qid.to_numpy(), n), "pid": [p["pid"] for near in own.near for p in near], "weight": w[:, :n].ravel()}))
+            if out:
+                yield pd.concat(out)
 
     return gathered.mapInPandas(solve, "qid long, pid long, weight double")
 
 
+def without_negatives(weights: DataFrame) -> DataFrame:
+    """Negative weights become 0, and a target that had any has its others scaled to add up to 1."""
+    w = Window.partitionBy("qid")
+    raised = F.greatest(F.col("weight"), F.lit(0.0))
+    return weights.withColumn("weight", F.when(F.min("weight").over(w) < 0, raised / F.sum(raised).over(w)).otherwise(F.col("weight")))
+
+
+def not_farther(neighbours: DataFrame, reach: float, most: float | None = None) -> DataFrame:
+    """Neighbours at most `most` away, by default three times the variogram's range: the filter of secondary datasets."""
+    far = reach * 3.0 if most is None or most < 0.1 else most
+    return neighbours.where(F.sqrt("d2") <= far)
+
+
+def category_idw(targets: DataFrame, points: DataFrame, category: str, value: str, power: float = 2.0) -> DataFrame:
+    """(qid, estimate) by inverse distances to all points of the target's category; points at distance 0 share the weight, a category's only point has all of it."""
+    d2 = (F.col("qx") - F.col("px")) * (F.col("qx") - F.col("px")) + (F.col("qy") - F.col("py")) * (F.col("qy") - F.col("py"))
+    pairs = targets.join(points.select(category, "px", "py", value), category).withColumn("_d", d2)
+    w = F.when(F.col("_d") > 0, F.pow("_d", F.lit(-power / 2)))
+    sums = pairs.groupBy("qid").agg(F.avg(F.when(F.col("_d") == 0, F.col(value))).alias("_at"), (F.sum(w * F.col(value)) / F.sum(w)).alias("_near"))
+    return sums.select("qid", F.coalesce("_at", "_near").alias("estimate"))
+
+
+def simple_kriging(targets: DataFrame, points: DataFrame, value: str, kind: str, nugget: float, sill: float, reach: float, most_points: int = 5_000) -> DataFrame:
+    """(qid, estimate) of simple kriging from all points: the system is solved once, and each target adds its covariances times the solution to the mean.
+
+    The points are the survey, counted before they come to the driver (n squared memory there, n a task); more than
+    `most_points` need kriging_weights on neighbours.
+    """
+    rows = points.select("px", "py", value).limit(most_points + 1).collect()
+    if len(rows) > most_points:
+        raise ValueError(f"more than {most_points} points")
+    xy, v = np.array([(r[0], r[1]) for r in rows], float).reshape(-1, 2), np.array([r[2] for r in rows], float)
+    cov, mean = _model(kind, nugget, sill, reach), float(v.mean()) if len(v) else float("nan")
+    alpha = np.linalg.lstsq(cov(np.hypot(*np.moveaxis(xy[:, None] - xy[None], 2, 0))), v - mean, rcond=None)[0] if len(v) else v
+
+    def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for a in range(0, len(pdf), 1000):
+                own = pdf.iloc[a : a + 1000]
+                d = np.hypot(own.qx.to_numpy(float)[:, None] - xy[:, 0], own.qy.to_numpy(float)[:, None] - xy[:, 1])
+                yield pd.DataFrame({"qid": own.qid.to_numpy(), "estimate": mean + cov(d) @ alpha})
+
+    return targets.select("qid", "qx", "qy").mapInPandas(estimate, "qid long, estimate double")
+
+
 def simple_estimate(weights: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """Simple kriging: weighted residuals from the mean of all values, the mean added back."""
     mean = values.agg(F.avg(value).alias("_mean"))
@@ -92,6 +161,36 @@ def empirical_variogram(points: DataFrame, value: str, lag: float, bins: int) ->
     return pairs.groupBy("bin").agg((F.avg(diff * diff) / 2).alias("gamma"), F.count("*").alias("pairs"), F.avg(F.sqrt("d2")).alias("distance"))
 
 
+def directional_variogram(points: DataFrame, value: str, lag: float, bins: int, azimuth: float, tolerance: float) -> DataFrame:
+    """The empirical variogram of pairs whose direction is within `tolerance` degrees of the azimuth (degrees from the y axis, either way)."""
+    import math
+
+    from .spatial import within_radius
+
+    q = points.select(F.col("pid").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col(value).alias("_v"))
+    pairs = within_radius(q, points.select("pid", "px", "py", value), lag * bins).where("qid < pid and d2 > 0").withColumn("bin", F.floor(F.sqrt("d2") / lag).cast("int")).where(F.col("bin") < bins)
+    along = F.abs((F.col("px") - F.col("qx")) * math.sin(math.radians(azimuth)) + (F.col("py") - F.col("qy")) * math.cos(math.radians(azimuth)))
+    diff = F.col(value) - F.col("_v")
+    return pairs.where(along >= F.sqrt("d2") * math.cos(math.radians(tolerance))).groupBy("bin").agg((F.avg(diff * diff) / 2).alias("gamma"), F.count("*").alias("pairs"), F.avg(F.sqrt("d2")).alias("distance"))
+
+
+def fit_variogram(bins: DataFrame, kind: str, ranges: list[float]) -> DataFrame:
+    """One row (reach, nugget, sill, r2): of the candidate ranges the one whose nugget and partial sill, by least squares weighted with the pairs and not negative, fit the bins (distance, gamma, pairs) best. Bins and ranges are small by nature."""
+    tries = bins.sparkSession.createDataFrame([(float(r),) for r in ranges], "reach double")
+    rows = bins.select("distance", "gamma", F.col("pairs").cast("double").alias("w")).join(F.broadcast(tries))
+    h = F.col("distance") / F.col("reach")
+    shape = F.when(h < 1, 1.5 * h - 0.5 * h * h * h).otherwise(1.0) if kind == "spherical" else 1 - F.exp(-3 * h)
+    w, f, g = F.col("w"), F.col("f"), F.col("gamma")
+    s = rows.withColumn("f", shape).groupBy("reach").agg(*(F.sum(c).alias(k) for k, c in {"n": w, "sf": w * f, "sff": w * f * f, "sg": w * g, "sgg": w * g * g, "sfg": w * f * g}.items()))
+    n, sf, sff, sg, sgg, sfg = (F.col(c) for c in ("n", "sf", "sff", "sg", "sgg", "sfg"))
+    free = (n * sfg - sf * sg) / F.nullif(n * sff - sf * sf, F.lit(0.0))
+    s = s.withColumn("sill", F.coalesce(F.greatest(free, F.lit(0.0)), F.lit(0.0))).withColumn("nugget", (sg - F.col("sill") * sf) / n)
+    s = s.withColumn("sill", F.when(F.col("nugget") < 0, sfg / sff).otherwise(F.col("sill"))).withColumn("nugget", F.greatest("nugget", F.lit(0.0)))
+    c0, c1 = F.col("nugget"), F.col("sill")
+    sse = sgg - 2 * c0 * sg - 2 * c1 * sfg + c0 * c0 * n + 2 * c0 * c1 * sf + c1 * c1 * sff
+    return s.withColumn("r2", 1 - sse / F.nullif(sgg - sg * sg / n, F.lit(0.0))).agg(F.max_by(F.struct("reach", "nugget", "sill", "r2"), F.struct("r2", -F.col("reach"))).alias("b")).select("b.*")
+
+
 def simulate(neighbour_zones: DataFrame, seed: int, k: int, kind: str, nugget: float, sill: float, reach: float) -> DataFrame:
     """Sequential Gaussian simulation, one Arrow group a (zone, realisation).
 

@@ -78,3 +78,33 @@ def first_below(df: DataFrame, by: list[str], depth: str, classes: list[str], la
     hit = F.col(label).isin(classes)
     found = df.groupBy(*by).agg(F.min(F.when(hit, F.col(depth))).alias("bottom"), F.max(depth).alias("deepest"))
     return found.withColumn("bottom", F.coalesce("bottom", "deepest"))
+
+
+def class_thickness(logs: DataFrame, pixels: DataFrame, on: list[str], pixel: list[str], label: str, classes: list[str]) -> DataFrame:
+    """Thickness of each class (a column each) by pixel, over the log intervals that overlap it; other labels are left out."""
+    pairs = overlap_join(logs.where(F.col(label).isin(classes)), pixels, on)
+    return pairs.groupBy(*on, *pixel).agg(*(F.sum(F.when(F.col(label) == c, F.col("thickness")).otherwise(0.0)).alias(c) for c in classes))
+
+
+def bottom_scan(pixels: DataFrame, starts: DataFrame, by: list[str], classes: list[str], bedrock: float) -> DataFrame:
+    """(by, pid, bottom): where a column of pixels (point, label, mid, bot: elevations) leaves or meets the bottom classes, from a start elevation.
+
+    The scan begins at the pixel whose middle is nearest to `start`. Outside the bottom classes it walks down to the
+    last pixel above one of them. Inside, if all pixels down to `bedrock` below are of these classes, it walks up to
+    the first that is not (or the first pixel of all); otherwise it takes the pixel above. The bottom counts only for
+    1 < pid <= the pixel nearest to `doi` (depth of investigation), and not where no pixel has a class. starts: by, start, doi.
+    """
+    row = F.struct("point", "label", "mid", "bot")
+    a = pixels.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("a")).join(starts, by)
+    near = lambda c, at: F.array_min(F.transform("a", lambda p: F.struct(F.abs(p[c] - at).alias("gap"), p["point"].alias("point"), p["label"].alias("label"), p["mid"].alias("mid"))))
+    bottom = lambda p: F.coalesce(p["label"].isin(classes), F.lit(False))
+    a = a.withColumns({"_at": near("mid", F.col("start")), "_deep": near("bot", F.col("doi"))["point"]}).withColumn("_bed", near("bot", F.col("_at.mid") - bedrock)["point"])
+    point = lambda p: p["point"]
+    at, first, last = F.col("_at.point"), F.col("a")[0]["point"], F.element_at("a", -1)["point"]
+    rock = F.forall(F.filter("a", lambda p: (p["point"] >= at) & (p["point"] <= F.col("_bed"))), bottom)
+    up = F.coalesce(F.array_max(F.transform(F.filter("a", lambda p: (p["point"] < at) & ~bottom(p)), point)), first)
+    down = F.coalesce(F.array_min(F.transform(F.filter("a", lambda p: (p["point"] > at) & bottom(p)), point)), last) - 1
+    pid = F.when(bottom(F.col("_at")), F.when(rock, up).otherwise(at - 1)).otherwise(down)
+    a = a.withColumn("pid", F.when(F.exists("a", lambda p: p["label"].isNotNull()), pid))
+    found = F.get(F.transform(F.filter("a", lambda p: p["point"] == F.col("pid")), lambda p: p["bot"]), F.lit(0))
+    return a.select(*by, "pid", F.when((F.col("pid") > 1) & (F.col("pid") <= F.col("_deep")), found).alias("bottom"))

@@ -17,9 +17,15 @@ def standardise(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.withColumn("z", (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0)))
 
 
+def draw(*keys: Column | str) -> Column:
+    """A whole number from 0 to 2**28 - 1 that depends on the keys alone: the first seven hexadecimal digits of the md5 of the keys, joined by '-'."""
+    text = F.concat_ws("-", *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
 def fold(column: str, folds: int, seed: int) -> Column:
     """A fold number that depends on the id and the seed only."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(folds)).cast("int")
+    return (draw(column, F.lit(seed)) % folds).cast("int")
 
 
 def _poisson(u: Column) -> Column:
@@ -36,8 +42,7 @@ def _poisson(u: Column) -> Column:
 def bootstrap_means(df: DataFrame, by: list[str], key: list[str], value: str, replicates: int, seed: int = 1) -> DataFrame:
     """2.5 and 97.5 percent limits of the mean, by Poisson bootstrap: each row draws its count in each replicate from a hash of its key."""
     rows = df.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(*key, "_r", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.withColumn("_k", _poisson(u))
+    rows = rows.withColumn("_u", draw(*key, "_r", F.lit(seed)) / float(1 << 28)).withColumn("_k", _poisson(F.col("_u")))
     means = rows.groupBy(*by, "_r").agg((F.sum(F.col("_k") * F.col(value)) / F.nullif(F.sum("_k"), F.lit(0))).alias("_m"))
     return means.groupBy(*by).agg(F.expr("percentile(_m, 0.025)").alias("low"), F.expr("percentile(_m, 0.975)").alias("high"), F.avg("_m").alias("mean"))
 
@@ -62,6 +67,55 @@ def weighted_regression(df: DataFrame, by: list[str], xs: list[str], y: str, wei
     return grouped.mapInPandas(solve, schema)
 
 
+def bootstrap_regression(df: DataFrame, by: list[str], key: list[str], xs: list[str], y: str, weight: str, replicates: int, seed: int = 1) -> DataFrame:
+    """(by, replicate, coef_x, inverse_x): weighted least squares in each Poisson replicate; replicates with a negative coefficient are left out."""
+    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    rows = rows.withColumn("_u", draw(*key, "replicate", F.lit(seed)) / float(1 << 28)).withColumn("_k", _poisson(F.col("_u")) * F.col(weight)).where("_k > 0")
+    out = weighted_regression(rows, [*by, "replicate"], xs, y, "_k")
+    good = out.where(~F.greatest(*((F.col(f"coef_{x}") < 0) for x in xs)) if len(xs) > 1 else F.col(f"coef_{xs[0]}") >= 0)
+    return good.withColumns({f"inverse_{x}": 1 / F.nullif(F.col(f"coef_{x}"), F.lit(0.0)) for x in xs})
+
+
+def silhouette(df: DataFrame, key: str, label: str, xs: list[str], most_clusters: int = 10_000) -> DataFrame:
+    """(key, label, silhouette) by mean squared distances, from sums by cluster instead of pairs; 0 in a cluster of one. Clusters are counted before they are sent to every task."""
+    square = sum((F.col(x) * F.col(x) for x in xs), F.lit(0.0))
+    sums = df.groupBy(F.col(label).alias("_c")).agg(F.count("*").alias("_n"), F.sum(square).alias("_q"), *(F.sum(x).alias(f"_s{k}") for k, x in enumerate(xs)))
+    if (n := sums.count()) > most_clusters:
+        raise ValueError(f"{n} clusters: silhouettes compare each row with every cluster")
+    total = F.col("_n") * square + F.col("_q") - 2 * sum((F.col(x) * F.col(f"_s{k}") for k, x in enumerate(xs)), F.lit(0.0))
+    rows = df.select(key, label, *xs).join(F.broadcast(sums)).withColumn("_d", F.greatest(total, F.lit(0.0)))
+    own = F.col("_c") == F.col(label)
+    both = rows.groupBy(key, label).agg(F.max(F.when(own, F.col("_n"))).alias("_m"), F.max(F.when(own & (F.col("_n") > 1), F.col("_d") / (F.col("_n") - 1))).alias("_a"), F.min(F.when(~own, F.col("_d") / F.col("_n"))).alias("_b"))
+    return both.select(key, label, F.when(F.col("_m") == 1, 0.0).otherwise((F.col("_b") - F.col("_a")) / F.nullif(F.greatest("_a", "_b"), F.lit(0.0))).alias("silhouette"))
+
+
+def natural_breaks(df: DataFrame, value: str, classes: int, most_values: int = 5_000) -> DataFrame:
+    """(class from 1, upper): the upper ends of the classes of least summed squared deviation (Jenks), from the distinct values and their counts, which are counted before they come to the driver."""
+    import numpy as np
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    rows = counts.orderBy("v").limit(most_values + 1).collect()
+    if len(rows) > most_values:
+        raise ValueError(f"more than {most_values} distinct values: round them first")
+    v, n = np.array([r["v"] for r in rows]), np.array([r["n"] for r in rows], float)
+    w, s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (n, n * v, n * v * v))
+    size = len(v)
+    i, j = np.meshgrid(np.arange(size + 1), np.arange(size + 1), indexing="ij")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cost = np.where(j > i, (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (w[j] - w[i]), np.inf)
+    best, back = cost[0], []
+    for _ in range(min(classes, size) - 1):
+        total = best[:, None] + cost
+        back.append(total.argmin(axis=0))
+        best = total.min(axis=0)
+    cuts, at = [size], size
+    for b in reversed(back):
+        at = int(b[at])
+        cuts.append(at)
+    uppers = [float(v[c - 1]) for c in sorted(c for c in cuts if c > 0)] if size else []
+    return df.sparkSession.createDataFrame(list(enumerate(uppers, 1)), "class int, upper double")
+
+
 def coassociation(runs: DataFrame) -> DataFrame:
     """Share of runs in which two ids have one label; runs: id, run, label. Ids are the rows of one survey, compared within (run, label)."""
     n = runs.select("run").distinct().count()

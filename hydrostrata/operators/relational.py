@@ -79,3 +79,22 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows that break a rule, one row a broken rule, with its name."""
     names = F.array_compact(F.array(*(F.when(c, name) for name, c in rules.items())))
     return df.withColumn("rule", F.explode(names))
+
+
+def all_true(df: DataFrame, by: list[str], condition: Column) -> DataFrame:
+    """By key, whether the condition holds in every row (a null one does not)."""
+    return df.groupBy(*by).agg(F.every(F.coalesce(condition, F.lit(False))).alias("all"))
+
+
+def replace_tokens(lines: DataFrame, line: str, tokens: dict[str, str]) -> DataFrame:
+    """Each token ~name~ of template lines, white space inside it included, replaced by its value."""
+    out = F.col(line)
+    for name, text in tokens.items():
+        out = F.regexp_replace(out, rf"~\s*{name}\s*~", text)
+    return lines.withColumn(line, out)
+
+
+def tail_of_sums(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
+    """The n groups of greatest sums, ascending as a sorted table's tail."""
+    top = df.groupBy(*by).agg(F.sum(value).alias("total")).orderBy(F.desc("total"), *(F.desc(c) for c in by)).limit(n)
+    return top.orderBy("total", *by)

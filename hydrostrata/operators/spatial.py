@@ -1,9 +1,9 @@
 """Plane geometry joins on equi-joined square buckets: neighbours, radius, containment and cells.
 
-Nearest neighbours and radius counts deal points into square buckets. A query point meets the points of its
-ring of buckets only; neighbours are final once the k-th distance lies inside the ring, and queries for which
-it does not go on with a ring twice as wide. So no query is ever compared with all points unless its
-neighbours are that far away, and no side is broadcast.
+Nearest neighbours deal points into a pyramid of square buckets, each level twice as wide. A query takes the finest
+level at which its own bucket holds k points: the k-th neighbour is then no farther than that bucket's diagonal, and
+all candidates lie in the five by five buckets about it. Levels come from counts by bucket, so there is one equi-join
+and no loop; no query is compared with all points unless there are no more than it needs.
 """
 
 from __future__ import annotations
@@ -26,33 +26,33 @@ def _ring(queries: DataFrame, side: float, inner: int, outer: int) -> DataFrame:
     return out.withColumns({"_bx": _bucket("qx", side) + F.col("_dx"), "_by": _bucket("qy", side) + F.col("_dy")}).drop("_dx", "_dy")
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, side: float, most_rings: int = 64) -> DataFrame:
-    """(qid, pid, d2, rank) of the k nearest points; ties by pid. queries: qid, qx, qy; points: pid, px, py and more."""
-    placed = points.withColumns({"_bx": _bucket("px", side), "_by": _bucket("py", side)})
+def knn(queries: DataFrame, points: DataFrame, k: int, side: float) -> DataFrame:
+    """(qid, qx, qy, pid, px, py, ..., d2, rank) of the k nearest points; ties by pid. queries: qid, qx, qy; points: pid, px, py and more; side: of the finest buckets."""
+    ends = [df.agg(*(f(c) for c in cs for f in (F.min, F.max))).first() for df, cs in ((queries, ("qx", "qy")), (points, ("px", "py")))]
+    known = [e for e in ends if e[0] is not None]
+    x0, y0 = min((e[0] for e in known), default=0.0), min((e[2] for e in known), default=0.0)
+    wide = max((max(e[1] - x0, e[3] - y0) for e in known), default=0.0)
+    top = 0
+    while side * 2**top <= wide:  # one bucket holds everything
+        top += 1
+    at = lambda c, c0, level: F.floor((F.col(c) - c0) / (side * F.pow(F.lit(2.0), level))).cast("long")
+    level = F.col("_level")
+    every = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    counts = points.select("px", "py").withColumn("_level", every).groupBy("_level", at("px", x0, level).alias("_bx"), at("py", y0, level).alias("_by")).agg(F.count("*").alias("_n")).where((F.col("_n") >= k) | (level == top))
+    placed = queries.withColumn("_level", every).withColumns({"_bx": at("qx", x0, level), "_by": at("qy", y0, level)})
+    levels = placed.join(counts.select("_level", "_bx", "_by"), ["_level", "_bx", "_by"]).groupBy("qid").agg(F.min("_level").alias("_level"))
+    used = sorted(r[0] for r in levels.select("_level").distinct().collect())  # at most one row a level
+    if not used:
+        used = [top]
+    steps = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    asked = queries.join(levels, "qid").withColumn("_dx", steps).withColumn("_dy", steps)
+    asked = asked.withColumns({"_bx": at("qx", x0, level) + F.col("_dx"), "_by": at("qy", y0, level) + F.col("_dy")}).drop("_dx", "_dy")
+    held = points.withColumn("_level", F.explode(F.array(*map(F.lit, used)))).withColumns({"_bx": at("px", x0, level), "_by": at("py", y0, level)})
     d2 = (F.col("qx") - F.col("px")) * (F.col("qx") - F.col("px")) + (F.col("qy") - F.col("py")) * (F.col("qy") - F.col("py"))
+    reach = side * F.pow(F.lit(2.0), level)
+    found = asked.join(held, ["_level", "_bx", "_by"]).withColumn("d2", d2).where((level == top) | (F.col("d2") <= 2.000001 * reach * reach))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "pid"))
-    open_, inner, outer, done, kept = queries, -1, 1, [], None
-    total = points.count()
-    while True:
-        found = _ring(open_, side, inner, outer).join(placed, ["_bx", "_by"]).withColumn("d2", d2).drop("_bx", "_by")
-        if kept is not None:
-            found = found.unionByName(kept)
-        ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
-        if outer >= most_rings or total <= k:  # what is left has all its neighbours far away
-            placed_all = placed.drop("_bx", "_by")
-            rest = open_.crossJoin(placed_all).withColumn("d2", d2) if outer >= most_rings or total <= k else None
-            done.append(rest.withColumn("rank", rank).where(F.col("rank") <= k))
-            break
-        # A neighbour closer than the distance to the ring's edge can't be beaten from outside.
-        edge = F.least(*(e for c in ("qx", "qy") for e in (F.col(c) - (_bucket(c, side) - outer) * side, (_bucket(c, side) + outer + 1) * side - F.col(c))))
-        settled = ranked.where((F.col("rank") == k) & (F.col("d2") <= edge * edge)).select("qid").distinct()
-        done.append(ranked.join(settled, "qid", "left_semi"))
-        left = open_.join(settled, "qid", "left_anti")
-        if left.isEmpty():
-            break
-        kept = ranked.join(settled, "qid", "left_anti").drop("rank")
-        open_, inner, outer = left, outer, min(outer * 2, most_rings)
-    return reduce(DataFrame.unionByName, done)
+    return found.drop("_level", "_bx", "_by").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def within_radius(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
@@ -83,3 +83,35 @@ def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
 def label_polygons(df: DataFrame, x: str, y: str, polygons: list[tuple[str, list[tuple[float, float]]]], out: str = "area") -> DataFrame:
     """The first polygon, in the order given, that holds each point; polygons are a stated list."""
     return df.withColumn(out, F.coalesce(*(F.when(inside(F.col(x), F.col(y), ring), name) for name, ring in polygons), F.lit(None).cast("string")))
+
+
+def label_by_polygon_table(points: DataFrame, polygons: DataFrame, side: float, buffer: float = 0.0) -> DataFrame:
+    """(points' columns, area): the label of least priority whose polygon holds the point or lies within `buffer` of it. points: pid, px, py; polygons: label, priority, ring (array of x, y structs), of which several rows with one label make a union.
+
+    Polygons are dealt to the square buckets that their box covers, and meet only the points of these.
+    """
+    axis = lambda c: F.transform("ring", lambda p: p[c])
+    box = {f"_{end}{c}": f(axis(c)) for end, f in (("lo", F.array_min), ("hi", F.array_max)) for c in ("x", "y")}
+    cells = lambda c: F.explode(F.sequence(F.floor((F.col(f"_lo{c}") - buffer) / side), F.floor((F.col(f"_hi{c}") + buffer) / side)))
+    dealt = polygons.withColumns(box).withColumn("_bx", cells("x")).withColumn("_by", cells("y")).select("label", "priority", "ring", "_bx", "_by")
+    x, y = F.col("px"), F.col("py")
+    edges = F.zip_with("ring", F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def crosses(e: Column) -> Column:
+        (x1, y1), (x2, y2) = ((e[k]["x"], e[k]["y"]) for k in "ab")
+        return (y >= F.least(y1, y2)) & (y < F.greatest(y1, y2)) & (x < x1 + (y - y1) * ((x2 - x1) / F.nullif(y2 - y1, F.lit(0.0))))
+
+    def far(e: Column) -> Column:
+        """Squared distance to an edge."""
+        (x1, y1), (x2, y2) = ((e[k]["x"], e[k]["y"]) for k in "ab")
+        length = (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
+        t = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / F.nullif(length, F.lit(0.0)))), F.lit(0.0))
+        dx, dy = x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1)
+        return dx * dx + dy * dy
+
+    holds = F.size(F.filter(edges, crosses)) % 2 == 1
+    if buffer > 0:
+        holds = holds | F.exists(edges, lambda e: far(e) <= buffer * buffer)
+    hits = points.withColumns({"_bx": F.floor(x / side), "_by": F.floor(y / side)}).join(dealt, ["_bx", "_by"]).where(holds)
+    best = hits.groupBy("pid").agg(F.min(F.struct("priority", "label")).alias("_b")).select("pid", F.col("_b.label").alias("area"))
+    return points.join(best, "pid", "left")

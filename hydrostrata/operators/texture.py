@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrostrata.functions.numeric import lognormal_cdf
+from hydrostrata.functions.numeric import normal_cdf, standard_log
 
 
 @dataclass(frozen=True)
@@ -38,16 +38,19 @@ def class_shares(rho: Column, curves: list[ClassCurve], half: float = 1.0, least
     probabilities under `least` count as 0; null where rho is null or no curve has any probability.
     """
 
-    def prob(c: ClassCurve) -> Column:
-        at = lambda d: lognormal_cdf(rho - c.location + d, F.lit(c.mu), F.lit(c.shape))
-        p = at(half) - at(-half)
-        return F.when(p < least, 0.0).otherwise(p)
-
     peaks = [c.peak for c in curves]
     only = lambda k: F.array(*(F.lit(1.0 if i == k else 0.0) for i in range(len(curves))))
-    raw = F.array(*map(prob, curves))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, b: a + b)
-    return F.when(rho < min(peaks), only(peaks.index(min(peaks)))).when(rho > max(peaks), only(peaks.index(max(peaks)))).when(total > 0, F.transform(raw, lambda x: x / total))
+    # Lambda arguments are evaluated once, however often the approximation names them.
+    at = F.array(*(F.struct((rho - c.location).alias("x"), F.lit(c.mu).alias("mu"), F.lit(c.shape).alias("sigma")) for c in curves))
+
+    def prob(c: Column) -> Column:
+        ends = F.array(c["x"] + half, c["x"] - half)
+        cdf = F.transform(F.transform(ends, lambda x: standard_log(x, c["mu"], c["sigma"])), lambda z: F.coalesce(normal_cdf(z), F.lit(0.0)))
+        return F.transform(F.array(cdf), lambda p: F.when(p[0] - p[1] < least, 0.0).otherwise(p[0] - p[1]))[0]
+
+    sums = F.transform(F.array(F.transform(at, prob)), lambda raw: F.struct(raw.alias("raw"), F.aggregate(raw, F.lit(0.0), lambda a, b: a + b).alias("total")))
+    shares = F.transform(sums, lambda s: F.when(s["total"] > 0, F.transform(s["raw"], lambda x: x / s["total"])))[0]
+    return F.when(rho < min(peaks), only(peaks.index(min(peaks)))).when(rho > max(peaks), only(peaks.index(max(peaks)))).otherwise(shares)
 
 
 def dominant(shares: Column, names: list[str]) -> Column:
@@ -57,6 +60,12 @@ def dominant(shares: Column, names: list[str]) -> Column:
     return F.when(n > 1, "TIE").otherwise(F.array(*map(F.lit, names))[F.array_position(shares, top).cast("int") - 1])
 
 
+def ranked_shares(shares: Column) -> tuple[Column, Column, Column]:
+    """Sum, greatest and second greatest of an array of shares (the second equals the first in a tie)."""
+    down = F.sort_array(shares, False)
+    return F.aggregate(shares, F.lit(0.0), lambda a, b: a + b), down[0], F.get(down, F.lit(1))
+
+
 def infer_last(shares: list[Column]) -> Column:
     """The last class as what the others leave of 1."""
     total = F.lit(0.0)
@@ -66,7 +75,7 @@ def infer_last(shares: list[Column]) -> Column:
 
 
 def block_parameters(fractions: DataFrame, params: DataFrame, by: list[str], p: float) -> DataFrame:
-    """Power means over classes of a block: kh, kv, ss, sy.
+    """Power means over classes of a block: kh, kv, ss, sy; p = 0 is the geometric mean.
 
     fractions: by, class, fraction, depth. params: class, kmin, dk (Kmax - Kmin), kd, ss, sy, aniso.
     Conductivity falls with depth, kmin + dk * exp(-kd * depth); fractions are normalised by their sum.
@@ -74,19 +83,27 @@ def block_parameters(fractions: DataFrame, params: DataFrame, by: list[str], p:
     rows = fractions.where("fraction >= 0").join(F.broadcast(params), "class")  # params: one row a class, a stated list
     kh = F.col("kmin") + F.col("dk") * F.exp(-F.col("kd") * F.col("depth"))
     rows = rows.withColumns({"_kh": kh, "_kv": kh / F.col("aniso")})
-    total = F.sum("fraction")
-    mean = lambda c: F.pow(F.sum(F.col("fraction") * F.pow(F.col(c), F.lit(p))) / F.nullif(total, F.lit(0.0)), F.lit(1 / p))
+    total = F.nullif(F.sum("fraction"), F.lit(0.0))
+
+    def mean(c: str) -> Column:
+        if p == 0:  # the limit of the power mean
+            return F.exp(F.sum(F.col("fraction") * F.ln(c)) / total)
+        return F.pow(F.sum(F.col("fraction") * F.pow(F.col(c), F.lit(p))) / total, F.lit(1 / p))
+
     return rows.groupBy(*by).agg(mean("_kh").alias("kh"), mean("_kv").alias("kv"), mean("ss").alias("ss"), mean("sy").alias("sy"))
 
 
 #: Texture words of lithology logs by class.
 TEXTURE_CLASSES = {
-    "clay": "Fine", "silt": "Fine", "loam": "Mixed_Fine", "sandy clay": "Mixed_Fine", "silty sand": "Mixed_Coarse", "clayey sand": "Mixed_Coarse",
-    "sand": "Coarse", "fine sand": "Coarse", "gravel": "Very_Coarse", "cobbles": "Very_Coarse", "boulders": "Very_Coarse",
+    "shale": "Fine", "claystone": "Fine",
+    "clay": "Mixed_Fine", "silt": "Mixed_Fine", "loam": "Mixed_Fine", "top soil": "Mixed_Fine",
+    "sand": "Sand",
+    "gravel": "Mixed_Coarse", "cobbles": "Mixed_Coarse",
+    "boulders": "Very_Coarse", "sandstone": "Very_Coarse", "lava": "Very_Coarse", "lime": "Very_Coarse", "rock": "Very_Coarse",
 }
 
 
 def reclassify(c: Column, table: dict[str, str] | None = None) -> Column:
     """A class for each word of the table, the word itself otherwise."""
     pairs = F.create_map(*(F.lit(x) for kv in (table or TEXTURE_CLASSES).items() for x in kv))
-    return F.coalesce(pairs[F.lower(F.trim(c))], c)
+    return F.coalesce(pairs[c], c)

@@ -48,5 +48,42 @@ def after_date(df: DataFrame, well: str, date: str, weight: str, rules: DataFram
 
 
 def bounds(params: DataFrame) -> DataFrame:
-    """Parameter bounds in order: swapped where a negative default has turned them, with the log-ratio prior weight."""
-    return params.withColumns({"low": F.least("low", "high"), "high": F.greatest("low", "high")}).withColumn("prior_weight", F.when((F.col("low") > 0), 1.0 / F.nullif(F.log10(F.col("high") / F.col("low")), F.lit(0.0))))
+    """Parameter bounds in order: swapped where a negative default has turned them."""
+    return params.withColumns({"low": F.least("low", "high"), "high": F.greatest("low", "high")})
+
+
+def coupled_priors(pairs: DataFrame, params: DataFrame, weight: float = 750.0) -> DataFrame:
+    """Prior information that holds two parameters in their ratio: ln(first) - ln(second) = rhs, the log ratio of their defaults. pairs: first, second; params: name, default."""
+    of = lambda side: params.select(F.col("name").alias(side), F.col("default").alias(f"_{side}"))
+    out = pairs.join(of("first"), "first").join(of("second"), "second")
+    return out.select("first", "second", F.lit(1.0).alias("coef_first"), F.lit(-1.0).alias("coef_second"), F.ln(F.col("_first") / F.col("_second")).alias("rhs"), F.lit(weight).alias("weight"))
+
+
+def assemble_parameters(params: DataFrame, tied: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(name, kind, value, partner): adjustable ones as they are, tied ones with their parent's default, fixed ones at their value. params: name, default; tied: name, partner; fixed: name, value."""
+    base = params.join(tied, "name", "left").join(fixed, "name", "left")
+    parent = params.select(F.col("name").alias("partner"), F.col("default").alias("_parent"))
+    kind = F.when(F.col("value").isNotNull(), "fixed").when(F.col("partner").isNotNull(), "tied").otherwise("none")
+    out = base.join(parent, "partner", "left").withColumn("kind", kind)
+    return out.select("name", "kind", F.coalesce("value", "_parent", "default").alias("value"), F.when(F.col("kind") == "tied", F.col("partner")).alias("partner"))
+
+
+def well_weights(df: DataFrame, well: str, date: str, value: str, cutoffs: DataFrame, medians: DataFrame, default: float = 1.0, least: int = 3, order: str | None = None) -> DataFrame:
+    """All rules together: default / count by well, 0 for wells with fewer than `least` rows, 0 after a well's cutoff (well, cutoff), and the new weight where a rolling median of a width of its own exceeds the value by more than the threshold (well, width, threshold, low).
+
+    Raises if a rule names a well without observations.
+    """
+    named = cutoffs.select("well").unionByName(medians.select("well")).distinct()
+    if missing := named.join(df.select(F.col(well).alias("well")).distinct(), "well", "left_anti").limit(5).collect():
+        raise ValueError(f"rules for wells without observations: {[r['well'] for r in missing]}")
+    out = by_count(df, well, default, least)
+    out = out.join(cutoffs.withColumnRenamed("well", well), well, "left").join(medians.withColumnRenamed("well", well), well, "left")
+    at = Window.partitionBy(well).orderBy(order or date)
+    rows = F.collect_list(F.struct(F.col("_n"), F.col(value).alias("v"))).over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out = out.withColumn("_n", F.row_number().over(at)).withColumn("_all", F.when(F.col("width").isNotNull(), rows))
+    half = F.floor(F.col("width") / 2)
+    near = F.array_sort(F.transform(F.filter("_all", lambda r: F.abs(r["_n"] - F.col("_n")) <= half), lambda r: r["v"]))
+    middle = (F.element_at(near, F.floor((F.size(near) + 1) / 2).cast("int")) + F.element_at(near, F.floor(F.size(near) / 2).cast("int") + 1)) / 2
+    out = out.withColumn("_median", F.when(F.size(near) >= F.col("width"), middle))
+    weight = F.when(F.col("weight") == 0, 0.0).when(F.col(date) > F.col("cutoff"), 0.0).when(F.col("_median") - F.col(value) > F.col("threshold"), F.col("low")).otherwise(F.col("weight"))
+    return out.withColumn("weight", weight).select(*df.columns, "weight")

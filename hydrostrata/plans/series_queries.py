@@ -151,11 +151,21 @@ def skill_by_group(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(metrics.skill(_obs(spark, d), ["grp", "sub"]), 4, "me", "mae", "rmse"), 6, "nse", "pbias", "kge", "kge_prime")
 
 
-@query(f"""WITH {_OBS}, e AS (SELECT grp, CASE WHEN min(least(obs, sim)) OVER (PARTITION BY grp) <= 0 THEN min(CASE WHEN obs > 0 THEN obs END) OVER (PARTITION BY grp) / 2 ELSE 0 END AS e, obs, sim FROM obs),
- l AS (SELECT grp, ln(obs + e) AS o, ln(greatest(sim, 0) + e) AS s FROM e)
+@query(f"""WITH {_OBS}, z AS (SELECT grp || sub AS grp, CASE WHEN sub = 'O' AND l_orderkey % 7 = 0 THEN 0 ELSE obs END AS obs, sim FROM obs),
+ g AS (SELECT grp, min(obs) AS lo, min(obs) FILTER (obs > 0) / 2 AS half FROM z GROUP BY grp),
+ l AS (SELECT grp, ln(obs + CASE WHEN lo <= 0 THEN half ELSE 0 END) AS o, ln(sim + CASE WHEN lo <= 0 THEN half ELSE 0 END) AS s FROM z JOIN g USING (grp) WHERE lo > 0 OR obs > 0)
 SELECT grp, round(1 - sum((o - s) * (o - s)) / (var_pop(o) * count(*)), 6) AS lnse FROM l GROUP BY grp""")
 def log_skill_by_group(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.log_skill(_obs(spark, d), ["grp"]), 6, "lnse")
+    zeros = F.when((F.col("sub") == "O") & (F.col("l_orderkey") % 7 == 0), 0.0).otherwise(F.col("obs"))
+    return rounded(metrics.log_skill(_obs(spark, d).select(F.concat("grp", "sub").alias("grp"), zeros.alias("obs"), "sim"), ["grp"]), 6, "lnse")
+
+
+@query(f"""WITH {_OBS}, w AS (SELECT l_orderkey % 400 AS well, CASE WHEN l_orderkey % 401 <> 0 THEN obs END AS obs, sim * CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE wt END AS sim, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE wt END AS wt FROM obs)
+SELECT well, count(*) AS n, CASE WHEN count(*) >= 5 AND count(*) = count(obs) AND max(wt) <> 0 THEN round(sqrt(avg((obs - sim) * (obs - sim))), 3) END AS rmse, CASE WHEN count(*) >= 5 AND count(*) = count(obs) AND max(wt) <> 0 THEN round(1 - sum((obs - sim) * (obs - sim)) / (var_pop(obs) * count(*)), 6) END AS nse FROM w GROUP BY well""")
+def weighted_skill_by_well(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("l_orderkey")
+    rows = _obs(spark, d).select((key % 400).alias("well"), F.when(key % 401 != 0, F.col("obs")).alias("obs"), "sim", F.when(key % 5 == 0, 0.0).otherwise(F.col("wt")).alias("wt"))
+    return rounded(rounded(metrics.skill(rows, ["well"], weight="wt").select("well", "n", "rmse", "nse"), 3, "rmse"), 6, "nse")
 
 
 @query(f"""WITH {_OBS}, p AS (SELECT grp, sub, sum(pow(wt * (obs - sim) / 1000, 2)) AS phi, count(*) FILTER (wt <> 0) AS n_weighted FROM obs GROUP BY grp, sub)
@@ -171,14 +181,15 @@ def cv_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT user_id, CAST(event_id % 2 AS INTEGER) AS half, count(*) AS t, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'view') AS v FROM events GROUP BY 1, 2),
- p AS (SELECT a.user_id, CAST(a.user_id % 5 AS INTEGER) AS fold, a.c / a.t AS a1, a.v / a.t AS a2, 1 - a.c / a.t - a.v / a.t AS a3, b.c / b.t AS b1, b.v / b.t AS b2, 1 - b.c / b.t - b.v / b.t AS b3 FROM c a JOIN c b ON a.user_id = b.user_id AND a.half = 0 AND b.half = 1)
+ p AS (SELECT a.user_id, CAST(a.user_id % 5 AS INTEGER) AS fold, a.c / a.t AS a1, a.v / a.t AS a2, 1 - a.c / a.t - a.v / a.t AS a3, 1.3 * b.c / b.t AS b1, b.v / b.t - 0.1 AS b2, 1.1 - 1.3 * b.c / b.t - b.v / b.t AS b3 FROM c a JOIN c b ON a.user_id = b.user_id AND a.half = 0 AND b.half = 1)
 SELECT fold, round(avg((a1 - b1) * (a1 - b1) + (a2 - b2) * (a2 - b2) + (a3 - b3) * (a3 - b3)), 8) AS brier, round(avg((abs(a1 - b1) + abs(a2 - b2) + abs(a3 - b3)) / 3), 8) AS mae,
  round(avg(CASE WHEN (CASE WHEN a1 >= a2 AND a1 >= a3 THEN 1 WHEN a2 >= a3 THEN 2 ELSE 3 END) <> (CASE WHEN b1 >= b2 AND b1 >= b3 THEN 1 WHEN b2 >= b3 THEN 2 ELSE 3 END) THEN 1.0 ELSE 0.0 END), 8) AS misclassified,
- round(avg(CASE WHEN b1 < 0 OR b1 > 1 OR b2 < 0 OR b2 > 1 OR b3 < 0 OR b3 > 1 THEN 1.0 ELSE 0.0 END), 8) AS out_of_bounds, count(*) AS n FROM p GROUP BY fold""")
+ round(sum((b1 < 0 OR b1 > 1)::INT + (b2 < 0 OR b2 > 1)::INT + (b3 < 0 OR b3 > 1)::INT) / (3 * count(*)), 8) AS out_of_bounds, count(*) AS n FROM p GROUP BY fold""")
 def cv_scores(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "events").groupBy("user_id", (F.col("event_id") % 2).alias("half")).agg(F.count("*").alias("t"), F.count_if(F.col("event_type") == "click").alias("c"), F.count_if(F.col("event_type") == "view").alias("v"))
     c = c.select("user_id", "half", F.array(F.col("c") / F.col("t"), F.col("v") / F.col("t"), 1 - F.col("c") / F.col("t") - F.col("v") / F.col("t")).alias("p"))
-    pairs = c.where("half = 0").select("user_id", F.col("p").alias("truth")).join(c.where("half = 1").select("user_id", F.col("p").alias("guess")), "user_id")
+    guess = F.array(1.3 * F.col("p")[0], F.col("p")[1] - 0.1, 1.1 - 1.3 * F.col("p")[0] - F.col("p")[1])  # some out of bounds
+    pairs = c.where("half = 0").select("user_id", F.col("p").alias("truth")).join(c.where("half = 1").select("user_id", guess.alias("guess")), "user_id")
     return rounded(metrics.class_scores(pairs.withColumn("fold", (F.col("user_id") % 5).cast("int")), ["fold"], "truth", "guess"), 8, "brier", "mae", "misclassified", "out_of_bounds")
 
 

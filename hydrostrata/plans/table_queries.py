@@ -137,9 +137,15 @@ def transforms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.round(nonneg("log10", v + 0.1), 9).alias("l10"), F.round(nonneg("ln", v + 0.1), 9).alias("ln"), F.round(nonneg("sqrt", v), 9).alias("root"), F.round(clamp(v / 5000), 9).alias("clamped"))
 
 
-@query("SELECT p_partkey, CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'Fine' WHEN 'widget' THEN 'Coarse' ELSE split_part(p_name, ' ', 2) END AS class FROM part")
+_WORDS = "['shale', 'claystone', 'clay', 'silt', 'loam', 'top soil', 'sand', 'gravel', 'cobbles', 'boulders', 'sandstone', 'lava', 'lime', 'rock', 'unknown', 'Sand']"
+
+
+@query(f"""SELECT p_partkey, CASE w WHEN 'shale' THEN 'Fine' WHEN 'claystone' THEN 'Fine' WHEN 'clay' THEN 'Mixed_Fine' WHEN 'silt' THEN 'Mixed_Fine' WHEN 'loam' THEN 'Mixed_Fine' WHEN 'top soil' THEN 'Mixed_Fine'
+ WHEN 'sand' THEN 'Sand' WHEN 'gravel' THEN 'Mixed_Coarse' WHEN 'cobbles' THEN 'Mixed_Coarse' WHEN 'boulders' THEN 'Very_Coarse' WHEN 'sandstone' THEN 'Very_Coarse' WHEN 'lava' THEN 'Very_Coarse' WHEN 'lime' THEN 'Very_Coarse' WHEN 'rock' THEN 'Very_Coarse' ELSE w END AS class
+FROM (SELECT p_partkey, ({_WORDS})[p_partkey % 16 + 1] AS w FROM part)""")
 def reclassify(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", texture.reclassify(F.split("p_name", " ")[1], {"ring": "Fine", "widget": "Coarse"}).alias("class"))
+    words = F.array(*(F.lit(w.strip(" '")) for w in _WORDS.strip("[]").split(",")))
+    return table(spark, d, "part").select("p_partkey", texture.reclassify(words[(F.col("p_partkey") % 16).cast("int")]).alias("class"))
 
 
 @query("SELECT l_orderkey, l_linenumber, rule FROM (SELECT *, unnest(list_filter([CASE WHEN l_discount > 0.09 THEN 'discount' END, CASE WHEN l_quantity < 2 THEN 'quantity' END], lambda x: x IS NOT NULL)) AS rule FROM lineitem)")
@@ -270,9 +276,25 @@ def coassociation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(learning.coassociation(runs), 9, "similarity")
 
 
-@query()
+#: Poisson(1) counts of a uniform u.
+_COUNTS = "CASE WHEN u > 0.36787944117144233 THEN 1 ELSE 0 END + CASE WHEN u > 0.7357588823428847 THEN 1 ELSE 0 END + CASE WHEN u > 0.9196986029286058 THEN 1 ELSE 0 END + CASE WHEN u > 0.9810118431238462 THEN 1 ELSE 0 END + CASE WHEN u > 0.9963401531726563 THEN 1 ELSE 0 END + CASE WHEN u > 0.9994058151824183 THEN 1 ELSE 0 END + CASE WHEN u > 0.9999167588507119 THEN 1 ELSE 0 END + CASE WHEN u > 0.9999897508033253 THEN 1 ELSE 0 END + CASE WHEN u > 0.999998874797402 THEN 1 ELSE 0 END + CASE WHEN u > 0.9999998885745217 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH d AS (SELECT p_type, p_retailprice AS v, r, ('0x' || substr(md5(p_partkey || '-' || r || '-1'), 1, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM part, range(1, 201) t(r)),
+ m AS (SELECT p_type, r, sum(({_COUNTS}) * v) / sum({_COUNTS}) AS m FROM d GROUP BY 1, 2)
+SELECT p_type, round(quantile_cont(m, 0.025), 5) AS low, round(quantile_cont(m, 0.975), 5) AS high, round(avg(m), 5) AS mean FROM m GROUP BY 1""")
 def bootstrap_mean_ci(spark: SparkSession, d: str) -> DataFrame:
-    return learning.bootstrap_means(table(spark, d, "part"), ["p_type"], ["p_partkey"], "p_retailprice", 200)
+    return rounded(learning.bootstrap_means(table(spark, d, "part"), ["p_type"], ["p_partkey"], "p_retailprice", 200), 5, "low", "high", "mean")
+
+
+@query(f"""WITH d AS (SELECT p_partkey % 3 AS grp, p_size AS x, 1.0 AS o, p_retailprice AS y, r, ({_COUNTS}) * w AS k FROM (SELECT *, 1.0 / p_size AS w, ('0x' || substr(md5(p_partkey || '-' || r || '-3'), 1, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM part, range(1, 41) t(r))),
+ s AS (SELECT grp, r, sum(k * x * x) AS a, sum(k * x) AS b, sum(k) AS c, sum(k * x * y) AS p, sum(k * y) AS q FROM d GROUP BY 1, 2),
+ c AS (SELECT grp, CAST(r AS INTEGER) AS replicate, (p * c - b * q) / (a * c - b * b) AS coef_x, (a * q - b * p) / (a * c - b * b) AS coef_one FROM s)
+SELECT grp, replicate, round(coef_x, 5) AS coef_x, round(1 / coef_one, 9) AS inverse_one FROM c WHERE coef_x >= 0 AND coef_one >= 0""")
+def bootstrap_regression_signs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select((F.col("p_partkey") % 3).alias("grp"), "p_partkey", F.col("p_size").cast("double").alias("x"), F.lit(1.0).alias("one"), F.col("p_retailprice").alias("y"), (1.0 / F.col("p_size")).alias("w"))
+    out = learning.bootstrap_regression(rows, ["grp"], ["p_partkey"], ["x", "one"], "y", "w", 40, 3)
+    return out.select("grp", "replicate", F.round("coef_x", 5).alias("coef_x"), F.round("inverse_one", 9).alias("inverse_one"))
 
 
 @query("""WITH s AS (SELECT l_returnflag, sum(l_quantity * l_quantity) AS a, sum(l_quantity) AS b, count(*) AS c, sum(l_quantity * l_extendedprice) AS p, sum(l_extendedprice) AS q FROM lineitem GROUP BY 1)
@@ -283,15 +305,15 @@ def weighted_regression(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_returnflag", F.round("coef_x", 4).alias("coef_x"), F.round("coef_one", 2).alias("coef_one"))
 
 
-@query()
+@query("SELECT p_partkey, CAST(('0x' || substr(md5(p_partkey || '-5'), 1, 7))::BIGINT % 10 AS INTEGER) AS fold FROM part")
 def cv_folds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", learning.fold("p_partkey", 10, 5).alias("fold"))
 
 
-@query("SELECT p_partkey, least(lo, hi) AS low, greatest(lo, hi) AS high, round(1 / log10(greatest(lo, hi) / least(lo, hi)), 8) AS prior_weight FROM (SELECT p_partkey, p_retailprice AS lo, p_size * 40.0 + 3 AS hi FROM part)")
+@query("SELECT p_partkey, least(lo, hi) AS low, greatest(lo, hi) AS high FROM (SELECT p_partkey, p_retailprice AS lo, p_size * 40.0 + 3 AS hi FROM part)")
 def parameter_bounds(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_size") * 40.0 + 3).alias("high"))
-    return rounded(weighting.bounds(rows), 8, "prior_weight")
+    return weighting.bounds(rows)
 
 
 @query("SELECT o_orderpriority, m, cum FROM (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, sum(count(*)) OVER (PARTITION BY o_orderpriority ORDER BY CAST(date_trunc('month', o_orderdate) AS DATE))::BIGINT AS cum FROM orders GROUP BY 1, 2)")

@@ -23,10 +23,12 @@ def null_to_missing(df: DataFrame, columns: list[str], value: float = -999.0) ->
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no from 1, line) of text files. A file is one record (wholetext), so that its order is its own; use it for files of modest size."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    lines = text.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
-    return lines.withColumn("line_no", F.col("line_no") + 1)
+    """(file, line_no from 1, line) of text files. Files are split as usual; a split's rows are numbered in order and shifted by the lines of the splits before it."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos"), F.col("value").alias("line"))
+    splits = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "_block", (before - F.col("_first") + 1).alias("_shift"))
+    return rows.join(splits, ["file", "_block"]).select("file", (F.col("_pos") + F.col("_shift")).alias("line_no"), F.regexp_replace("line", r"\r$", "").alias("line"))
 
 
 def whitespace_table(spark: SparkSession, path: str, schema: T.StructType, skip: int = 0, rows: int | None = None, missing: tuple[float, ...] = ()) -> DataFrame:
@@ -68,14 +70,13 @@ def sections(lines: DataFrame, by: list[str], order: str, line: str, header: str
 
 
 def layered_array(spark: SparkSession, path: str) -> DataFrame:
-    """(node from 1, value) of an array file: values parted by white space, or CONSTANT v as node 0."""
+    """(file, node from 1, value) of array files: values parted by white space, or CONSTANT v as node 0. Nodes are numbered by file, from the words of the lines before."""
     lines = numbered_lines(spark, path).where(F.trim("line") != "")
     constant = F.regexp_extract("line", r"(?i)^\s*CONSTANT\s+(\S+)", 1)
-    flat = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    flat = flat.select(F.explode("l").alias("l")).select("l.line_no", "l.line")
-    words = flat.where(constant == "").select("line_no", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("k", "v"))
-    numbered = words.select(F.row_number().over(Window.orderBy("line_no", "k")).alias("node"), F.col("v").try_cast("double").alias("value"))
-    return numbered.unionByName(flat.where(constant != "").select(F.lit(0).alias("node"), constant.try_cast("double").alias("value")))
+    words = lines.where(constant == "").select("file", "line_no", F.split(F.trim("line"), r"\s+").alias("w"))
+    before = F.coalesce(F.sum(F.size("w")).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nodes = words.withColumn("_b", before).select("file", "_b", F.posexplode("w").alias("k", "v")).select("file", (F.col("_b") + F.col("k") + 1).cast("int").alias("node"), F.col("v").try_cast("double").alias("value"))
+    return nodes.unionByName(lines.where(constant != "").select("file", F.lit(0).alias("node"), constant.try_cast("double").alias("value")))
 
 
 def regular_grid(spark: SparkSession, rows: int, cols: int, x0: float, y0: float, dx: float, dy: float) -> DataFrame:

@@ -49,7 +49,7 @@ def test_knn_far_away_and_few(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1000.0, 0.0), (3, 0.1, 0.0)], "pid long, px double, py double")
     targets = spark.createDataFrame([(1, 400.0, 0.0), (2, 0.0, 0.01)], "qid long, qx double, qy double")
     for k in (1, 2, 5):
-        got = {(r["qid"], r["rank"]): r["pid"] for r in spatial.knn(targets, points, k, 1.0, 8).collect()}
+        got = {(r["qid"], r["rank"]): r["pid"] for r in spatial.knn(targets, points, k, 1.0).collect()}
         want = {1: [3, 1, 2], 2: [1, 3, 2]}
         assert got == {(q, n + 1): p for q, ps in want.items() for n, p in enumerate(ps[:k])}
 
@@ -170,3 +170,102 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((r["field"], r["day"], round(r["swc"], 12)) for r in spark.table("soil").collect())
     want = sorted((r["field"], r["day"], round(r["swc"], 12)) for r in budget.soil_water(spark.createDataFrame(rows, schema), "field", "day", 0.1, 0.05).collect())
     assert got == want
+
+
+def test_knn_dense_and_empty(spark):
+    """Points in one spot, far clusters on both sides of zero, and no points at all."""
+    import random
+
+    rng = random.Random(4)
+    xy = [(0.001 * rng.random(), 0.001 * rng.random()) for _ in range(300)] + [(-50 + rng.random(), 70 * rng.random()) for _ in range(40)]
+    points = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(xy)], "pid long, px double, py double")
+    asked = [(k, x, y) for k, (x, y) in enumerate([(0.0005, 0.0005), (-0.2, 0.0), (-49.5, 30.0), (900.0, -900.0), (-25.0, 0.0)])]
+    targets = spark.createDataFrame(asked, "qid long, qx double, qy double")
+    got = {(r["qid"], r["rank"]): r["pid"] for r in spatial.knn(targets, points, 6, 0.01).collect()}
+    for q, x, y in asked:
+        near = sorted(range(len(xy)), key=lambda k: ((x - xy[k][0]) * (x - xy[k][0]) + (y - xy[k][1]) * (y - xy[k][1]), k))[:6]
+        assert [got[q, n + 1] for n in range(6)] == near
+    assert spatial.knn(targets, points.limit(0), 3, 1.0).count() == 0
+
+
+def test_kriging_batches(spark):
+    """Systems of several sizes, a singular one, and corrected weights."""
+    import numpy as np
+
+    pts = [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, 1.0), (4, 1.0, 1.0), (5, 1.0, 1.0)]
+    points = spark.createDataFrame(pts, "pid long, px double, py double")
+    targets = spark.createDataFrame([(1, 0.3, 0.2), (2, 0.9, 0.9)], "qid long, qx double, qy double")
+    near = spatial.knn(targets, points, 3, 1.0).where("qid = 1").unionByName(spatial.knn(targets, points, 5, 1.0).where("qid = 2"))
+    got = {}
+    for r in interpolation.kriging_weights(near, "exponential", 0.0, 1.0, 2.0).collect():
+        got.setdefault(r["qid"], {})[r["pid"]] = r["weight"]
+    xy = np.array([p[1:] for p in pts[:3]])
+    c = lambda d: np.exp(-1.5 * d)
+    a = np.ones((4, 4))
+    a[:3, :3], a[3, 3] = c(np.linalg.norm(xy[:, None] - xy[None], axis=2)), 0
+    want = np.linalg.solve(a, np.append(c(np.linalg.norm(xy - [0.3, 0.2], axis=1)), 1))[:3]
+    assert [got[1][k] for k in (1, 2, 3)] == pytest.approx(want.tolist())
+    assert sum(got[2].values()) == pytest.approx(1) and got[2][4] == pytest.approx(got[2][5])
+
+
+def test_silhouette_and_breaks(spark):
+    from hydrostrata.operators import learning
+
+    rows = spark.createDataFrame([(1, 0, 0.0), (2, 0, 1.0), (3, 1, 10.0), (4, 2, 30.0)], "id long, c int, x double")
+    got = {r["id"]: r["silhouette"] for r in learning.silhouette(rows, "id", "c", ["x"]).collect()}
+    assert got[1] == pytest.approx((100 - 1) / 100) and got[4] == 0.0
+    cut = learning.natural_breaks(spark.createDataFrame([(v,) for v in (1.0, 2.0, 2.0, 9.0, 10.0, 30.0)], "v double"), "v", 3)
+    assert [r["upper"] for r in cut.orderBy("class").collect()] == [2.0, 10.0, 30.0]
+    with pytest.raises(ValueError):
+        learning.natural_breaks(spark.range(50).selectExpr("id * 1.0 v"), "v", 3, 10)
+
+
+def test_bottom_scan_by_hand(spark):
+    def scan(labels, start, bedrock=3.0, doi=-100.0):
+        rows = [(1, k + 1, x, -k - 0.5, -k - 1.0) for k, x in enumerate(labels)]
+        starts = spark.createDataFrame([(1, start, doi)], "w int, start double, doi double")
+        r = intervals.bottom_scan(spark.createDataFrame(rows, "w int, point int, label string, mid double, bot double"), starts, ["w"], ["R"], bedrock).first()
+        return r["pid"], r["bottom"]
+
+    assert scan("AAARA", -0.5) == (3, -3.0)  # down to the last pixel above the bottom class
+    assert scan("AAAAA", -0.5) == (4, -4.0)  # none: the pixel above the last one
+    assert scan("AARRRRRR", -5.5) == (2, -2.0)  # rock for long: up and out of it
+    assert scan("RRRRRRR", -4.5) == (1, None)  # up to the first pixel, which does not count
+    assert scan("AARRAAAA", -3.5) == (3, -3.0)  # not rock for long: the pixel above
+    assert scan("AAARA", -0.5, doi=-2.0) == (3, None)  # below the depth of investigation
+    assert scan([None] * 4, -0.5) == (None, None)
+
+
+def test_well_weights_need_their_wells(spark):
+    rows = spark.createDataFrame([("a", dt.date(2020, 1, d), float(d)) for d in range(1, 6)] + [("b", dt.date(2020, 1, 1), 1.0)], "well string, day date, v double")
+    cut = spark.createDataFrame([("a", dt.date(2020, 1, 3))], "well string, cutoff date")
+    med = spark.createDataFrame([], "well string, width int, threshold double, low double")
+    got = sorted((r["well"], r["day"].day, r["weight"]) for r in weighting.well_weights(rows, "well", "day", "v", cut, med).collect())
+    assert got == [("a", 1, 0.2), ("a", 2, 0.2), ("a", 3, 0.2), ("a", 4, 0.0), ("a", 5, 0.0), ("b", 1, 0.0)]
+    with pytest.raises(ValueError):
+        weighting.well_weights(rows, "well", "day", "v", cut.unionByName(spark.createDataFrame([("z", dt.date(2020, 1, 1))], "well string, cutoff date")), med)
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Lines keep their numbers where a file is read in several splits; arrays are numbered by file."""
+    (tmp_path / "t").mkdir()
+    for name, n in (("a.txt", 4000), ("b.txt", 10)):
+        (tmp_path / "t" / name).write_text("".join(f"{name} {k}\r\n" if k % 3 else f"{name} {k}\n" for k in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = tables.numbered_lines(spark, f"file://{tmp_path}/t").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 4010 and all(r["line"] == f"{r['file'].rsplit('/', 1)[1]} {r['line_no']}" for r in rows)
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "x.arr").write_text("1 2\n\n3\n")
+    (tmp_path / "u" / "y.arr").write_text("4\n5 6\n")
+    got = sorted((r["file"][-5], r["node"], r["value"]) for r in tables.layered_array(spark, f"file://{tmp_path}/u").collect())
+    assert got == [("x", 1, 1.0), ("x", 2, 2.0), ("x", 3, 3.0), ("y", 1, 4.0), ("y", 2, 5.0), ("y", 3, 6.0)]
+
+
+def test_geometric_block_mean(spark):
+    params = spark.createDataFrame([("a", 1.0, 0.0, 0.0, 1.0, 1.0, 1.0), ("b", 4.0, 0.0, 0.0, 1.0, 1.0, 1.0)], "class string, kmin double, dk double, kd double, ss double, sy double, aniso double")
+    f = spark.createDataFrame([(1, "a", 0.5, 0.0), (1, "b", 0.5, 0.0)], "cell int, class string, fraction double, depth double")
+    assert texture.block_parameters(f, params, ["cell"], 0.0).first()["kh"] == pytest.approx(2.0)
