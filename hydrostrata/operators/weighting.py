@@ -78,12 +78,10 @@ def well_weights(df: DataFrame, well: str, date: str, value: str, cutoffs: DataF
         raise ValueError(f"rules for wells without observations: {[r['well'] for r in missing]}")
     out = by_count(df, well, default, least)
     out = out.join(cutoffs.withColumnRenamed("well", well), well, "left").join(medians.withColumnRenamed("well", well), well, "left")
-    at = Window.partitionBy(well).orderBy(order or date)
-    rows = F.collect_list(F.struct(F.col("_n"), F.col(value).alias("v"))).over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = out.withColumn("_n", F.row_number().over(at)).withColumn("_all", F.when(F.col("width").isNotNull(), rows))
-    half = F.floor(F.col("width") / 2)
-    near = F.array_sort(F.transform(F.filter("_all", lambda r: F.abs(r["_n"] - F.col("_n")) <= half), lambda r: r["v"]))
-    middle = (F.element_at(near, F.floor((F.size(near) + 1) / 2).cast("int")) + F.element_at(near, F.floor(F.size(near) / 2).cast("int") + 1)) / 2
-    out = out.withColumn("_median", F.when(F.size(near) >= F.col("width"), middle))
+    median = F.lit(None).cast("double")
+    for width in sorted(r[0] for r in medians.select("width").distinct().limit(100).collect()):  # rules are a stated list of a few widths
+        out = rolling(out, [well], [order or date], value, width, width, "median", f"_m{width}")
+        median = F.when(F.col("width") == width, F.col(f"_m{width}")).otherwise(median)
+    out = out.withColumn("_median", median)
     weight = F.when(F.col("weight") == 0, 0.0).when(F.col(date) > F.col("cutoff"), 0.0).when(F.col("_median") - F.col(value) > F.col("threshold"), F.col("low")).otherwise(F.col("weight"))
     return out.withColumn("weight", weight).select(*df.columns, "weight")
