@@ -16,10 +16,12 @@ from pyspark.sql.types import StructType
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (single-machine tests) a temporary folder is made and set.
+    Only where that setting is absent on a local master (tests) a temporary folder is made and set; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="hydrostrata-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

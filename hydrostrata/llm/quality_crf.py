@@ -2,15 +2,18 @@
 
 Emissions are linear in the line's statistics, transitions couple neighbours, and Viterbi decoding gives the
 labels. A document is kept if it passes the base rules and at least LEAST_SHARE of the code points of its
-non-blank lines are content. The field is trained by gradient ascent on the conditional likelihood; lines of
-labelled documents inherit the document's quality label (distant supervision), and clean lines of poor
-documents are outvoted by the same kind of lines in good ones.
+non-blank lines are content. The field is trained by gradient ascent on the conditional likelihood, from labels of
+lines: content is a line of a document labelled good, unless COMMON or more different documents of the sample hold
+it; such lines, and those of poor documents, are boilerplate. So labels change inside documents, and transitions are
+learned.
 
 Training reads a bounded sample: at most SAMPLE labelled documents of each class, chosen by a hash of their
-ids, and of them those with at most MOST_LINES lines. Base counts and decoding cover every line of every text.
+ids; texts of more than MOST_LINES lines are cut into sequences of that many. Base counts and decoding cover every
+line of every text.
 
 Defined cases: a null or empty text has no words and fails the base rules; without labels of both classes
-every line is content; rows that repeat are judged alike; other columns are ignored; an empty table gives an
+every line is content; rows that repeat are judged alike, and count once in training; very long texts are decoded
+whole; in a tie a line is content; other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -20,6 +23,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ from .quality_qda import clean_labels
 from .stats import base_counts, words_of
 
 SAMPLE, MOST_LINES = 1500, 200
+#: Documents of the sample that must hold a line for it to be boilerplate.
+COMMON = 3
 LEAST_SHARE = 0.5
 LEAST_WORDS, MOST_REPEAT_PERCENT = 20, 30
 LINE_FEATURES = ("bias", "log_chars", "symbols", "marked_words", "upper", "digits", "pipes", "open_end", "same_as_last", "distinct", "seen_before", "short_words", "exclaimed")
@@ -77,43 +83,51 @@ class Crf:
         return np.array(out[::-1])
 
     @staticmethod
-    def fit(seqs: list[np.ndarray], labels: list[int], steps: int = 150, penalty: float = 0.02) -> "Crf":
-        """Gradient ascent (Adam) on the mean conditional log likelihood; sequences are batched by padding to the longest."""
-        n, longest = len(seqs), max(map(len, seqs))
-        x, mask = np.zeros((n, longest, D)), np.zeros((n, longest))
-        for k, s in enumerate(seqs):
-            x[k, : len(s)], mask[k, : len(s)] = s, 1
-        y = np.array(labels)
-        # Classes weigh alike, whatever their sizes.
-        weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) / np.maximum(mask.sum(axis=1), 1)
+    def fit(seqs: list[np.ndarray], labels: list[np.ndarray], weights: np.ndarray, steps: int = 150, penalty: float = 0.002) -> "Crf":
+        """Gradient ascent (Adam) on the weighted mean conditional log likelihood of the lines' labels. Sequences go side by side, longest first, so that each step takes those that are still running."""
+        order = sorted(range(len(seqs)), key=lambda k: -len(seqs[k]))
+        lens = np.array([len(seqs[k]) for k in order])
+        w = weights[order] / lens
+        running = [int((lens > i).sum()) for i in range(int(lens[0]))]
+        x = [np.stack([seqs[k][i] for k in order[:n]]) for i, n in enumerate(running)]
+        gold = [np.stack([labels[k][i] for k in order[:n]]).astype(int) for i, n in enumerate(running)]
+        flat = np.concatenate(x)
+        cuts = np.cumsum([0, *running])
+        held = np.concatenate([np.eye(2)[g] for g in gold])
+        line_w = np.concatenate([w[:n] for n in running])
+        pairs = [2 * gold[i - 1][: running[i]] + gold[i] for i in range(1, len(running))]
+        gold_move = sum((np.bincount(p, w[: len(p)], 4) for p in pairs), np.zeros(4)).reshape(2, 2)
         theta = np.zeros(2 * D + 6)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        log_sum = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
         for t in range(1, steps + 1):
             emit, move, begin = theta[: 2 * D].reshape(2, D), theta[2 * D : 2 * D + 4].reshape(2, 2), theta[2 * D + 4 :]
-            e = x @ emit.T
-            alpha, beta = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
-            alpha[0] = begin + e[:, 0]
-            for i in range(1, longest):
-                step = log_sum(alpha[i - 1][:, :, None] + move, 1) + e[:, i]
-                alpha[i] = np.where(mask[:, i, None] > 0, step, alpha[i - 1])
-            for i in range(longest - 2, -1, -1):
-                step = log_sum(move + (e[:, i + 1] + beta[i + 1])[:, None, :], 2)
-                beta[i] = np.where(mask[:, i + 1, None] > 0, step, beta[i + 1])
-            z = log_sum(alpha[-1], 1)
-            p = np.exp(alpha + beta - z[None, :, None])
-            w = weight[:, None] * mask
-            gold = np.stack([y == 0, y == 1], axis=1).astype(float)
-            diff = (gold[None] - p) * w.T[:, :, None]
-            g_emit = np.einsum("lnk,nld->kd", diff, x)
-            g_move = np.zeros((2, 2))
-            for i in range(1, longest):
-                pair = np.exp(alpha[i - 1][:, :, None] + move + (e[:, i] + beta[i])[:, None, :] - z[:, None, None])
-                g_move += ((gold[:, :, None] * gold[:, None, :] - pair) * w[:, i, None, None]).sum(axis=0)
-            g = np.concatenate([g_emit.ravel(), g_move.ravel(), diff[0].sum(axis=0)]) - penalty / 10 * theta
+            e = flat @ emit.T
+            es = [e[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            alpha, beta = [begin + es[0]], [np.zeros((n, 2)) for n in running]
+            for i in range(1, len(running)):
+                last = alpha[-1][: running[i]]
+                alpha.append(np.stack([np.logaddexp(last[:, 0] + move[0, k], last[:, 1] + move[1, k]) for k in (0, 1)], axis=1) + es[i])
+            for i in range(len(running) - 2, -1, -1):
+                ahead = es[i + 1] + beta[i + 1]
+                beta[i][: running[i + 1]] = np.stack([np.logaddexp(ahead[:, 0] + move[k, 0], ahead[:, 1] + move[k, 1]) for k in (0, 1)], axis=1)
+            z = np.logaddexp(alpha[0][:, 0] + beta[0][:, 0], alpha[0][:, 1] + beta[0][:, 1])
+            p = np.exp(np.concatenate(alpha) + np.concatenate(beta) - np.concatenate([z[:n] for n in running])[:, None])
+            diff = (held - p) * line_w[:, None]
+            g_move = gold_move.copy()
+            for i in range(1, len(running)):
+                n = running[i]
+                g_move -= (np.exp(alpha[i - 1][:n, :, None] + move + (es[i] + beta[i])[:, None, :] - z[:n, None, None]) * w[:n, None, None]).sum(axis=0)
+            g = np.concatenate([(diff.T @ flat).ravel(), g_move.ravel(), diff[: running[0]].sum(axis=0)]) - penalty * theta
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        return Crf(theta[: 2 * D].reshape(2, D), np.clip(theta[2 * D : 2 * D + 4].reshape(2, 2), -2, 2), theta[2 * D + 4 :])
+        return Crf(theta[: 2 * D].reshape(2, D), theta[2 * D : 2 * D + 4].reshape(2, 2), theta[2 * D + 4 :])
+
+
+def line_labels(documents: list[tuple[int, np.ndarray]], common: int = COMMON) -> list[np.ndarray]:
+    """Of documents (label, a number for each line): whether each line is content."""
+    names, counts = np.unique(np.concatenate([np.unique(lines) for _, lines in documents]), return_counts=True)
+    shared = names[counts >= common]
+    return [np.full(len(lines), bool(y)) & ~np.isin(lines, shared) for y, lines in documents]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Crf | None:
@@ -121,16 +135,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Crf |
     clean = clean_labels(labels, "quality")
     picks = [clean.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     pick = docs.sparkSession.createDataFrame(picks[0].unionByName(picks[1]).collect(), clean.schema)  # at most 2 * per_class ids
-    chosen = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").dropDuplicates(["y", "text"])
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [np.array(line_vectors(x)[0]) for x in texts(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("y"), pa.array([r.tobytes() if len(r) <= MOST_LINES else b"" for r in rows], pa.binary())], ["y", "x"])
+        found = texts(batch.column("text"))
+        lines = [np.fromiter((xxhash.xxh3_64_intdigest(x) & (1 << 63) - 1 for x in t.split("\n") if x.split()), np.int64) for t in found]
+        return pa.RecordBatch.from_arrays([batch.column("y"), pa.array([np.array(line_vectors(t)[0]).tobytes() for t in found], pa.binary()), pa.array([x.tobytes() for x in lines], pa.binary())], ["y", "x", "lines"])
 
-    found = sorted((r["y"], bytes(r["x"])) for r in map_batches(chosen.select("y", "text"), fn, "y int, x binary").where("length(x) > 0").collect())
-    if len({y for y, _ in found}) < 2:
+    found = sorted((r["y"], bytes(r["x"]), bytes(r["lines"])) for r in map_batches(chosen.select("y", "text"), fn, "y int, x binary, lines binary").where("length(x) > 0").collect())
+    if len({r[0] for r in found}) < 2:
         return None
-    return Crf.fit([np.frombuffer(b).reshape(-1, D) for _, b in found], [y for y, _ in found])
+    y = np.array([r[0] for r in found])
+    gold = line_labels([(r[0], np.frombuffer(r[2], np.int64)) for r in found])
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())  # classes weigh alike, whatever their sizes
+    seqs, labelled, share = [], [], []
+    for (_, x, _), g, w in zip(found, gold, weight, strict=True):
+        rows = np.frombuffer(x).reshape(-1, D)
+        for a in range(0, len(rows), MOST_LINES):
+            seqs.append(rows[a : a + MOST_LINES])
+            labelled.append(g[a : a + MOST_LINES])
+            share.append(w * len(seqs[-1]) / len(rows))
+    return Crf.fit(seqs, labelled, np.array(share))
 
 
 def judge(docs: DataFrame, crf: Crf | None, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -204,6 +204,64 @@ def test_line_labels_odd(spark):
     assert quality_crf.judge(frame(spark, []), None).count() == 0
 
 
+def test_line_labels_of_sample():
+    docs = [(1, np.array([1, 2, 2])), (1, np.array([1, 3])), (0, np.array([1, 4])), (1, np.array([5]))]
+    assert [g.tolist() for g in quality_crf.line_labels(docs)] == [[False, True, True], [False, True], [False, False], [True]]
+
+
+def test_field_fit():
+    """Against all label paths: the fitted field is a maximum of the penalised likelihood, and its transitions follow the labels."""
+    rng = np.random.default_rng(6)
+    seqs, gold = [], []
+    for n in rng.integers(1, 6, 40):
+        x = rng.normal(size=(n, quality_crf.D)) * 0.3
+        g = np.zeros(n, bool)
+        g[0] = rng.random() < 0.5
+        for i in range(1, n):
+            g[i] = g[i - 1] ^ (rng.random() < 0.2)
+        x[:, 1] += g
+        seqs.append(x)
+        gold.append(g)
+    weights = np.full(40, 1 / 40)
+    crf = quality_crf.Crf.fit(seqs, gold, weights, steps=3000, penalty=0.01)
+
+    def value(theta):
+        emit, move, begin = theta[: 2 * quality_crf.D].reshape(2, -1), theta[-6:-2].reshape(2, 2), theta[-2:]
+        total = 0.0
+        for x, g, w in zip(seqs, gold, weights):
+            e = x @ emit.T
+            score = lambda y: begin[y[0]] + sum(e[i, y[i]] for i in range(len(y))) + sum(move[a, b] for a, b in zip(y, y[1:]))
+            total += w / len(x) * (score(g.astype(int).tolist()) - np.logaddexp.reduce([score(y) for y in itertools.product((0, 1), repeat=len(x))]))
+        return total - 0.005 * theta @ theta
+
+    theta = np.concatenate([crf.emit.ravel(), crf.move.ravel(), crf.begin])
+    top = value(theta)
+    for k in range(0, len(theta)):
+        for step in (0.05, -0.05):
+            moved = theta.copy()
+            moved[k] += step
+            assert value(moved) < top + 1e-6
+    assert crf.move[0, 0] + crf.move[1, 1] > crf.move[0, 1] + crf.move[1, 0]  # labels stay
+
+
+def test_kept_by_all_paths(spark):
+    """content_share and kept against the best of all label paths."""
+    docs = quality_crf.documents(spark, "/root/testdata/sf0.001")
+    crf = quality_crf.Crf(np.random.default_rng(4).normal(size=(2, quality_crf.D)) * 0.6, np.array([[0.8, -0.4], [-0.3, 0.5]]), np.array([0.2, 0.1]))
+    texts, met = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, 0
+    for r in quality_crf.judge(docs, crf).collect():
+        rows, sizes = quality_crf.line_vectors(texts[r["doc_id"]])
+        if not 0 < len(rows) <= 9:
+            continue
+        met += 1
+        e = np.array(rows) @ crf.emit.T
+        score = lambda y: crf.begin[y[0]] + sum(e[i, y[i]] for i in range(len(y))) + sum(crf.move[a, b] for a, b in zip(y, y[1:]))
+        best = max(itertools.product((0, 1), repeat=len(rows)), key=score)
+        share = sum(n for n, y in zip(sizes, best) if y) / sum(sizes)
+        assert math.isclose(r["content_share"], share, abs_tol=1e-12) and r["kept"] == (not r["base_failed"] and share >= quality_crf.LEAST_SHARE)
+    assert met > 20
+
+
 def test_viterbi():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 9):
