@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def irrigation_starts(triggers: DataFrame, neighbours: int, by: list[str] | None = None) -> DataFrame:
     """(by, field, own, start): a field starts on its first triggered day of the season, or, once `neighbours` fields have
@@ -70,9 +72,9 @@ def at_point(cells: DataFrame, points: DataFrame, value: str) -> DataFrame:
 
 def class_breaks(df: DataFrame, value: str, n: int = 5) -> DataFrame:
     """Breaks of n equal classes between the 5th and the 95th percentile, and the maximum."""
-    cuts = df.agg(F.expr(f"percentile(`{value}`, array(0.05, 0.95))").alias("p"), F.max(value).alias("m"))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.col("p")[0] + k * (F.col("p")[1] - F.col("p")[0]) / n)
-    return cuts.select(F.posexplode(F.concat(steps, F.array("m"))).alias("class", "break"))
+    low, high = quantiles(df, value, [0.05, 0.95])
+    steps = F.array(*(F.lit(None if low is None else low + k * (high - low) / n).cast("double") for k in range(n)))
+    return df.agg(F.max(value).cast("double").alias("m")).select(F.posexplode(F.concat(steps, F.array("m"))).alias("class", "break"))
 
 
 def chained(df: DataFrame, chain: list[str], base: str) -> DataFrame:

@@ -13,8 +13,11 @@ def lognormal_fit(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def standardise(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn("z", (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0)))
+    """z = (value - mean) / population deviation by group, from one row of moments a group."""
+    moments = df.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by))).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_dev"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    out = df.join(moments, same, "left") if by else df.crossJoin(F.broadcast(moments))  # without groups: one row
+    return out.withColumn("z", (F.col(value) - F.col("_mean")) / F.nullif(F.col("_dev"), F.lit(0.0))).drop(*moments.columns)
 
 
 def draw(*keys: Column | str) -> Column:

@@ -98,3 +98,16 @@ def tail_of_sums(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
     """The n groups of greatest sums, ascending as a sorted table's tail."""
     top = df.groupBy(*by).agg(F.sum(value).alias("total")).orderBy(F.desc("total"), *(F.desc(c) for c in by)).limit(n)
     return top.orderBy("total", *by)
+
+
+def layer_thickness(cells: DataFrame, tops: DataFrame, bottoms: DataFrame) -> DataFrame:
+    """(cells' columns, bottom, thickness) by (layer, row, col): below the surface for layer 1, below the layer above otherwise. tops: row, col, top; bottoms: layer, row, col, bottom."""
+    above = bottoms.select((F.col("layer") + 1).alias("layer"), "row", "col", F.col("bottom").alias("_above"))
+    out = cells.join(bottoms, ["layer", "row", "col"], "left").join(above, ["layer", "row", "col"], "left").join(tops, ["row", "col"], "left")
+    ceiling = F.when(F.col("layer") == 1, F.col("top")).otherwise(F.col("_above"))
+    return out.select(*cells.columns, "bottom", (ceiling - F.col("bottom")).alias("thickness"))
+
+
+def template_names(lines: DataFrame, line: str) -> DataFrame:
+    """Every name that stands between tildes in template lines, one row each, with its place in the line."""
+    return lines.select("*", F.posexplode(F.regexp_extract_all(line, F.lit(r"~\s*([^~\s]+)\s*~"), F.lit(1))).alias("pos", "name"))

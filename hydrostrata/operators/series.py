@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 from hydrostrata.functions.calendar import month_start, water_year
 
 
@@ -94,12 +96,11 @@ def paired_difference(a: DataFrame, b: DataFrame, on: list[str], value: str) ->
 
 
 def flow_groups(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """flow_group 0.. by quantiles of all values (linear interpolation); the quantiles are one row, joined by broadcast."""
-    cuts = df.agg(F.expr(f"percentile(`{value}`, array({', '.join(map(str, shares))}))").alias("_cuts"))
+    """flow_group 0.. by quantiles of all values (linear interpolation)."""
     group = F.lit(0)
-    for k in range(len(shares)):
-        group = group + F.when(F.col(value) > F.col("_cuts")[k], 1).otherwise(0)
-    return df.crossJoin(F.broadcast(cuts)).withColumn("flow_group", group).drop("_cuts")
+    for cut in quantiles(df, value, shares):
+        group = group + F.when(F.col(value) > F.lit(cut), 1).otherwise(0)
+    return df.withColumn("flow_group", group)
 
 
 def skips(df: DataFrame, by: list[str], date: str) -> DataFrame:

@@ -115,3 +115,20 @@ def label_by_polygon_table(points: DataFrame, polygons: DataFrame, side: float,
     hits = points.withColumns({"_bx": F.floor(x / side), "_by": F.floor(y / side)}).join(dealt, ["_bx", "_by"]).where(holds)
     best = hits.groupBy("pid").agg(F.min(F.struct("priority", "label")).alias("_b")).select("pid", F.col("_b.label").alias("area"))
     return points.join(best, "pid", "left")
+
+
+def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """(pid, cluster from 0, core) of points (pid, px, py) by density: core points have `least` points within the radius, themselves included; cores in reach of each other are a cluster, numbered by its least core; other points join the cluster of the least core in reach, and points without one are a cluster of their own, the last number."""
+    from .graph import checkpointed, components
+
+    q = points.select(F.col("pid").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    near = checkpointed(within_radius(q, points.select("pid", "px", "py"), radius).select(F.col("qid").alias("a"), F.col("pid").alias("b")))
+    cores = near.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(F.col("a").alias("id"))
+    linked = near.where("a < b").join(cores.withColumnRenamed("id", "a"), "a").join(cores.withColumnRenamed("id", "b"), "b").select("a", "b")
+    found = components(cores, linked)
+    edge = near.join(found.withColumnRenamed("id", "b"), "b").join(cores.withColumnRenamed("id", "a"), "a", "left_anti").groupBy(F.col("a").alias("id")).agg(F.min(F.struct("b", "component")).alias("_e"))
+    owned = found.withColumn("core", F.lit(True)).unionByName(edge.select("id", F.col("_e.component").alias("component"), F.lit(False).alias("core")))
+    numbers = found.select("component").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("component")) - 1)  # one row a cluster
+    out = points.select("pid").join(owned.join(numbers, "component").withColumnRenamed("id", "pid"), "pid", "left")
+    total = numbers.agg(F.count("*").cast("int").alias("_k"))
+    return out.crossJoin(F.broadcast(total)).select("pid", F.coalesce("cluster", "_k").alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))

@@ -10,9 +10,11 @@ from .series import flow_groups, rolling
 
 def balance(df: DataFrame, group: str, weight: str, targets: dict[str, float]) -> DataFrame:
     """Weights scaled so that each group adds up to its target, ratios kept; groups of sum 0 and without a target stay."""
-    total = F.sum(weight).over(Window.partitionBy(group))
+    sums = df.groupBy(F.col(group).alias("_g")).agg(F.sum(weight).alias("_total"))  # a row a group; groups are few and large
+    total = F.col("_total")
     target = F.create_map(*(x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))))[F.col(group)] if targets else F.lit(None).cast("double")
-    return df.withColumn("balanced", F.when(target.isNotNull() & (total != 0), F.col(weight) * target / total).otherwise(F.col(weight)))
+    out = df.join(sums, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return out.withColumn("balanced", F.when(target.isNotNull() & (total != 0), F.col(weight) * target / total).otherwise(F.col(weight))).drop("_g", "_total")
 
 
 def zero_ranges(df: DataFrame, date: str, weight: str, ranges: list[tuple[str, str]]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrostrata.functions import numeric
 from hydrostrata.operators import budget, interpolation, intervals, learning, metrics, relational, spatial, texture, weighting
+from hydrostrata.sources import sinks
 from hydrostrata.sources.tables import table
 
 from .series_queries import rounded
@@ -259,3 +260,33 @@ def template_tokens(spark: SparkSession, d: str) -> DataFrame:
 def nested_to_rows(spark: SparkSession, d: str) -> DataFrame:
     nested = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))).alias("rows"))
     return nested.select("o_custkey", F.explode("rows").alias("r")).select("o_custkey", F.col("r.k").alias("order_no"), F.col("r.p").alias("price"))
+
+
+@query(f"""WITH RECURSIVE {_POINTS}, n AS (SELECT a.pid AS a, b.pid AS b FROM pts a JOIN pts b ON (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) <= 0.02 * 0.02), c AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 4),
+ e AS (SELECT a, b FROM n WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)), r AS (SELECT id, id AS to_ FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.to_), f AS (SELECT id, min(to_) AS comp FROM r GROUP BY id),
+ k AS (SELECT comp, row_number() OVER (ORDER BY comp) - 1 AS k FROM (SELECT DISTINCT comp FROM f)), o AS (SELECT id, comp, true AS core FROM f UNION ALL SELECT n.a, min_by(f.comp, n.b), false FROM n JOIN f ON f.id = n.b WHERE n.a NOT IN (SELECT id FROM c) GROUP BY n.a)
+SELECT pid, CAST(coalesce(k, (SELECT count(*) FROM k)) AS INTEGER) AS cluster, coalesce(core, false) AS core FROM pts LEFT JOIN o ON o.id = pid LEFT JOIN k USING (comp)""")
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.density_clusters(_points(spark, d).select("pid", "px", "py"), 0.02, 4)
+
+
+@query("""WITH b AS (SELECT CAST(l_linenumber AS INTEGER) AS layer, CAST(l_suppkey AS INTEGER) AS row, CAST(l_linenumber * 0 + 1 AS INTEGER) AS col, -max(l_quantity) - 60 * l_linenumber AS bottom FROM lineitem GROUP BY l_linenumber, l_suppkey), t AS (SELECT CAST(s_suppkey AS INTEGER) AS row, s_acctbal / 100 AS top FROM supplier)
+SELECT b.layer, b.row, b.col, b.bottom, CASE WHEN b.layer = 1 THEN t.top ELSE a.bottom END - b.bottom AS thickness FROM b LEFT JOIN b a ON a.layer + 1 = b.layer AND a.row = b.row LEFT JOIN t ON t.row = b.row""")
+def layer_thickness(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("layer"), F.col("l_suppkey").cast("int").alias("row")).agg(F.max("l_quantity").alias("q"))
+    b = b.select("layer", "row", F.lit(1).alias("col"), (-F.col("q") - 60 * F.col("layer")).alias("bottom"))
+    tops = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("row"), F.lit(1).alias("col"), (F.col("s_acctbal") / 100).alias("top"))
+    return relational.layer_thickness(b.select("layer", "row", "col"), tops, b)
+
+
+@query("SELECT p_partkey, CAST(pos AS INTEGER) AS pos, [p_brand, 'layer'][pos + 1] AS name FROM part, range(0, 2) t(pos)")
+def template_names(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "part").select("p_partkey", F.concat(F.lit("K ~ "), F.col("p_brand"), F.lit(" ~ L ~layer~ end")).alias("line"))
+    return relational.template_names(lines, "line").select("p_partkey", "pos", "name")
+
+
+@query("SELECT p_brand AS class, CAST(p_size AS INTEGER) AS structure, printf('%-12s %2d %-3s %10.4f %10.4f %12.3f %12.3f %8.2f %4d', p_brand, p_size, 'Sph', 0.0, 0.25, 1000.0, 2000.0, 45.0, 16) AS value FROM (SELECT DISTINCT p_brand, p_size FROM part)")
+def variogram_block(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "part").select(F.col("p_brand").alias("class"), F.col("p_size").cast("int").alias("structure")).distinct()
+    numbers = {"nugget": 0.0, "sill": 0.25, "range_min": 1000.0, "range_max": 2000.0, "angle": 45.0}
+    return sinks.variogram_lines(m.withColumns({"kind": F.lit("Sph"), "nnear": F.lit(16), **{k: F.lit(v) for k, v in numbers.items()}}))

@@ -53,3 +53,8 @@ def instruction_lines(df: DataFrame, date: str, name: str, origin: str) -> DataF
     """Lines that read one value a date from a daily output: l<lines to move> !name!; the first counts from the origin."""
     move = F.datediff(F.col(date), F.coalesce(F.lag(date).over(Window.orderBy(date)), F.lit(origin).cast("date")))
     return df.select(date, F.format_string("l%d !%s!", move, F.col(name)).alias("value"))
+
+
+def variogram_lines(models: DataFrame) -> DataFrame:
+    """(class, structure, value): a line for each structure of a class's variogram, with its class and neighbours; models: class, structure, kind, nugget, sill, range_min, range_max, angle, nnear."""
+    return models.select("class", "structure", F.format_string("%-12s %2d %-3s %10.4f %10.4f %12.3f %12.3f %8.2f %4d", "class", "structure", "kind", "nugget", "sill", "range_min", "range_max", "angle", "nnear").alias("value"))

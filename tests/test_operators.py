@@ -269,3 +269,28 @@ def test_geometric_block_mean(spark):
     params = spark.createDataFrame([("a", 1.0, 0.0, 0.0, 1.0, 1.0, 1.0), ("b", 4.0, 0.0, 0.0, 1.0, 1.0, 1.0)], "class string, kmin double, dk double, kd double, ss double, sy double, aniso double")
     f = spark.createDataFrame([(1, "a", 0.5, 0.0), (1, "b", 0.5, 0.0)], "cell int, class string, fraction double, depth double")
     assert texture.block_parameters(f, params, ["cell"], 0.0).first()["kh"] == pytest.approx(2.0)
+
+
+def test_quantiles_by_passes(spark, monkeypatch):
+    """Exact also where values must be counted in bins of bins: heavy ties, outliers, nulls."""
+    import random
+
+    import numpy as np
+
+    from hydrostrata.operators import quantiles
+
+    rng = random.Random(1)
+    values = [rng.gauss(0, 1) for _ in range(3000)] + [7.0] * 500 + [1e9, -1e9, 7.000001]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    shares = [0.0, 0.05, 0.4, 0.8, 0.95, 1.0]
+    for most in (quantiles.MOST, 8):
+        monkeypatch.setattr(quantiles, "MOST", most)
+        assert quantiles.quantiles(df, "x", shares) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+    assert quantiles.quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def test_density_clusters(spark):
+    pts = [(k, 0.1 * k, 0.0) for k in range(1, 30)] + [(40, 3.0, 0.1), (50, 9.0, 9.0), (60, 20.0, 0.0), (61, 20.05, 0.0), (62, 20.1, 0.0)]
+    got = {r["pid"]: (r["cluster"], r["core"]) for r in spatial.density_clusters(spark.createDataFrame(pts, "pid long, px double, py double"), 0.11, 3).collect()}
+    assert {got[k][0] for k in range(1, 30)} == {0} and not got[1][1] and got[2][1]
+    assert got[40] == (2, False) and got[50] == (2, False) and got[61] == (1, True) and got[60][0] == 1
