@@ -13,8 +13,8 @@ order it sent, with its share of the sums over all words; chunks sum the losses
 
 Defined cases: texts without words (null, empty, blank) have no tokens, losses 0 and score 0; rows that repeat
 are scored alike and each counted; labels that are null or contradict each other for a doc_id are not used;
-without target documents both models agree only in smoothing and scores still are finite; other columns are
-ignored; an empty table gives an empty result.
+without target documents both models agree only in smoothing and scores still are finite; very long texts are scored whole (a chunk of their own); ties need
+no order; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ An inverted index from the rank of a pair to its positions drives the work: the
 merged wherever it is its word's leftmost pair of that rank, and only the pairs that touch a merged position
 are looked up anew. Words are independent, so each word sees its merges in the order in which it alone would.
 
-Defined cases: a null text is the empty text (no ids); every row gives a row, repeated or not; other columns
+Defined cases: a null text is the empty text (no ids); every row gives a row, repeated or not; very
+long texts are encoded whole; of equal ranks in a word the leftmost pair goes first; other columns
 are ignored; an empty table gives an empty result.
 """
 

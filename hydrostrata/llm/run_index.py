@@ -19,7 +19,8 @@ Steps, each a Spark shuffle of packed arrays:
 
 Defined cases: a null text is empty; texts under WIDTH bytes are kept whole; a null doc_id comes before all
 others; rows that share a doc_id never match each other but are each judged against smaller ids; a repeated row
-is judged like the first; other columns are ignored; an empty table gives an empty result.
+is judged like the first; very long texts are treated whole; a string that several phrases hold belongs to the least
+document; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ versioned slot-to-shard map, edited when rebalancing, says which shard a slot li
 on their own: only slots do.
 
 Defined cases: a null text has no bytes (size 1, checksum 0); a null doc_id is hashed by its checksum and
-size; rows that repeat a doc_id share its slot and each get a position; an empty table gives an empty
+size; rows that repeat a doc_id share its slot and each get a position, in the order
+of their checksums; ties between shards go to the lower one; very long texts count with all their bytes; an empty table gives an empty
 result; other columns are ignored.
 """
 

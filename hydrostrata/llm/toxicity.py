@@ -9,7 +9,8 @@ class prior is counted over all training labels. The model is two fixed-size arr
 
 Defined cases: null and empty texts score as a text without features; labels that are null or contradict each
 other for a doc_id are not learned from; without labels of both classes the score is the smoothed share of
-toxic labels; rows that repeat are scored alike; an empty table gives an empty result; other columns are
+toxic labels; rows that repeat are scored alike; a score of exactly the threshold is toxic; very long
+texts are read whole; an empty table gives an empty result; other columns are
 ignored.
 """
 
