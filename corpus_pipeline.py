@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next stage's docs. All but the last return the columns of documents.
 
-Defined cases: null and empty texts are clean, unique and hold nothing, so they stay, with no ids; very long texts are
+Defined cases: null and empty texts score as texts without features, are near-duplicates of nothing, hold no passage
+and have no ids; very long texts are
 treated whole in every stage; a null doc_id is a document of its own that is no near-duplicate, and comes before all
 others where passages are cut; rows that share a doc_id are one document: they stay or go together as near-duplicates
 (also equal ones, which both stay) and lose passages to smaller ids only; a toxicity score of exactly 0.5 goes; of
