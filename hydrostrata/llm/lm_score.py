@@ -6,7 +6,8 @@ bigram shares interpolated with add-one unigram shares. A document's score is it
 target model less that under the background model; the lower, the more it is like the target.
 
 Counts are exact and grow with the corpus: neither words nor bigrams are capped, and nothing but the size of the
-texts comes to the driver. Words, contexts and bigrams have 62-bit hash keys, each kind its own. Documents are stored in
+texts comes to the driver. Words, contexts and bigrams have 56-bit hash keys, each kind its own:
+of 10^11 distinct bigrams about one in a million shares its key with another. Documents are stored in
 chunks of CHUNK bytes. A chunk sends its distinct keys with their counts under both models to hash parts, once
 each, so a very common key costs its part one entry a chunk; parts add the counts and answer each chunk in the
 order it sent, with its share of the sums over all words; chunks sum the losses of their documents' tokens.
@@ -36,6 +37,8 @@ from .run_index import narrow, pack, unpack
 
 #: Bytes of text in a chunk at most (one text at least), and that one hash part is made for.
 CHUNK, PART_BYTES = 12 << 20, 8 << 20
+#: Bits of a key's hash; two more tell its kind.
+KEY_BITS = 56
 #: Share of the unigram model in the interpolation.
 UNIGRAM = 0.4
 _START = np.uint64(0x9E3779B97F4A7C15)
@@ -86,10 +89,10 @@ class Chunk:
         self.pair_prev, self.pair_cur = np.divmod(pairs, self.n_words + 1)
         h = np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, self.n_words), _START)
         both = mix64(mix64(h[self.pair_prev]) + h[self.pair_cur])
-        key = np.concatenate([(x & ~np.uint64(3)) | kind for x, kind in ((h[:-1], _WORD), (h, _CONTEXT), (both, _BIGRAM))])
+        key = np.concatenate([(x >> np.uint64(64 - KEY_BITS) << np.uint64(2)) | kind for x, kind in ((h[:-1], _WORD), (h, _CONTEXT), (both, _BIGRAM))])
         self.order = np.argsort(key)
         self.key = key[self.order]
-        self.part = ((self.key >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)  # ranges of keys
+        self.part = ((self.key >> np.uint64(KEY_BITS + 2 - 32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)  # ranges of keys
 
     def counts(self, tokens: np.ndarray | slice) -> np.ndarray:
         """Of the given tokens, in the order of the keys."""
