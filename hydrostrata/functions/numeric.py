@@ -44,13 +44,29 @@ def unrotate(x: Column, y: Column, x0: float, y0: float, degrees: float) -> tupl
     return (x - x0) * c + (y - y0) * s, (y - y0) * c - (x - x0) * s
 
 
+def turn(dx: Column, dy: Column, angle: float, ratio: float) -> tuple[Column, Column]:
+    """Offsets along the major axis, whose azimuth is angle degrees, and along the minor one, stretched by 1 / ratio."""
+    c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    return dx * s + dy * c, (dx * c - dy * s) / ratio
+
+
 def anisotropic_distance(dx: Column, dy: Column, angle: float, ratio: float) -> Column:
     """Distance with the minor axis stretched by 1 / ratio; angle is the major axis' azimuth in degrees."""
-    c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
-    major, minor = dx * s + dy * c, (dx * c - dy * s) / ratio
+    major, minor = turn(dx, dy, angle, ratio)
     return F.sqrt(major * major + minor * minor)
 
 
+def rectangle(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Ring of the rectangle with centre (x, y), counter-clockwise from the lower left."""
+    corner = lambda a, b: F.struct((x + a * width / 2).alias("x"), (y + b * height / 2).alias("y"))
+    return F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
+
+
+def transform_shares(name: str, values: Column) -> Column:
+    """A transform of an array of values, left as they are in a row with a negative one."""
+    return F.when(F.array_min(values) >= 0, F.transform(values, lambda v: transform(name, v))).otherwise(values)
+
+
 def covariance(kind: str, d: Column, nugget: float, sill: float, reach: float) -> Column:
     """Covariance at distance d; sill is the partial sill, and the nugget counts at distance 0 only."""
     h = d / reach

@@ -151,6 +151,15 @@ def simple_estimate(weights: DataFrame, values: DataFrame, value: str) -> DataFr
     return joined.groupBy("qid", "_mean").agg(F.sum(F.col("weight") * (F.col(value) - F.col("_mean"))).alias("_s")).select("qid", (F.col("_mean") + F.col("_s")).alias("estimate"))
 
 
+def element_value(points: DataFrame, nodes: DataFrame, values: list[str]) -> DataFrame:
+    """Values at points from the nodes of the element that holds each, by inverse distance (a node at the point counts alone). points: pid, element, px, py; nodes: element, nx, ny and the values."""
+    d = F.sqrt((F.col("px") - F.col("nx")) * (F.col("px") - F.col("nx")) + (F.col("py") - F.col("ny")) * (F.col("py") - F.col("ny")))
+    rows = points.join(nodes, "element").withColumn("_d", d)
+    w = 1.0 / F.nullif(F.col("_d"), F.lit(0.0))
+    mean = lambda v: F.coalesce(F.avg(F.when(F.col("_d") == 0, F.col(v))), F.sum(w * F.col(v)) / F.sum(w)).alias(v)
+    return rows.groupBy("pid").agg(*map(mean, values))
+
+
 def empirical_variogram(points: DataFrame, value: str, lag: float, bins: int) -> DataFrame:
     """Half the mean squared difference by distance bin, from pairs closer than bins * lag (bucketed join, pairs once)."""
     from .spatial import within_radius

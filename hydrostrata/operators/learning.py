@@ -12,6 +12,17 @@ def lognormal_fit(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.where(F.col(value) > 0).groupBy(*by).agg(F.avg(ln).alias("mu"), F.stddev_pop(ln).alias("sigma"), F.exp(F.avg(ln)).alias("scale"), F.count("*").alias("n"))
 
 
+def bounded_lognormal_fit(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Lognormal with a location that is not negative: the candidate locations are stated shares (below 1) of a group's least value, at each of which mean and deviation of the logarithms are the most likely ones; the likeliest candidate stays, ties at the lower location."""
+    low = df.where(F.col(value) > 0).groupBy(*by).agg(F.min(value).alias("_low"))
+    rows = df.where(F.col(value) > 0).join(low, by)
+    of = lambda k: F.ln(F.col(value) - shares[k] * F.col("_low"))
+    sums = rows.groupBy(*by).agg(F.max("_low").alias("_low"), F.count("*").alias("n"), *(f(of(k)).alias(f"_{name}{k}") for k in range(len(shares)) for name, f in (("m", F.avg), ("s", F.stddev_pop))))
+    fit = F.array(*(F.struct((-F.ln(F.nullif(F.col(f"_s{k}"), F.lit(0.0))) - F.col(f"_m{k}")).alias("likely"), F.lit(-shares[k]).alias("share"), F.col(f"_m{k}").alias("mu"), F.col(f"_s{k}").alias("sigma")) for k in range(len(shares))))
+    best = sums.withColumn("_b", F.array_max(fit))
+    return best.select(*by, "n", (-F.col("_b.share") * F.col("_low")).alias("loc"), F.col("_b.mu").alias("mu"), F.col("_b.sigma").alias("sigma"), F.exp("_b.mu").alias("scale"))
+
+
 def standardise(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """z = (value - mean) / population deviation by group, from one row of moments a group."""
     moments = df.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by))).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_dev"))
@@ -126,6 +137,40 @@ def coassociation(runs: DataFrame) -> DataFrame:
     return runs.join(other, ["run", "label"]).where("id < id2").groupBy("id", "id2").agg((F.count("*") / n).alias("similarity"))
 
 
+def mean_coassociation(runs: DataFrame) -> DataFrame:
+    """(id, similarity): each id's mean share of runs with one label over all ids, itself included, from the sizes of the labels instead of pairs."""
+    sizes = runs.groupBy("run", "label").agg(F.count("*").alias("_n"))
+    total = runs.agg(F.count("*").alias("_rows"))  # runs times ids
+    means = runs.join(sizes, ["run", "label"]).groupBy("id").agg(F.sum("_n").alias("_s"))
+    return means.crossJoin(F.broadcast(total)).select("id", (F.col("_s") / F.col("_rows")).alias("similarity"))
+
+
+def k_prototypes(df: DataFrame, key: str, numbers: list[str], categories: list[str], starts: list[tuple], gamma: float, rounds: int = 20) -> DataFrame:
+    """(key, cluster from 0, distance) by k-prototypes: squared distance of the numbers plus gamma for each category that differs. starts: the first prototypes, numbers then categories; a round moves each prototype to its rows' means and most frequent categories (ties: the least).
+
+    A prototype without rows stays. Rounds end when none moves; only the k prototypes come to the driver.
+    """
+    width = len(numbers)
+
+    def assigned(centres: list[tuple]) -> DataFrame:
+        def far(c: tuple) -> Column:
+            apart = sum(((F.col(x) - float(m)) * (F.col(x) - float(m)) for x, m in zip(numbers, c, strict=False)), F.lit(0.0))
+            return apart + gamma * sum((F.when(F.col(x).eqNullSafe(F.lit(m)), 0).otherwise(1) for x, m in zip(categories, c[width:], strict=True)), F.lit(0))
+
+        best = F.array_min(F.array(*(F.struct(far(c).alias("distance"), F.lit(k).alias("cluster")) for k, c in enumerate(centres))))
+        return df.withColumn("_b", best).select(key, *numbers, *categories, F.col("_b.cluster").alias("cluster"), F.col("_b.distance").alias("distance"))
+
+    centres = [tuple(c) for c in starts]
+    for _ in range(rounds):
+        moved = assigned(centres).groupBy("cluster").agg(*(F.avg(x).alias(x) for x in numbers), *(F.mode(x, True).alias(x) for x in categories))
+        found = {r["cluster"]: tuple(r[x] for x in (*numbers, *categories)) for r in moved.collect()}
+        new = [found.get(k, c) for k, c in enumerate(centres)]
+        if new == centres:
+            break
+        centres = new
+    return assigned(centres).select(key, "cluster", "distance")
+
+
 def relabel(df: DataFrame, label: str, value: str) -> DataFrame:
     """Clusters numbered from 0 by ascending mean."""
     means = df.groupBy(label).agg(F.avg(value).alias("_m"))

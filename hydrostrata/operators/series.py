@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import quantiles
-
 from hydrostrata.functions.calendar import month_start, water_year
 
+from .graph import checkpointed
+from .quantiles import quantiles
+
 
 def calendar_sums(df: DataFrame, date: str, value: str, unit: str) -> DataFrame:
     """Sum and count of value by 'month' or 'water_year'."""
@@ -52,42 +53,49 @@ def interpolate_gaps(df: DataFrame, by: list[str], date: str, value: str) -> Dat
 
 
 def pchip_gaps(df: DataFrame, by: list[str], date: str, value: str) -> DataFrame:
-    """Null values between known ones by monotone cubic (Fritsch-Carlson) interpolation; one Arrow group a series."""
-    import numpy as np
-    import pandas as pd
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date)
-        t = (pd.to_datetime(pdf[date]) - pd.Timestamp("1970-01-01")).dt.days.to_numpy(float)
-        y = pdf[value].to_numpy(float)
-        known = ~np.isnan(y)
-        if known.sum() > 1:
-            x, v = t[known], y[known]
-            h, d = np.diff(x), np.diff(v) / np.diff(x)
-            m = np.empty(len(v))
-            m[0], m[-1] = d[0], d[-1]
-            if len(d) > 1:
-                w1, w2 = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
-                same = d[:-1] * d[1:] > 0
-                safe = np.where(same, d[:-1], 1), np.where(same, d[1:], 1)
-                m[1:-1] = np.where(same, (w1 + w2) / (w1 / safe[0] + w2 / safe[1]), 0.0)
-                for end, first, second, h0, h1 in ((0, d[0], d[1], h[0], h[1]), (-1, d[-1], d[-2], h[-1], h[-2])):
-                    e = ((2 * h0 + h1) * first - h0 * second) / (h0 + h1)
-                    m[end] = 0.0 if e * first <= 0 else 3 * first if first * second < 0 and abs(e) > 3 * abs(first) else e
-            inside = ~known & (t > x[0]) & (t < x[-1])
-            k = np.searchsorted(x, t[inside]) - 1
-            s = (t[inside] - x[k]) / h[k]
-            y[inside] = (1 + 2 * s) * (1 - s) ** 2 * v[k] + s * (1 - s) ** 2 * h[k] * m[k] + s * s * (3 - 2 * s) * v[k + 1] + s * s * (s - 1) * h[k] * m[k + 1]
-        return pdf.assign(**{value: y}).astype({value: float}).replace({value: {np.nan: None}})
-
-    return df.select(*by, date, value).groupBy(*by).applyInPandas(fill, df.select(*by, date, value).schema)
+    """Null values between known ones by monotone cubic (Fritsch-Carlson) interpolation: tangents from windows over the known rows alone, then a cubic between the known rows about each gap."""
+    none_if_0 = lambda c: F.nullif(c, F.lit(0.0))
+    t, v = F.datediff(date, F.lit("1970-01-01").cast("date")).cast("double"), F.col(value).cast("double")
+    known = F.col(value).isNotNull()
+    w = Window.partitionBy(*by, known).orderBy(date)
+    rows = df.select(*by, date, v.alias(value)).withColumn("_t", t)
+    gap = lambda c, k: F.lead(c, k).over(w) - F.lead(c, k - 1).over(w)
+    for k, name in ((-1, "p"), (0, "0"), (1, "1"), (2, "2")):  # interval 0 ends at the row, 1 starts there
+        rows = rows.withColumns({f"_h{name}": gap("_t", k), f"_g{name}": gap(value, k) / none_if_0(gap("_t", k))})
+
+    def end(first: str, second: str, h0: str, h1: str) -> Column:
+        f, s = F.col(first), F.col(second)
+        e = ((2 * F.col(h0) + F.col(h1)) * f - F.col(h0) * s) / none_if_0(F.col(h0) + F.col(h1))
+        return F.when(s.isNull(), f).when(e * f <= 0, 0.0).when((f * s < 0) & (F.abs(e) > 3 * F.abs(f)), 3 * f).otherwise(e)
+
+    w1, w2 = 2 * F.col("_h1") + F.col("_h0"), F.col("_h1") + 2 * F.col("_h0")
+    inner = F.when(F.col("_g0") * F.col("_g1") > 0, (w1 + w2) / (w1 / none_if_0(F.col("_g0")) + w2 / none_if_0(F.col("_g1")))).otherwise(0.0)
+    tangent = F.when(F.col("_h0").isNull(), end("_g1", "_g2", "_h1", "_h2")).when(F.col("_h1").isNull(), end("_g0", "_gp", "_h0", "_hp")).otherwise(inner)
+    at = F.when(known, F.struct(F.col("_t").alias("t"), F.col(value).alias("v"), tangent.alias("m")))
+    back = Window.partitionBy(*by).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(date).rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("_at", at).withColumns({"_p": F.last("_at", True).over(back), "_n": F.first("_at", True).over(ahead)})
+    h = F.col("_n.t") - F.col("_p.t")
+    s = (F.col("_t") - F.col("_p.t")) / none_if_0(h)
+    cubic = (1 + 2 * s) * (1 - s) * (1 - s) * F.col("_p.v") + s * (1 - s) * (1 - s) * h * F.col("_p.m") + s * s * (3 - 2 * s) * F.col("_n.v") + s * s * (s - 1) * h * F.col("_n.m")
+    return rows.select(*by, date, F.coalesce(F.col(value), cubic).alias(value))
 
 
 def duration_curve(df: DataFrame, by: list[str], value: str, tie: list[str]) -> DataFrame:
-    """Share of values at or above each one: rank by descending value over the group's size."""
+    """Share of values at or above each one: rank by descending value over the group's size.
+
+    Rows are dealt by ranges of (group, value, tie), counted and ranked by range, and shifted by the ranges before, so
+    that a group of any size is ranked by many tasks. Ranges are checkpointed: a range's number must not change.
+    """
+    order = [F.desc(value), *tie]
+    ranged = checkpointed(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
     group = Window.partitionBy(*by)
-    rank = F.row_number().over(group.orderBy(F.desc(value), *tie))
-    return df.withColumn("exceedance", rank / F.count("*").over(group))
+    counts = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_n").over(group).alias("_all"))
+    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    return ranked.join(counts, [*same, F.col("_part") == F.col("_p")]).select(*df.columns, ((F.col("_r") + F.col("_before")) / F.col("_all")).alias("exceedance"))
 
 
 def paired_difference(a: DataFrame, b: DataFrame, on: list[str], value: str) -> DataFrame:

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydrostrata.functions.numeric import turn
+
 
 def _bucket(c: str, side: float) -> Column:
     return F.floor(F.col(c) / side).cast("long")
@@ -55,6 +57,12 @@ def knn(queries: DataFrame, points: DataFrame, k: int, side: float) -> DataFrame
     return found.drop("_level", "_bx", "_by").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def knn_anisotropic(queries: DataFrame, points: DataFrame, k: int, side: float, angle: float, ratio: float) -> DataFrame:
+    """knn by the anisotropic distance: axes turned to the major azimuth and the minor one stretched by 1 / ratio; coordinates and d2 are the turned ones, px0, py0, qx0, qy0 those given."""
+    turned = lambda df, p: df.withColumns(dict(zip((f"{p}x0", f"{p}y0"), (F.col(f"{p}x"), F.col(f"{p}y")), strict=True))).withColumns(dict(zip((f"{p}x", f"{p}y"), turn(F.col(f"{p}x"), F.col(f"{p}y"), angle, ratio), strict=True)))
+    return knn(turned(queries, "q"), turned(points, "p"), k, side)
+
+
 def within_radius(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """All pairs at most `radius` apart, with d2; buckets have the radius as side, so one ring suffices."""
     placed = points.withColumns({"_bx": _bucket("px", radius), "_by": _bucket("py", radius)})
@@ -117,6 +125,17 @@ def label_by_polygon_table(points: DataFrame, polygons: DataFrame, side: float,
     return points.join(best, "pid", "left")
 
 
+def find_element(points: DataFrame, elements: DataFrame, side: float) -> DataFrame:
+    """(points' columns, element, inside): the least element whose ring holds each point, else the element with the nearest centre of nodes, inside false. points: pid, px, py; elements: element, ring (array of x, y structs)."""
+    polygons = elements.select(F.col("element").alias("label"), F.col("element").alias("priority"), "ring")
+    held = label_by_polygon_table(points, polygons, side).withColumnRenamed("area", "element")
+    mean = lambda c: F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[c]) / F.size("ring")
+    centres = elements.select(F.col("element").alias("pid"), mean("x").alias("px"), mean("y").alias("py"))
+    lost = held.where("element is null").select(F.col("pid").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    near = knn(lost, centres, 1, side).select(F.col("qid").alias("pid"), F.col("pid").alias("_near"))
+    return held.join(near, "pid", "left").select(*points.columns, F.coalesce("element", "_near").alias("element"), F.col("element").isNotNull().alias("inside"))
+
+
 def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
     """(pid, cluster from 0, core) of points (pid, px, py) by density: core points have `least` points within the radius, themselves included; cores in reach of each other are a cluster, numbered by its least core; other points join the cluster of the least core in reach, and points without one are a cluster of their own, the last number."""
     from .graph import checkpointed, components

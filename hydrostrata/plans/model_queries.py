@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrostrata.functions import numeric
 from hydrostrata.operators import budget, interpolation, intervals, learning, metrics, relational, spatial, texture, weighting
-from hydrostrata.sources import sinks
+from hydrostrata.sources import sinks, tables
 from hydrostrata.sources.tables import table
 
 from .series_queries import rounded
@@ -290,3 +290,87 @@ def variogram_block(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "part").select(F.col("p_brand").alias("class"), F.col("p_size").cast("int").alias("structure")).distinct()
     numbers = {"nugget": 0.0, "sill": 0.25, "range_min": 1000.0, "range_max": 2000.0, "angle": 45.0}
     return sinks.variogram_lines(m.withColumns({"kind": F.lit("Sph"), "nnear": F.lit(16), **{k: F.lit(v) for k, v in numbers.items()}}))
+
+
+@query("""WITH r AS (SELECT s_suppkey AS id, 1 AS run, s_nationkey AS label FROM supplier UNION ALL SELECT s_suppkey, 2, CAST(s_suppkey % 7 AS INTEGER) FROM supplier), n AS (SELECT id, count(*) OVER (PARTITION BY run, label) AS n FROM r)
+SELECT id, round(sum(n) / (SELECT count(*) FROM r), 9) AS similarity FROM n GROUP BY 1""")
+def mean_coassociation(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    runs = s.select(F.col("s_suppkey").alias("id"), F.lit(1).alias("run"), F.col("s_nationkey").alias("label")).unionByName(s.select(F.col("s_suppkey").alias("id"), F.lit(2).alias("run"), (F.col("s_suppkey") % 7).cast("int").alias("label")))
+    return rounded(learning.mean_coassociation(runs), 9, "similarity")
+
+
+_STARTS = [(0.0, "Brand#11"), (1.0, "Brand#22"), (2.0, "Brand#33")]
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_retailprice / 977 AS x, p_brand AS b FROM part), s AS (SELECT * FROM (VALUES {', '.join(f"({k}, {x}::DOUBLE, '{b}')" for k, (x, b) in enumerate(_STARTS))}) t(k, x, b)),
+ a AS (SELECT p_partkey, p.x, p.b, min((pow(p.x - s.x, 2) + CASE WHEN p.b = s.b THEN 0 ELSE 0.5 END, k)) AS best FROM p, s GROUP BY ALL),
+ f AS (SELECT best[2] AS k, b, count(*) AS n FROM a GROUP BY ALL), m AS (SELECT k, arg_min(b, (-n, b)) AS b FROM f GROUP BY 1), g AS (SELECT best[2] AS k, avg(x) AS x FROM a GROUP BY 1),
+ c AS (SELECT s.k, coalesce(g.x, s.x) AS x, coalesce(m.b, s.b) AS b FROM s LEFT JOIN g USING (k) LEFT JOIN m USING (k)),
+ z AS (SELECT p_partkey, min((pow(p.x - c.x, 2) + CASE WHEN p.b = c.b THEN 0 ELSE 0.5 END, k)) AS best FROM p, c GROUP BY 1)
+SELECT p_partkey, CAST(best[2] AS INTEGER) AS cluster, round(best[1], 9) AS distance FROM z""")
+def prototype_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") / 977).alias("x"), F.col("p_brand").alias("b"))
+    return rounded(learning.k_prototypes(rows, "p_partkey", ["x"], ["b"], _STARTS, 0.5, 1), 9, "distance")
+
+
+_LOCS = [0.0, 0.25, 0.5, 0.75]
+
+
+@query(f"""WITH p AS (SELECT p_type, p_retailprice AS v, min(p_retailprice) OVER (PARTITION BY p_type) AS low FROM part), c AS (SELECT p_type, f, max(low) AS low, count(*) AS n, avg(ln(v - f * low)) AS mu, stddev_pop(ln(v - f * low)) AS sigma FROM p, (SELECT unnest({_LOCS})::DOUBLE AS f) GROUP BY 1, 2)
+SELECT p_type, n, round(f * low, 6) AS loc, round(mu, 8) AS mu, round(sigma, 8) AS sigma, round(exp(mu), 5) AS scale FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY -ln(sigma) - mu DESC, f) AS k FROM c) WHERE k = 1""")
+def bounded_lognormal(spark: SparkSession, d: str) -> DataFrame:
+    out = learning.bounded_lognormal_fit(table(spark, d, "part"), ["p_type"], "p_retailprice", _LOCS)
+    return rounded(rounded(rounded(out, 6, "loc"), 8, "mu", "sigma"), 5, "scale")
+
+
+@query(f"""WITH {_POINTS}, t AS (SELECT pid, px * sin(radians(30)) + py * cos(radians(30)) AS a, (px * cos(radians(30)) - py * sin(radians(30))) / 0.4 AS b FROM pts),
+ d AS (SELECT q.pid AS qid, p.pid, pow(q.a - p.a, 2) + pow(q.b - p.b, 2) AS d2 FROM t q JOIN t p ON q.pid % 2 = 1 AND p.pid % 2 = 0)
+SELECT qid, pid, CAST(rank AS INTEGER) AS rank, round(d2, 9) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, pid) AS rank FROM d) WHERE rank <= 4""")
+def knn_anisotropic(spark: SparkSession, d: str) -> DataFrame:
+    p = _points(spark, d)
+    out = spatial.knn_anisotropic(_targets(p), p.where("pid % 2 = 0").select("pid", "px", "py"), 4, 0.05, 30.0, 0.4)
+    return out.select("qid", "pid", "rank", F.round("d2", 9).alias("d2"))
+
+
+_BOXES = [(k, -0.3 + 0.15 * (k % 4), -0.2 + 0.2 * (k // 4), 0.15, 0.2) for k in range(8)]
+_BOX_SQL = f"box AS (SELECT * FROM (VALUES {', '.join(f'({k}, {x!r}::DOUBLE, {y!r}::DOUBLE, {w!r}::DOUBLE, {h!r}::DOUBLE)' for k, x, y, w, h in _BOXES)}) t(element, cx, cy, w, h))"
+
+
+def _elements(spark: SparkSession) -> DataFrame:
+    box = spark.createDataFrame(_BOXES, "element int, cx double, cy double, w double, h double")
+    return box.select("element", numeric.rectangle(F.col("cx"), F.col("cy"), F.col("w"), F.col("h")).alias("ring"))
+
+
+@query(f"""WITH {_POINTS}, {_BOX_SQL}, i AS (SELECT pid, min(element) AS element FROM pts JOIN box ON px >= cx - w / 2 AND px < cx + w / 2 AND py >= cy - h / 2 AND py < cy + h / 2 GROUP BY 1),
+ n AS (SELECT pid, arg_min(element, (pow(px - cx, 2) + pow(py - cy, 2), element)) AS element FROM pts, box GROUP BY 1)
+SELECT pid, coalesce(i.element, n.element) AS element, i.element IS NOT NULL AS inside FROM n LEFT JOIN i USING (pid)""")
+def find_element(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.find_element(_points(spark, d).select("pid", "px", "py"), _elements(spark), 0.1).select("pid", "element", "inside")
+
+
+@query(f"""WITH {_POINTS}, {_BOX_SQL}, n AS (SELECT element, cx + a * w / 2 AS nx, cy + b * h / 2 AS ny, cx + a * w / 2 + 2 * (cy + b * h / 2) AS z FROM box, (VALUES (-1, -1), (1, -1), (1, 1), (-1, 1)) c(a, b)),
+ d AS (SELECT pid, sqrt(pow(px - nx, 2) + pow(py - ny, 2)) AS d, z FROM pts JOIN n ON element = pid % 8)
+SELECT pid, round(coalesce(avg(z) FILTER (d = 0), sum(z / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0)), 8) AS z FROM d GROUP BY 1""")
+def element_elevation(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _elements(spark).select("element", F.explode("ring").alias("p")).select("element", F.col("p.x").alias("nx"), F.col("p.y").alias("ny"), (F.col("p.x") + 2 * F.col("p.y")).alias("z"))
+    return rounded(interpolation.element_value(_points(spark, d).select("pid", (F.col("pid") % 8).cast("int").alias("element"), "px", "py"), nodes, ["z"]), 8, "z")
+
+
+@query("SELECT p_partkey, CAST(p_partkey // 60 + 1 AS INTEGER) AS layer, CAST(p_partkey // 12 % 5 + 1 AS INTEGER) AS row, CAST(p_partkey % 12 + 1 AS INTEGER) AS col FROM part")
+def node_cells(spark: SparkSession, d: str) -> DataFrame:
+    layer, row, col = tables.cell_of_node(F.col("p_partkey") + 1, 5, 12)
+    return table(spark, d, "part").select("p_partkey", layer.alias("layer"), row.alias("row"), col.alias("col"))
+
+
+@query("""SELECT event_id, CAST(i AS INTEGER) AS i, round(CASE WHEN least(value - 20, user_id::DOUBLE) >= 0 THEN sqrt(CASE i WHEN 0 THEN value - 20 ELSE user_id END) ELSE CASE i WHEN 0 THEN value - 20 ELSE user_id END END, 8) AS v FROM events, range(0, 2) t(i)""")
+def guarded_transform(spark: SparkSession, d: str) -> DataFrame:
+    values = numeric.transform_shares("sqrt", F.array(F.col("value") - 20, F.col("user_id").cast("double")))
+    return table(spark, d, "events").select("event_id", F.posexplode(values).alias("i", "v")).select("event_id", "i", F.round("v", 8).alias("v"))
+
+
+@query("SELECT p_partkey, 3 AS line_no, 'OPTIONS' AS block, 'NNEAR' AS word, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 7, 'CLASSES', p_brand, NULL FROM part")
+def block_items(spark: SparkSession, d: str) -> DataFrame:
+    text = F.array(F.lit("* a heading"), F.lit("BEGIN OPTIONS"), F.concat(F.lit("  NNEAR  "), F.col("p_size").cast("string"), F.lit(" # neighbours")), F.lit("END OPTIONS"), F.lit(" loose"), F.lit("begin Classes"), F.concat(F.lit("\t"), "p_brand"), F.lit("   # none"), F.lit("END"))
+    lines = table(spark, d, "part").select("p_partkey", F.posexplode(text).alias("n", "line")).select("p_partkey", (F.col("n") + 1).alias("line_no"), "line")
+    return tables.block_items(lines, ["p_partkey"], "line_no", "line").select("p_partkey", "line_no", "block", F.get("words", F.lit(0)).alias("word"), F.get("words", F.lit(1)).alias("value"))

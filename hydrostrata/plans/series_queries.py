@@ -118,9 +118,17 @@ def gap_linear(spark: SparkSession, d: str) -> DataFrame:
     return rounded(series.interpolate_gaps(series.densify(_daily(spark, d), ["user_id"], "day", "value"), ["user_id"], "day", "value"), 5, "value")
 
 
-@query()
+@query(f"""WITH {_DENSE}, p AS (SELECT user_id, day - DATE '1970-01-01' AS t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY day) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM dense WHERE value IS NOT NULL),
+ i AS (SELECT a.user_id, a.n, a.c, (b.t - a.t)::DOUBLE AS h, (b.v - a.v) / (b.t - a.t) AS g FROM p a JOIN p b ON a.user_id = b.user_id AND b.n = a.n + 1),
+ e AS (SELECT a.user_id, 1 AS n, a.g AS f, b.g AS s, ((2 * a.h + b.h) * a.g - a.h * b.g) / (a.h + b.h) AS e FROM i a LEFT JOIN i b ON a.user_id = b.user_id AND b.n = 2 WHERE a.n = 1
+  UNION ALL SELECT a.user_id, a.c, a.g, b.g, ((2 * a.h + b.h) * a.g - a.h * b.g) / (a.h + b.h) FROM i a LEFT JOIN i b ON a.user_id = b.user_id AND b.n = a.n - 1 WHERE a.n = a.c - 1),
+ m AS (SELECT user_id, n, CASE WHEN s IS NULL THEN f WHEN e * f <= 0 THEN 0 WHEN f * s < 0 AND abs(e) > 3 * abs(f) THEN 3 * f ELSE e END AS m FROM e
+  UNION ALL SELECT a.user_id, b.n, CASE WHEN a.g * b.g > 0 THEN 3 * (a.h + b.h) / ((2 * b.h + a.h) / a.g + (b.h + 2 * a.h) / b.g) ELSE 0 END FROM i a JOIN i b ON a.user_id = b.user_id AND b.n = a.n + 1),
+ s AS (SELECT x.user_id, x.t AS t0, i.h, x.v AS v0, y.v AS v1, mx.m AS m0, my.m AS m1 FROM p x JOIN i USING (user_id, n) JOIN p y ON y.user_id = x.user_id AND y.n = x.n + 1 JOIN m mx ON mx.user_id = x.user_id AND mx.n = x.n JOIN m my ON my.user_id = x.user_id AND my.n = y.n),
+ r AS (SELECT d.user_id, day, value, s.*, (day - DATE '1970-01-01' - t0) / h AS u FROM dense d LEFT JOIN s ON s.user_id = d.user_id AND value IS NULL AND day - DATE '1970-01-01' > t0 AND day - DATE '1970-01-01' < t0 + h)
+SELECT user_id, day, round(coalesce(value, (1 + 2 * u) * pow(1 - u, 2) * v0 + u * pow(1 - u, 2) * h * m0 + u * u * (3 - 2 * u) * v1 + u * u * (u - 1) * h * m1), 5) AS value FROM r""")
 def gap_pchip(spark: SparkSession, d: str) -> DataFrame:
-    return series.pchip_gaps(series.densify(_daily(spark, d), ["user_id"], "day", "value"), ["user_id"], "day", "value")
+    return rounded(series.pchip_gaps(series.densify(_daily(spark, d), ["user_id"], "day", "value"), ["user_id"], "day", "value"), 5, "value")
 
 
 @query("SELECT o_orderkey, round(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) / count(*) OVER (PARTITION BY o_orderstatus), 9) AS exceedance FROM orders")

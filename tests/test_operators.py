@@ -294,3 +294,45 @@ def test_density_clusters(spark):
     got = {r["pid"]: (r["cluster"], r["core"]) for r in spatial.density_clusters(spark.createDataFrame(pts, "pid long, px double, py double"), 0.11, 3).collect()}
     assert {got[k][0] for k in range(1, 30)} == {0} and not got[1][1] and got[2][1]
     assert got[40] == (2, False) and got[50] == (2, False) and got[61] == (1, True) and got[60][0] == 1
+
+
+def test_duration_curve_by_ranges(spark):
+    """Ranks over many ranges: ties by the key, groups that are null, one large group, no rows."""
+    rows = [(k, None if k % 50 == 0 else "a" if k % 3 else "b", float(k % 7) if k % 11 else None) for k in range(1, 600)]
+    df = spark.createDataFrame(rows, "k long, g string, v double")
+    got = {r["k"]: r["exceedance"] for r in series.duration_curve(df, ["g"], "v", ["k"]).collect()}
+    for g in (None, "a", "b"):
+        order = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        assert all(got[r[0]] == pytest.approx((n + 1) / len(order)) for n, r in enumerate(order))
+    assert len(got) == 599 and series.duration_curve(df.limit(0), ["g"], "v", ["k"]).count() == 0
+
+
+def test_pchip_short_series(spark):
+    """One known value fills nothing, two a straight line; ends stay null."""
+    day = lambda k: dt.date(2020, 1, k)
+    rows = [("one", day(1), None), ("one", day(2), 4.0), ("one", day(3), None), ("two", day(1), 1.0), ("two", day(2), None), ("two", day(3), 5.0), ("two", day(4), None), ("none", day(1), None)]
+    got = {(r["s"], r["d"].day): r["v"] for r in series.pchip_gaps(spark.createDataFrame(rows, "s string, d date, v double"), ["s"], "d", "v").collect()}
+    assert got == {("one", 1): None, ("one", 2): 4.0, ("one", 3): None, ("two", 1): 1.0, ("two", 2): 3.0, ("two", 3): 5.0, ("two", 4): None, ("none", 1): None}
+
+
+def test_prototypes_until_none_moves(spark):
+    from hydrostrata.operators import learning
+
+    rows = [(k, float(k % 5) + (20.0 if k > 30 else 0.0), "u" if k % 4 else "w") for k in range(60)]
+    got = {r["k"]: r["cluster"] for r in learning.k_prototypes(spark.createDataFrame(rows, "k long, x double, c string"), "k", ["x"], ["c"], [(0.0, "w"), (5.0, "w")], 0.5).collect()}
+    assert all(got[k] == (1 if k > 30 else 0) for k in got) and len(got) == 60
+
+
+def test_cached_and_observation_lists(spark, tmp_path):
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return spark.range(3)
+
+    path = f"file://{tmp_path}/kept"
+    assert [tables.cached(spark, path, compute).count() for _ in range(2)] == [3, 3] and calls == [1]
+    for name, text in (("a.obf", " h1  1.5\nh2 2e1\n"), ("b.obf", "h3\t-3\n")):
+        (tmp_path / name).write_text(text)
+    lists = tables.observation_lists(spark, [f"file://{tmp_path}/a.obf", f"file://{tmp_path}/b.obf"])
+    assert sorted((r["name"], r["sim"]) for r in lists.collect()) == [("h1", 1.5), ("h2", 20.0), ("h3", -3.0)]
