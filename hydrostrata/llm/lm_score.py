@@ -149,8 +149,8 @@ def send_counts(chunks: DataFrame, n_parts: int) -> DataFrame:
     return chunks.select("chunk", "z", "good").mapInArrow(fn, "chunk long, part int, blob binary")
 
 
-def add_counts(sent: DataFrame) -> DataFrame:
-    """(chunk, part, blob): for each chunk the totals of the keys it sent, with the part's distinct words and its tokens under both models."""
+def add_counts(sent: DataFrame, n_parts: int) -> DataFrame:
+    """(chunk, part, blob), with as many tasks as parts: for each chunk the totals of the keys it sent, with the part's distinct words and its tokens under both models."""
 
     def fn(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, found = [], []
@@ -168,7 +168,7 @@ def add_counts(sent: DataFrame) -> DataFrame:
         blobs = [pack_sorted(np.empty(0, np.uint64), *(t[at[a:b]] for t in totals), sums=sums) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([key[0].as_py()] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "blob"])
 
-    return sent.groupBy("part").applyInArrow(fn, "chunk long, part int, blob binary")
+    return sent.repartition(n_parts, "part").groupBy("part").applyInArrow(fn, "chunk long, part int, blob binary")
 
 
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     rows = chunks.select("chunk", F.posexplode("ids").alias("at", "doc_id"))
     good = rows.join(target.select("doc_id").hint("merge"), "doc_id").groupBy("chunk").agg(F.collect_list("at").alias("good"))
     marked = chunks.select("chunk", "z").repartition(n_parts, "chunk").join(good.repartition(n_parts, "chunk").hint("merge"), "chunk", "left")  # a few chunks a task
-    answers = add_counts(send_counts(marked, n_parts))
+    answers = add_counts(send_counts(marked, n_parts), n_parts)
 
     def fn(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told, ids, own = {}, None, None
@@ -200,7 +200,7 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     texts = chunks.select("chunk", F.lit(None).cast("int").alias("part"), F.col("z").alias("blob"), "ids")
     told = answers.select("chunk", "part", "blob", F.lit(None).cast(chunks.schema["ids"].dataType).alias("ids"))
-    return texts.unionByName(told).groupBy("chunk").applyInArrow(fn, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return texts.unionByName(told).repartition(n_parts, "chunk").groupBy("chunk").applyInArrow(fn, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
