@@ -1,9 +1,13 @@
-"""Byte-level BPE by replaying merges over a block of the corpus.
+"""Byte-level BPE by replaying merges over the distinct words of the corpus.
 
-The distinct pattern matches of a block are laid out as one array of symbols with links to their neighbours.
-An inverted index from the rank of a pair to its positions drives the work: the lowest rank with positions is
-merged wherever it is its word's leftmost pair of that rank, and only the pairs that touch a merged position
-are looked up anew. Words are independent, so each word sees its merges in the order in which it alone would.
+Documents are written once, in blocks, as numbers of their words (pattern matches). Words are dealt by hash to parts,
+a part for `part_bytes` of text, so that equal words of all blocks meet, are merged once, and their ids go back
+to the blocks that asked. A word stands once a block at most, so none is hot.
+
+The distinct words of a part are laid out as one array of symbols with links to their neighbours. An inverted index
+from the rank of a pair to its positions drives the work: the lowest rank with positions is merged wherever it is its
+word's leftmost pair of that rank, and only the pairs that touch a merged position are looked up anew. Words are
+independent, so each word sees its merges in the order in which it alone would.
 
 Defined cases: a null text is the empty text (no ids); every row gives a row, repeated or not; very
 long texts are encoded whole; of equal ranks in a word the leftmost pair goes first; other columns
@@ -15,14 +19,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import blocks, documents, ragged, texts
+from .common import blocks, documents, ragged, stored, texts
 from .pretoken import PieceEncoder
 
 NONE = np.iinfo(np.int32).max
@@ -138,32 +148,144 @@ class Ranks:
         return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_STATE: dict[str, tuple[Ranks, PieceEncoder]] = {}
+_STATE: dict[str, Ranks] = {}
 
 
-def replayer(path: str) -> tuple[Ranks, PieceEncoder]:
-    """Vocabulary and piece encoder; one per worker."""
+def replayer(path: str) -> Ranks:
+    """The vocabulary; one per worker."""
     if path not in _STATE:
-        ranks = Ranks(path)
-        _STATE[path] = ranks, PieceEncoder(public_tokenizers.PATTERN, lambda new: ranks.replay([x.encode() for x in new]))
+        _STATE[path] = Ranks(path)
     return _STATE[path]
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = 4 << 20) -> DataFrame:
+def squeezed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their bytes by place, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(b"".join([np.array([len(words), *map(len, words)], "<u4").tobytes(), *words]))
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = (4 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)])).tolist()
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def numbered(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of each match's word, most frequent first, and how many matches each text has."""
+    met: list[str] = []
+
+    def number(new: list[str]) -> list[list[int]]:
+        first = len(met)
+        met.extend(new)
+        return [[k] for k in range(first, len(met))]
+
+    found, counts = PieceEncoder(public_tokenizers.PATTERN, number).encode(texts)
+    words = pa.array(met, pa.large_string()).dictionary_encode()
+    found = words.indices.to_numpy()[found]
+    order = np.argsort(-np.bincount(found, minlength=len(words.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return words.dictionary.take(pa.array(order)).cast(pa.large_binary()).to_pylist(), rank[found], counts
+
+
+def word_blocks(docs: DataFrame, n_parts: int, block_bytes: int) -> DataFrame:
+    """Blocks of documents as numbers of words (part -1), and the words of each block by the part that their hash names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, table in enumerate(blocks(batches, block_bytes)):
+            block = (TaskContext.get().partitionId() << 32) + k
+            words, found, counts = numbered(texts(table["text"]))
+            part = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(n_parts)
+            order = np.argsort(part, kind="stable")  # answers come back in this order
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, pa.schema([("doc_id", table["doc_id"].type), ("n", pa.int64())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.table([table["doc_id"], pa.array(counts, pa.int64())], ["doc_id", "n"]))
+            yield pa.RecordBatch.from_pydict({"block": [block], "part": [-1], "head": [sink.getvalue()], "place": [squeezed(place)], "data": [squeezed(found)]}, _schema())
+            cuts = np.searchsorted(part[order], np.arange(n_parts + 1)).tolist()
+            order = order.tolist()
+            some = [p for p in range(n_parts) if cuts[p] < cuts[p + 1]]
+            data = [packed_words([words[k] for k in order[cuts[p] : cuts[p + 1]]]) for p in some]
+            none = [None] * len(some)
+            yield pa.RecordBatch.from_pydict({"block": [block] * len(some), "part": some, "head": none, "place": none, "data": data}, _schema())
+
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, part int, head binary, place binary, data binary")
+
+
+def _schema() -> pa.Schema:
+    return pa.schema([("block", pa.int64()), ("part", pa.int32()), ("head", pa.binary()), ("place", pa.binary()), ("data", pa.binary())])
+
+
+def merged_parts(asked: DataFrame, path: str, chunk_bytes: int) -> DataFrame:
+    """The ids of every block's words: a part's distinct words are merged once for all blocks, `chunk_bytes` of them at a time."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        ranks = replayer(path)
+        at: dict[bytes, int] = {}
+        for data in table["data"].to_pylist():
+            for w in unpacked_words(data):
+                at.setdefault(w, len(at))
+        words = list(at)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]), chunk_bytes), "right")).tolist()
+        flat, lens = [], []
+        for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True):
+            own = ranks.replay(words[a:b])
+            lens.append(np.fromiter(map(len, own), np.int64, len(own)))
+            flat.append(np.fromiter(chain.from_iterable(own), np.uint32, int(lens[-1].sum())))
+        flat, lens = np.concatenate(flat), np.concatenate(lens)
+        starts = np.cumsum(lens) - lens
+        heads, rows = [], []
+        for data in table["data"].to_pylist():
+            idx = np.fromiter((at[w] for w in unpacked_words(data)), np.int64)
+            heads.append(squeezed(lens[idx]))
+            rows.append(squeezed(flat[ragged(starts[idx], lens[idx])]))
+        return pa.table([table["block"], table["part"], pa.array(heads, pa.binary()), pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.binary())], _schema())
+
+    return asked.groupBy("part").applyInArrow(answer, "block long, part int, head binary, place binary, data binary")
+
+
+def _replayed(docs: DataFrame, path: str, block_bytes: int, part_bytes: int, schema: str, finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Table]) -> DataFrame:
+    """finish on the doc_ids of each block, their ids one after the other, and how many each has."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = -(-size // part_bytes) or 1
+    rows = stored(word_blocks(docs, n_parts, block_bytes), "words")
+    answers = merged_parts(rows.where("part >= 0").select("block", "part", "data"), path, 2 << 20)
+
+    def gather(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        head, place, data = (table[c].to_pylist() for c in ("head", "place", "data"))
+        own = pa.ipc.open_stream(head[0]).read_all()
+        lens = np.concatenate([np.empty(0, np.int64), *map(widened, head[1:])]).astype(np.int64)
+        flat = np.concatenate([np.empty(0, np.uint32), *map(widened, data[1:])])
+        starts = np.cumsum(lens) - lens
+        found = widened(place[0])[widened(data[0])]
+        each = lens[found]
+        ids = flat[ragged(starts[found], each)]
+        counts = np.diff(np.concatenate([[0], np.cumsum(each)])[np.cumsum(own["n"].to_numpy())], prepend=0)
+        return finish(pa.concat_arrays(own["doc_id"].chunks), ids, counts)
+
+    return rows.where("part = -1").unionByName(answers).groupBy("block").applyInArrow(gather, schema)
+
+
+def encode(docs: DataFrame, path: str, block_bytes: int = 8 << 20, part_bytes: int = 32 << 20) -> DataFrame:
     """doc_id and ids (int array) of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, encoder = replayer(path)
-        for table in blocks(batches, block_bytes):
-            ids, counts = encoder.encode(texts(table["text"]))
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            for a in range(0, table.num_rows, 2000):
-                b = min(a + 2000, table.num_rows)
-                rows = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(ids[ends[a] : ends[b]].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(table["doc_id"].slice(a, b - a).chunks), rows], ["doc_id", "ids"])
+    def finish(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.Table:
+        rows = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])), pa.array(ids.astype(np.int32)))
+        return pa.table([doc_ids, rows.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return _replayed(docs, path, block_bytes, part_bytes, f"doc_id {kind}, ids array<int>", finish)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -171,7 +293,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, _ = replayer(path)
+        ranks = replayer(path)
         for batch in batches:
             ids = batch.column("ids")
             flat = ids.flatten().to_numpy(zero_copy_only=False)
@@ -181,24 +303,21 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, block_bytes: int = 4 << 20, text: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text (and the decoded text), in one Python pass."""
+def round_trip(docs: DataFrame, path: str, block_bytes: int = 8 << 20, part_bytes: int = 32 << 20, text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text (and the decoded text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, encoder = replayer(path)
-        for table in blocks(batches, block_bytes):
-            ids, counts = encoder.encode(texts(table["text"]))
-            data = ranks.decode(ids, counts)
-            ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
-            ids = ids.astype("<u4")
-            columns = [pa.concat_arrays(table["doc_id"].chunks), pa.array(counts), pa.array([hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]), pa.array([hashlib.sha256(x).hexdigest() for x in data])]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if text:
-                columns, names = [*columns, pa.array([x.decode() for x in data])], [*names, "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * text)
+    def finish(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.Table:
+        data = replayer(path).decode(ids, counts)
+        ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        ids = ids.astype("<u4")
+        columns = [doc_ids, pa.array(counts, pa.int64()), pa.array([hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]), pa.array([hashlib.sha256(x).hexdigest() for x in data])]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if text:
+            columns, names = [*columns, pa.array([x.decode() for x in data])], [*names, "decoded"]
+        return pa.table(columns, names)
+
+    return _replayed(docs, path, block_bytes, part_bytes, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * text, finish)
 
 
 def op9_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
