@@ -20,6 +20,7 @@ import base64
 import hashlib
 import heapq
 import io
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -32,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, ragged, stored, texts
+from .common import blocks, documents, ragged, scratch, texts
 from .pretoken import PieceEncoder
 
 NONE = np.iinfo(np.int32).max
+#: Tasks, and buckets of the stored blocks, are no more than Spark allows; beyond, a task takes several parts or blocks in turn.
+MOST_TASKS = 100_000
 
 
 class Ranks:
@@ -168,7 +171,7 @@ def widened(data: bytes) -> np.ndarray:
 
 
 def packed_words(words: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(b"".join([np.array([len(words), *map(len, words)], "<u4").tobytes(), *words]))
+    return zstandard.ZstdCompressor(6).compress(b"".join([np.array([len(words), *map(len, words)], "<u4").tobytes(), *words]))
 
 
 def unpacked_words(data: bytes) -> list[bytes]:
@@ -197,42 +200,37 @@ def numbered(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def word_blocks(docs: DataFrame, n_parts: int, block_bytes: int) -> DataFrame:
-    """Blocks of documents as numbers of words (part -1), and the words of each block by the part that their hash names."""
+    """Blocks of documents as numbers of words, with the words of each block by the part that their hash names."""
+    asked = pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, table in enumerate(blocks(batches, block_bytes)):
-            block = (TaskContext.get().partitionId() << 32) + k
             words, found, counts = numbered(texts(table["text"]))
             part = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(n_parts)
-            order = np.argsort(part, kind="stable")  # answers come back in this order
+            order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)  # neighbours compress well
+            order = order[np.argsort(part[order], kind="stable")]  # answers come back in this order
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
+            cuts = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64)).tolist()
+            order = order.tolist()
+            own = [{"part": p, "words": packed_words([words[k] for k in order[a:b]])} for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, pa.schema([("doc_id", table["doc_id"].type), ("n", pa.int64())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(pa.table([table["doc_id"], pa.array(counts, pa.int64())], ["doc_id", "n"]))
-            yield pa.RecordBatch.from_pydict({"block": [block], "part": [-1], "head": [sink.getvalue()], "place": [squeezed(place)], "data": [squeezed(found)]}, _schema())
-            cuts = np.searchsorted(part[order], np.arange(n_parts + 1)).tolist()
-            order = order.tolist()
-            some = [p for p in range(n_parts) if cuts[p] < cuts[p + 1]]
-            data = [packed_words([words[k] for k in order[cuts[p] : cuts[p + 1]]]) for p in some]
-            none = [None] * len(some)
-            yield pa.RecordBatch.from_pydict({"block": [block] * len(some), "part": some, "head": none, "place": none, "data": data}, _schema())
-
-    return docs.select("doc_id", "text").mapInArrow(run, "block long, part int, head binary, place binary, data binary")
-
+            columns = [pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([own], asked), *(pa.array([x], pa.binary()) for x in (sink.getvalue(), squeezed(place), squeezed(found)))]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "asked", "head", "place", "found"])
 
-def _schema() -> pa.Schema:
-    return pa.schema([("block", pa.int64()), ("part", pa.int32()), ("head", pa.binary()), ("place", pa.binary()), ("data", pa.binary())])
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, asked array<struct<part: int, words: binary>>, head binary, place binary, found binary")
 
 
 def merged_parts(asked: DataFrame, path: str, chunk_bytes: int) -> DataFrame:
-    """The ids of every block's words: a part's distinct words are merged once for all blocks, `chunk_bytes` of them at a time."""
+    """(block, part, lens, ids) for (block, part, words): a part's distinct words are merged once for all blocks, `chunk_bytes` of them at a time."""
 
     def answer(table: pa.Table) -> pa.Table:
         ranks = replayer(path)
         at: dict[bytes, int] = {}
-        for data in table["data"].to_pylist():
-            for w in unpacked_words(data):
+        for data in table["words"]:
+            for w in unpacked_words(data.as_py()):
                 at.setdefault(w, len(at))
         words = list(at)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
@@ -244,37 +242,42 @@ def merged_parts(asked: DataFrame, path: str, chunk_bytes: int) -> DataFrame:
             flat.append(np.fromiter(chain.from_iterable(own), np.uint32, int(lens[-1].sum())))
         flat, lens = np.concatenate(flat), np.concatenate(lens)
         starts = np.cumsum(lens) - lens
-        heads, rows = [], []
-        for data in table["data"].to_pylist():
-            idx = np.fromiter((at[w] for w in unpacked_words(data)), np.int64)
-            heads.append(squeezed(lens[idx]))
-            rows.append(squeezed(flat[ragged(starts[idx], lens[idx])]))
-        return pa.table([table["block"], table["part"], pa.array(heads, pa.binary()), pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.binary())], _schema())
+        all_lens, all_ids = [], []
+        for data in table["words"]:
+            idx = np.fromiter((at[w] for w in unpacked_words(data.as_py())), np.int64)
+            all_lens.append(squeezed(lens[idx]))
+            all_ids.append(squeezed(flat[ragged(starts[idx], lens[idx])]))
+        return pa.table([table["block"], table["part"], pa.array(all_lens, pa.binary()), pa.array(all_ids, pa.binary())], ["block", "part", "lens", "ids"])
 
-    return asked.groupBy("part").applyInArrow(answer, "block long, part int, head binary, place binary, data binary")
+    return asked.groupBy("part").applyInArrow(answer, "block long, part int, lens binary, ids binary")
 
 
 def _replayed(docs: DataFrame, path: str, block_bytes: int, part_bytes: int, schema: str, finish: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Table]) -> DataFrame:
     """finish on the doc_ids of each block, their ids one after the other, and how many each has."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = -(-size // part_bytes) or 1
-    rows = stored(word_blocks(docs, n_parts, block_bytes), "words")
-    answers = merged_parts(rows.where("part >= 0").select("block", "part", "data"), path, 2 << 20)
-
-    def gather(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        head, place, data = (table[c].to_pylist() for c in ("head", "place", "data"))
-        own = pa.ipc.open_stream(head[0]).read_all()
-        lens = np.concatenate([np.empty(0, np.int64), *map(widened, head[1:])]).astype(np.int64)
-        flat = np.concatenate([np.empty(0, np.uint32), *map(widened, data[1:])])
+    spark = docs.sparkSession
+    n_tasks = min(max(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
+    # Buckets by block: the blocks stay where they are written and only the answers are shuffled to them.
+    name = f"word_blocks_{uuid.uuid4().hex}"
+    word_blocks(docs, n_parts, block_bytes).write.bucketBy(n_tasks, "block").option("path", scratch(spark, "words")).saveAsTable(name)
+    rows = spark.table(name)
+    asked = rows.select("block", F.explode("asked").alias("a")).select("block", "a.part", "a.words").repartition(n_tasks, "part")
+    answers = merged_parts(asked, path, 2 << 20).repartition(n_tasks, "block")
+
+    def gather(block: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("part")
+        own = pa.ipc.open_stream(block["head"][0].as_py()).read_all()
+        lens = np.concatenate([np.empty(0, np.int64), *(widened(x.as_py()) for x in answers["lens"])]).astype(np.int64)
+        flat = np.concatenate([np.empty(0, np.uint32), *(widened(x.as_py()) for x in answers["ids"])])
         starts = np.cumsum(lens) - lens
-        found = widened(place[0])[widened(data[0])]
+        found = widened(block["place"][0].as_py())[widened(block["found"][0].as_py())]
         each = lens[found]
         ids = flat[ragged(starts[found], each)]
         counts = np.diff(np.concatenate([[0], np.cumsum(each)])[np.cumsum(own["n"].to_numpy())], prepend=0)
         return finish(pa.concat_arrays(own["doc_id"].chunks), ids, counts)
 
-    return rows.where("part = -1").unionByName(answers).groupBy("block").applyInArrow(gather, schema)
+    return rows.select("block", "head", "place", "found").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, schema)
 
 
 def encode(docs: DataFrame, path: str, block_bytes: int = 8 << 20, part_bytes: int = 32 << 20) -> DataFrame:

@@ -119,9 +119,9 @@ def test_merge_replay_many_blocks(spark, sf_dir):
     docs = merge_replay.documents(spark, sf_dir)
     whole, cut = (sorted(map(str, merge_replay.round_trip(docs, path, *sizes).collect())) for sizes in ((8 << 20, 32 << 20), (20_000, 50_000)))
     assert whole == cut
-    rows = merge_replay.word_blocks(docs, 7, 20_000).select("block", "part", "data").collect()
-    asked = [(r["part"], w) for r in rows if r["part"] >= 0 for w in merge_replay.unpacked_words(r["data"])]
-    assert len({b for b, *_ in rows}) > 3 and {p for p, _ in asked} == set(range(7))
+    rows = merge_replay.word_blocks(docs, 7, 20_000).select("asked").collect()
+    asked = [(a["part"], w) for r in rows for a in r["asked"] for w in merge_replay.unpacked_words(a["words"])]
+    assert len(rows) > 3 and {p for p, _ in asked} == set(range(7))
     assert len(set(asked)) == len({w for _, w in asked}) < len(asked)  # equal words of all blocks meet in one part
     blank = frame(spark, [(1, None), (2, ""), (None, "")])
     assert {tuple(r)[1:] for r in merge_replay.round_trip(blank, path).collect()} == {(0, hashlib.sha256().hexdigest(), hashlib.sha256().hexdigest())}
