@@ -263,7 +263,7 @@ def _replayed(docs: DataFrame, path: str, block_bytes: int, part_bytes: int, sch
     word_blocks(docs, n_parts, block_bytes).write.bucketBy(n_tasks, "block").option("path", scratch(spark, "words")).saveAsTable(name)
     rows = spark.table(name)
     asked = rows.select("block", F.explode("asked").alias("a")).select("block", "a.part", "a.words").repartition(n_tasks, "part")
-    answers = merged_parts(asked, path, 2 << 20).repartition(n_tasks, "block")
+    answers = merged_parts(asked, path, 1 << 20).repartition(n_tasks, "block")
 
     def gather(block: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part")
@@ -280,7 +280,7 @@ def _replayed(docs: DataFrame, path: str, block_bytes: int, part_bytes: int, sch
     return rows.select("block", "head", "place", "found").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, schema)
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = 8 << 20, part_bytes: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, block_bytes: int = 6 << 20, part_bytes: int = 32 << 20) -> DataFrame:
     """doc_id and ids (int array) of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -306,7 +306,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, block_bytes: int = 8 << 20, part_bytes: int = 32 << 20, text: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, block_bytes: int = 6 << 20, part_bytes: int = 32 << 20, text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text (and the decoded text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
