@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_score, merge_replay, minhash, oracle, quality_crf, quality_qda, run_index, sharding, token_orc, toxicity
+from . import decontaminate, lm_score, merge_replay, minhash, oracle, quality_crf, quality_qda, run_index, sharding, token_counts, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_orc": token_orc.op8_token_orc,
     "op9_merge_replay": merge_replay.op9_merge_replay,
     "op10_qgram_bands": decontaminate.op10_qgram_bands,
+    "op11_digest_cache": token_counts.op11_digest_cache,
 }
 
 ORACLE_SQL: dict[str, str] = {
