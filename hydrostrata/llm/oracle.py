@@ -24,3 +24,26 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id)
 """
+
+
+def _vector_codes(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """Codes by nearest entry, ties to the lower index: distance and entry in one integer. Floors of negative quotients go down."""
+    steps = [
+        "k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS (SELECT vec_id, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM k, (SELECT unnest(range({parts})) AS part))",
+        f"f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < {entries})",
+        "b0 AS (SELECT part, entry, x AS c FROM p JOIN f USING (vec_id))",
+    ]
+    for k in range(rounds + 1):
+        apart = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+        steps.append(f"a{k} AS (SELECT vec_id, part, min({apart} * 256 + entry) AS m FROM p JOIN b{k} USING (part) GROUP BY vec_id, part)")
+        if k < rounds:
+            steps.append(f"s{k} AS (SELECT part, m % 256 AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT a{k}.part, m, x, unnest(range(1, len(x) + 1)) AS i FROM a{k} JOIN p ON p.vec_id = a{k}.vec_id AND p.part = a{k}.part) GROUP BY part, m % 256, i)")
+            steps.append(f"n{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY part, entry)")
+            steps.append(f"b{k + 1} AS (SELECT b{k}.part, b{k}.entry, coalesce(n{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN n{k} ON n{k}.part = b{k}.part AND n{k}.entry = b{k}.entry)")
+    steps.append(f"o AS (SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})")
+    return "WITH " + ",\n ".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN k USING (vec_id), h\n"
+
+
+VECTOR_CODES = _vector_codes()
