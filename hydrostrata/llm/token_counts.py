@@ -74,7 +74,7 @@ def content_key(text: Column, path: str) -> Column:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         if _drops_space(told):
-            spaced = F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " "))
+            spaced = F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]", " "))  # single spaces stay untouched
             ascii_only = F.length(spaced) == F.octet_length(spaced)
             quoted = reduce(Column.__or__, (F.contains(F.lower(text), F.lit(a["content"].lower())) for a in told["added_tokens"]), F.lit(False))
             content = F.when(quoted, F.concat(F.lit("quoted "), text)).when(ascii_only, F.lower(spaced)).otherwise(spaced)
