@@ -47,3 +47,18 @@ def _vector_codes(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
 
 
 VECTOR_CODES = _vector_codes()
+
+#: crc32 is written out bit by bit: 0xEDB88320 is its polynomial. Each node adds to the nodes of all its prefixes.
+PREFIX_TRIE = """
+WITH t AS (SELECT conv_id, turn, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+ l AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x) AS x FROM t GROUP BY conv_id),
+ c AS (SELECT conv_id, x, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 4 AS h FROM l),
+ r AS (SELECT c.conv_id, list_concat(coalesce(b.x[1 : c.h], []), c.x[c.h + 1 :]) AS x FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+ p AS (SELECT conv_id, x, unnest(range(0, len(x) + 1)) AS depth FROM r),
+ n AS (SELECT x[1 : depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(x[depth].t), '[^\\x20\\x09-\\x0D]+')) END AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(x) = depth), '')) AS ends_sha256 FROM p GROUP BY x[1 : depth], depth),
+ u AS (SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id FROM n LEFT JOIN n m ON m.depth = n.depth - 1 AND m.k = n.k[1 : n.depth - 1]),
+ w AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY 1, 2),
+ f AS (SELECT n.*, u.parent_conv_id, coalesce(w.n_children, 0) AS n_children FROM n JOIN u USING (conv_id, depth) LEFT JOIN w USING (conv_id, depth)),
+ a AS (SELECT k[1 : up] AS k, up AS depth, sum(saved) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves FROM (SELECT k, saved, n_children, unnest(range(0, depth + 1)) AS up FROM f) GROUP BY k[1 : up], up)
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, CAST(a.leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, f.ends_sha256 FROM f JOIN a ON a.depth = f.depth AND a.k = f.k
+"""

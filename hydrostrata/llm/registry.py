@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_score, merge_replay, minhash, oracle, quality_crf, quality_qda, run_index, sharding, token_counts, token_orc, toxicity, vector_codes
+from . import conversation_trie, decontaminate, lm_score, merge_replay, minhash, oracle, quality_crf, quality_qda, run_index, sharding, token_counts, token_orc, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
@@ -21,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_qgram_bands": decontaminate.op10_qgram_bands,
     "op11_digest_cache": token_counts.op11_digest_cache,
     "op12_integer_codebooks": vector_codes.op12_integer_codebooks,
+    "op13_prefix_trie": conversation_trie.op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_minmax_hash": oracle.NEAR_DUPLICATES,
     "op7_run_index": oracle.REPEATED_SPANS,
     "op12_integer_codebooks": oracle.VECTOR_CODES,
+    "op13_prefix_trie": oracle.PREFIX_TRIE,
 }
