@@ -183,23 +183,6 @@ def directional_variogram(points: DataFrame, value: str, lag: float, bins: int,
     return pairs.where(along >= F.sqrt("d2") * math.cos(math.radians(tolerance))).groupBy("bin").agg((F.avg(diff * diff) / 2).alias("gamma"), F.count("*").alias("pairs"), F.avg(F.sqrt("d2")).alias("distance"))
 
 
-def fit_variogram(bins: DataFrame, kind: str, ranges: list[float]) -> DataFrame:
-    """One row (reach, nugget, sill, r2): of the candidate ranges the one whose nugget and partial sill, by least squares weighted with the pairs and not negative, fit the bins (distance, gamma, pairs) best. Bins and ranges are small by nature."""
-    tries = bins.sparkSession.createDataFrame([(float(r),) for r in ranges], "reach double")
-    rows = bins.select("distance", "gamma", F.col("pairs").cast("double").alias("w")).join(F.broadcast(tries))
-    h = F.col("distance") / F.col("reach")
-    shape = F.when(h < 1, 1.5 * h - 0.5 * h * h * h).otherwise(1.0) if kind == "spherical" else 1 - F.exp(-3 * h)
-    w, f, g = F.col("w"), F.col("f"), F.col("gamma")
-    s = rows.withColumn("f", shape).groupBy("reach").agg(*(F.sum(c).alias(k) for k, c in {"n": w, "sf": w * f, "sff": w * f * f, "sg": w * g, "sgg": w * g * g, "sfg": w * f * g}.items()))
-    n, sf, sff, sg, sgg, sfg = (F.col(c) for c in ("n", "sf", "sff", "sg", "sgg", "sfg"))
-    free = (n * sfg - sf * sg) / F.nullif(n * sff - sf * sf, F.lit(0.0))
-    s = s.withColumn("sill", F.coalesce(F.greatest(free, F.lit(0.0)), F.lit(0.0))).withColumn("nugget", (sg - F.col("sill") * sf) / n)
-    s = s.withColumn("sill", F.when(F.col("nugget") < 0, sfg / sff).otherwise(F.col("sill"))).withColumn("nugget", F.greatest("nugget", F.lit(0.0)))
-    c0, c1 = F.col("nugget"), F.col("sill")
-    sse = sgg - 2 * c0 * sg - 2 * c1 * sfg + c0 * c0 * n + 2 * c0 * c1 * sf + c1 * c1 * sff
-    return s.withColumn("r2", 1 - sse / F.nullif(sgg - sg * sg / n, F.lit(0.0))).agg(F.max_by(F.struct("reach", "nugget", "sill", "r2"), F.struct("r2", -F.col("reach"))).alias("b")).select("b.*")
-
-
 def simulate(neighbour_zones: DataFrame, seed: int, k: int, kind: str, nugget: float, sill: float, reach: float) -> DataFrame:
     """Sequential Gaussian simulation, one Arrow group a (zone, realisation).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrostrata.functions import numeric
 from hydrostrata.operators import budget, interpolation, intervals, learning, metrics, relational, spatial, texture, weighting
-from hydrostrata.sources import sinks, tables
+from hydrostrata.sources import tables
 from hydrostrata.sources.tables import table
 
 from .series_queries import rounded
@@ -96,18 +96,6 @@ def directional_variogram(spark: SparkSession, d: str) -> DataFrame:
     return rounded(interpolation.directional_variogram(_points(spark, d), "v", 0.02, 10, 45.0, 22.5), 8, "gamma", "distance")
 
 
-@query(f"""WITH {_BINS}, g AS (SELECT floor(h / 0.02) AS bin, avg(dv * dv) / 2 AS g, count(*)::DOUBLE AS w, avg(h) AS h FROM d WHERE h < 0.2 GROUP BY 1),
- f AS (SELECT reach, g, w, CASE WHEN h < reach THEN 1.5 * h / reach - 0.5 * pow(h / reach, 3) ELSE 1 END AS f FROM g, (SELECT r * 0.01::DOUBLE AS reach FROM range(2, 31) t(r))),
- s AS (SELECT reach, sum(w) AS n, sum(w * f) AS sf, sum(w * f * f) AS sff, sum(w * g) AS sg, sum(w * g * g) AS sgg, sum(w * f * g) AS sfg FROM f GROUP BY 1),
- a AS (SELECT *, greatest((n * sfg - sf * sg) / (n * sff - sf * sf), 0) AS c1 FROM s), b AS (SELECT *, (sg - c1 * sf) / n AS c0 FROM a),
- c AS (SELECT reach, n, sf, sff, sg, sgg, sfg, greatest(c0, 0) AS c0, CASE WHEN c0 < 0 THEN sfg / sff ELSE c1 END AS c1 FROM b),
- e AS (SELECT reach, c0, c1, 1 - (sgg - 2 * c0 * sg - 2 * c1 * sfg + c0 * c0 * n + 2 * c0 * c1 * sf + c1 * c1 * sff) / (sgg - sg * sg / n) AS r2 FROM c)
-SELECT round(reach, 6) AS reach, round(c0, 7) AS nugget, round(c1, 7) AS sill, round(r2, 6) AS r2 FROM e ORDER BY e.r2 DESC LIMIT 1""")
-def variogram_fit(spark: SparkSession, d: str) -> DataFrame:
-    fit = interpolation.fit_variogram(interpolation.empirical_variogram(_points(spark, d), "v", 0.02, 10), "spherical", [0.01 * k for k in range(2, 31)])
-    return rounded(rounded(fit, 6, "reach", "r2"), 7, "nugget", "sill")
-
-
 @query(f"""WITH {_POINTS}, l AS (SELECT pid, px, py, label FROM pts), d AS (SELECT a.pid, a.label, b.label AS other, sum((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) AS s, count(*) AS n FROM l a, l b GROUP BY 1, 2, 3),
  e AS (SELECT pid, label, max(CASE WHEN other = label THEN n END) AS m, max(CASE WHEN other = label THEN s / (n - 1) END) AS a, min(CASE WHEN other <> label THEN s / n END) AS b FROM d GROUP BY 1, 2)
 SELECT pid, label, round(CASE WHEN m = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM e""")
@@ -285,13 +273,6 @@ def template_names(spark: SparkSession, d: str) -> DataFrame:
     return relational.template_names(lines, "line").select("p_partkey", "pos", "name")
 
 
-@query("SELECT p_brand AS class, CAST(p_size AS INTEGER) AS structure, printf('%-12s %2d %-3s %10.4f %10.4f %12.3f %12.3f %8.2f %4d', p_brand, p_size, 'Sph', 0.0, 0.25, 1000.0, 2000.0, 45.0, 16) AS value FROM (SELECT DISTINCT p_brand, p_size FROM part)")
-def variogram_block(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "part").select(F.col("p_brand").alias("class"), F.col("p_size").cast("int").alias("structure")).distinct()
-    numbers = {"nugget": 0.0, "sill": 0.25, "range_min": 1000.0, "range_max": 2000.0, "angle": 45.0}
-    return sinks.variogram_lines(m.withColumns({"kind": F.lit("Sph"), "nnear": F.lit(16), **{k: F.lit(v) for k, v in numbers.items()}}))
-
-
 @query("""WITH r AS (SELECT s_suppkey AS id, 1 AS run, s_nationkey AS label FROM supplier UNION ALL SELECT s_suppkey, 2, CAST(s_suppkey % 7 AS INTEGER) FROM supplier), n AS (SELECT id, count(*) OVER (PARTITION BY run, label) AS n FROM r)
 SELECT id, round(sum(n) / (SELECT count(*) FROM r), 9) AS similarity FROM n GROUP BY 1""")
 def mean_coassociation(spark: SparkSession, d: str) -> DataFrame:

@@ -55,6 +55,16 @@ def instruction_lines(df: DataFrame, date: str, name: str, origin: str) -> DataF
     return df.select(date, F.format_string("l%d !%s!", move, F.col(name)).alias("value"))
 
 
+#: The layout that readers of a variogram block expect, a line for a class and one for each of its structures.
+VARIOGRAM_HEAD = ("BEGIN VARIOGRAMS", "  # Structure Vtype  Nugget  Sill  Range_min Range_max ang1  nnear")
+VARIOGRAM_CLASS = "  CLASS %s"
+VARIOGRAM_STRUCTURE = "           %d    %s    %.3f   %.3f    %.2E       %.2E  %.1f    %d"
+VARIOGRAM_END = "END VARIOGRAMS"
+
+
 def variogram_lines(models: DataFrame) -> DataFrame:
-    """(class, structure, value): a line for each structure of a class's variogram, with its class and neighbours; models: class, structure, kind, nugget, sill, range_min, range_max, angle, nnear."""
-    return models.select("class", "structure", F.format_string("%-12s %2d %-3s %10.4f %10.4f %12.3f %12.3f %8.2f %4d", "class", "structure", "kind", "nugget", "sill", "range_min", "range_max", "angle", "nnear").alias("value"))
+    """(part, class, structure, value): the block's lines in the order of the first three columns: heading (part 0), classes, each with its structures (part 1), end (part 2). models: class, structure from 1, kind, nugget, sill, range_min, range_max, angle, nnear."""
+    named = models.select("class").distinct().select(F.lit(1).alias("part"), "class", F.lit(0).alias("structure"), F.format_string(VARIOGRAM_CLASS, "class").alias("value"))
+    numbers = F.format_string(VARIOGRAM_STRUCTURE, "structure", "kind", "nugget", "sill", "range_min", "range_max", "angle", "nnear")
+    frame = [(0, None, k, line) for k, line in enumerate(VARIOGRAM_HEAD)] + [(2, None, 0, VARIOGRAM_END)]
+    return models.sparkSession.createDataFrame(frame, named.schema).unionByName(named).unionByName(models.select(F.lit(1).alias("part"), "class", F.col("structure").cast("int").alias("structure"), numbers.alias("value")))
