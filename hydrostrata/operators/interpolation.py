@@ -48,12 +48,13 @@ def _model(kind: str, nugget: float, sill: float, reach: float):
 Model = tuple[str, float, float, float]  # kind, nugget, partial sill, range
 
 
-def kriging_weights(neighbours: DataFrame, kind: str, nugget: float, sill: float, reach: float, ordinary: bool = True, zones: dict[int, Model] | None = None, cross: dict[tuple[int, int], Model] | None = None) -> DataFrame:
+def kriging_weights(neighbours: DataFrame, kind: str, nugget: float, sill: float, reach: float, ordinary: bool = True, zones: dict[int, Model] | None = None, cross: dict[tuple[int, int], Model] | None = None, variance: bool = False) -> DataFrame:
     """(qid, pid, weight) of ordinary or simple kriging; the neighbours of a target are one row, and all systems of one size in an Arrow batch are solved at once.
 
     zones: models by the targets' `zone` column, the given one for other zones. cross: models by pairs of datasets
     (0 is the estimated one) for neighbours with a column `dataset`; all weights together add up to 1. Sources that
-    coincide make a singular system; the pseudo-inverse shares the weight among them.
+    coincide make a singular system; the pseudo-inverse shares the weight among them. variance: also the kriging variance of
+    the target, one column more.
     """
     keys = ["qid", "qx", "qy"] + ["zone"] * (zones is not None)
     part = F.col("dataset").cast("int") if cross else F.lit(0)
@@ -92,11 +93,15 @@ def kriging_weights(neighbours: DataFrame, kind: str, nugget: float, sill: float
                     w = np.linalg.solve(a, b[:, :, None])[:, :, 0]
                 except np.linalg.LinAlgError:
                     w = (np.linalg.pinv(a) @ b[:, :, None])[:, :, 0]
-                out.append(pd.DataFrame({"qid": np.repeat(own.qid.to_numpy(), n), "pid": [p["pid"] for near in own.near for p in near], "weight": w[:, :n].ravel()}))
+                rows = pd.DataFrame({"qid": np.repeat(own.qid.to_numpy(), n), "pid": [p["pid"] for near in own.near for p in near], "weight": w[:, :n].ravel()})
+                if variance:
+                    total = (cross.get((0, 0), model) if cross else model)[1:3]
+                    rows["variance"] = np.repeat(sum(total) - (w * b).sum(axis=1), n)
+                out.append(rows)
             if out:
                 yield pd.concat(out)
 
-    return gathered.mapInPandas(solve, "qid long, pid long, weight double")
+    return gathered.mapInPandas(solve, "qid long, pid long, weight double" + ", variance double" * variance)
 
 
 def without_negatives(weights: DataFrame) -> DataFrame:
@@ -181,32 +186,3 @@ def directional_variogram(points: DataFrame, value: str, lag: float, bins: int,
     along = F.abs((F.col("px") - F.col("qx")) * math.sin(math.radians(azimuth)) + (F.col("py") - F.col("qy")) * math.cos(math.radians(azimuth)))
     diff = F.col(value) - F.col("_v")
     return pairs.where(along >= F.sqrt("d2") * math.cos(math.radians(tolerance))).groupBy("bin").agg((F.avg(diff * diff) / 2).alias("gamma"), F.count("*").alias("pairs"), F.avg(F.sqrt("d2")).alias("distance"))
-
-
-def simulate(neighbour_zones: DataFrame, seed: int, k: int, kind: str, nugget: float, sill: float, reach: float) -> DataFrame:
-    """Sequential Gaussian simulation, one Arrow group a (zone, realisation).
-
-    Rows: zone, realisation, id, x, y, value (null: to simulate). Nodes are visited in a random path; each is
-    drawn around the simple kriging estimate from its k nearest known or simulated nodes, clamped to [0, 1].
-    """
-    cov = _model(kind, nugget, sill, reach)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        rng = np.random.default_rng([seed, int(key[0]), int(key[1])])
-        xy, v = pdf[["x", "y"]].to_numpy(float), pdf["value"].to_numpy(float)
-        mean = float(np.nanmean(v)) if (~np.isnan(v)).any() else 0.5
-        for i in rng.permutation(np.flatnonzero(np.isnan(v))):
-            known = np.flatnonzero(~np.isnan(v))
-            estimate, var = mean, sill + nugget
-            if len(known):
-                d = np.hypot(*(xy[known] - xy[i]).T)
-                near = known[np.argsort(d, kind="stable")[:k]]
-                c = cov(np.hypot(*(xy[near][:, None] - xy[near][None]).transpose(2, 0, 1)))
-                b = cov(np.hypot(*(xy[near] - xy[i]).T))
-                w = np.linalg.pinv(c) @ b
-                estimate, var = mean + w @ (v[near] - mean), max(sill + nugget - w @ b, 0.0)
-            v[i] = min(max(rng.normal(estimate, np.sqrt(var)), 0.0), 1.0)
-        return pdf.assign(value=v)[["zone", "realisation", "id", "value"]]
-
-    return neighbour_zones.groupBy("zone", "realisation").applyInPandas(run, "zone long, realisation long, id long, value double")

@@ -8,6 +8,7 @@ and no loop; no query is compared with all points unless there are no more than
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +29,19 @@ def _ring(queries: DataFrame, side: float, inner: int, outer: int) -> DataFrame:
     return out.withColumns({"_bx": _bucket("qx", side) + F.col("_dx"), "_by": _bucket("qy", side) + F.col("_dy")}).drop("_dx", "_dy")
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, side: float) -> DataFrame:
-    """(qid, qx, qy, pid, px, py, ..., d2, rank) of the k nearest points; ties by pid. queries: qid, qx, qy; points: pid, px, py and more; side: of the finest buckets."""
+def _finest(points: DataFrame, k: int, side: float, by: tuple[str, ...]) -> float:
+    """The side, halved until no bucket holds many more points than are asked for, or until that splits the fullest no further."""
+    before = None
+    while True:
+        most = points.groupBy(*by, _bucket("px", side), _bucket("py", side)).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        if most <= 16 * k or most == before:
+            return side
+        side, before = side / 2 ** math.ceil(math.log(most / (4 * k), 4)), most
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int, side: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, qx, qy, pid, px, py, ..., d2, rank) of the k nearest points; ties by pid. queries: qid, qx, qy; points: pid, px, py and more; side: of the finest buckets, smaller where points are dense; by: columns that query and point share."""
+    side = _finest(points, k, side, by)
     ends = [df.agg(*(f(c) for c in cs for f in (F.min, F.max))).first() for df, cs in ((queries, ("qx", "qy")), (points, ("px", "py")))]
     known = [e for e in ends if e[0] is not None]
     x0, y0 = min((e[0] for e in known), default=0.0), min((e[2] for e in known), default=0.0)
@@ -40,9 +52,9 @@ def knn(queries: DataFrame, points: DataFrame, k: int, side: float) -> DataFrame
     at = lambda c, c0, level: F.floor((F.col(c) - c0) / (side * F.pow(F.lit(2.0), level))).cast("long")
     level = F.col("_level")
     every = F.explode(F.sequence(F.lit(0), F.lit(top)))
-    counts = points.select("px", "py").withColumn("_level", every).groupBy("_level", at("px", x0, level).alias("_bx"), at("py", y0, level).alias("_by")).agg(F.count("*").alias("_n")).where((F.col("_n") >= k) | (level == top))
+    counts = points.select(*by, "px", "py").withColumn("_level", every).groupBy(*by, "_level", at("px", x0, level).alias("_bx"), at("py", y0, level).alias("_by")).agg(F.count("*").alias("_n")).where((F.col("_n") >= k) | (level == top))
     placed = queries.withColumn("_level", every).withColumns({"_bx": at("qx", x0, level), "_by": at("qy", y0, level)})
-    levels = placed.join(counts.select("_level", "_bx", "_by"), ["_level", "_bx", "_by"]).groupBy("qid").agg(F.min("_level").alias("_level"))
+    levels = placed.join(counts.select(*by, "_level", "_bx", "_by"), [*by, "_level", "_bx", "_by"]).groupBy("qid").agg(F.min("_level").alias("_level"))
     used = sorted(r[0] for r in levels.select("_level").distinct().collect())  # at most one row a level
     if not used:
         used = [top]
@@ -52,7 +64,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, side: float) -> DataFrame
     held = points.withColumn("_level", F.explode(F.array(*map(F.lit, used)))).withColumns({"_bx": at("px", x0, level), "_by": at("py", y0, level)})
     d2 = (F.col("qx") - F.col("px")) * (F.col("qx") - F.col("px")) + (F.col("qy") - F.col("py")) * (F.col("qy") - F.col("py"))
     reach = side * F.pow(F.lit(2.0), level)
-    found = asked.join(held, ["_level", "_bx", "_by"]).withColumn("d2", d2).where((level == top) | (F.col("d2") <= 2.000001 * reach * reach))
+    found = asked.join(held, [*by, "_level", "_bx", "_by"]).withColumn("d2", d2).where((level == top) | (F.col("d2") <= 2.000001 * reach * reach))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "pid"))
     return found.drop("_level", "_bx", "_by").withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hydrostrata.functions import numeric
-from hydrostrata.operators import interpolation, intervals, relational, spatial, texture
+from hydrostrata.operators import interpolation, intervals, relational, simulation, spatial, texture
 from hydrostrata.sources.tables import regular_grid, table
 
 from .series_queries import rounded
@@ -99,7 +99,7 @@ def sk_krige(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def sgsim_realisations(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d).select(F.col("label").cast("long").alias("zone"), F.col("pid").alias("id"), F.col("px").alias("x"), F.col("py").alias("y"), F.when(F.col("pid") % 2 == 0, F.least(F.greatest(F.col("v") + 0.5, F.lit(0.0)), F.lit(1.0))).alias("value"))
-    return interpolation.simulate(p.withColumn("realisation", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))), 7, 8, "exponential", 0.0, 0.05, 0.2)
+    return simulation.simulate(p, ("exponential", 0.0, 0.05, 0.2), 8, 0.05, 2, 7)
 
 
 @query(f"""WITH {_POINTS}, d AS (SELECT a.v - b.v AS dv, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) AS h FROM pts a JOIN pts b ON a.pid < b.pid)
