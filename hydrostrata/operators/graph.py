@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that the cluster names; a temporary one only on a local master that names none."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local"):
+    """df written to the shared folder that the cluster names and read back, which leaves nothing of its plan; a temporary folder only on a local master that names none."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -126,29 +126,6 @@ def category_idw(targets: DataFrame, points: DataFrame, category: str, value: st
     return sums.select("qid", F.coalesce("_at", "_near").alias("estimate"))
 
 
-def simple_kriging(targets: DataFrame, points: DataFrame, value: str, kind: str, nugget: float, sill: float, reach: float, most_points: int = 5_000) -> DataFrame:
-    """(qid, estimate) of simple kriging from all points: the system is solved once, and each target adds its covariances times the solution to the mean.
-
-    The points are the survey, counted before they come to the driver (n squared memory there, n a task); more than
-    `most_points` need kriging_weights on neighbours.
-    """
-    rows = points.select("px", "py", value).limit(most_points + 1).collect()
-    if len(rows) > most_points:
-        raise ValueError(f"more than {most_points} points")
-    xy, v = np.array([(r[0], r[1]) for r in rows], float).reshape(-1, 2), np.array([r[2] for r in rows], float)
-    cov, mean = _model(kind, nugget, sill, reach), float(v.mean()) if len(v) else float("nan")
-    alpha = np.linalg.lstsq(cov(np.hypot(*np.moveaxis(xy[:, None] - xy[None], 2, 0))), v - mean, rcond=None)[0] if len(v) else v
-
-    def estimate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for a in range(0, len(pdf), 1000):
-                own = pdf.iloc[a : a + 1000]
-                d = np.hypot(own.qx.to_numpy(float)[:, None] - xy[:, 0], own.qy.to_numpy(float)[:, None] - xy[:, 1])
-                yield pd.DataFrame({"qid": own.qid.to_numpy(), "estimate": mean + cov(d) @ alpha})
-
-    return targets.select("qid", "qx", "qy").mapInPandas(estimate, "qid long, estimate double")
-
-
 def simple_estimate(weights: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """Simple kriging: weighted residuals from the mean of all values, the mean added back."""
     mean = values.agg(F.avg(value).alias("_mean"))

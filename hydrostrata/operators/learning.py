@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,36 @@ def lognormal_fit(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.where(F.col(value) > 0).groupBy(*by).agg(F.avg(ln).alias("mu"), F.stddev_pop(ln).alias("sigma"), F.exp(F.avg(ln)).alias("scale"), F.count("*").alias("n"))
 
 
-def bounded_lognormal_fit(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Lognormal with a location that is not negative: the candidate locations are stated shares (below 1) of a group's least value, at each of which mean and deviation of the logarithms are the most likely ones; the likeliest candidate stays, ties at the lower location."""
-    low = df.where(F.col(value) > 0).groupBy(*by).agg(F.min(value).alias("_low"))
-    rows = df.where(F.col(value) > 0).join(low, by)
-    of = lambda k: F.ln(F.col(value) - shares[k] * F.col("_low"))
-    sums = rows.groupBy(*by).agg(F.max("_low").alias("_low"), F.count("*").alias("n"), *(f(of(k)).alias(f"_{name}{k}") for k in range(len(shares)) for name, f in (("m", F.avg), ("s", F.stddev_pop))))
-    fit = F.array(*(F.struct((-F.ln(F.nullif(F.col(f"_s{k}"), F.lit(0.0))) - F.col(f"_m{k}")).alias("likely"), F.lit(-shares[k]).alias("share"), F.col(f"_m{k}").alias("mu"), F.col(f"_s{k}").alias("sigma")) for k in range(len(shares))))
-    best = sums.withColumn("_b", F.array_max(fit))
-    return best.select(*by, "n", (-F.col("_b.share") * F.col("_low")).alias("loc"), F.col("_b.mu").alias("mu"), F.col("_b.sigma").alias("sigma"), F.exp("_b.mu").alias("scale"))
+def bounded_lognormal_fit(df: DataFrame, by: list[str], value: str, low: float = 0.0, margin: float = 1e-3, steps: int = 16, rounds: int = 9) -> DataFrame:
+    """(by, n, loc, mu, sigma, scale): lognormal with a location from `low` up to just under the group's least value, at the greatest likelihood over that range.
+
+    For a location the best mean and deviation of the logarithms are in closed form, so that the likelihood is a function
+    of the location alone. It is bracketed for all groups at once: a round takes `steps` candidates a group, summed in the
+    tasks, and goes on between the neighbours of the best; ties go to the lower location. The first round's
+    candidates are nearer to each other towards the least value, where the likelihood has its other rise; `margin` is the
+    share of the range that the location stays away from it. Groups of equal values have no fit and are left out.
+    """
+    names = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    from .graph import checkpointed
+
+    rows = df.where(F.col(value) > low).select(*by, F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy(*names).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("*").alias("n")).where("_max > _min")
+    # The location is _min - exp(t) * (_min - low), t from ln(margin) up to 0: even steps of t crowd towards the least value.
+    state = checkpointed(ends.withColumns({"_a": F.lit(math.log(margin)), "_b": F.lit(0.0)}))
+    gap = lambda k: F.exp(F.col("_a") + (F.col("_b") - F.col("_a")) * (k / steps)) * (F.col("_min") - low)
+    for _ in range(rounds):
+        logs = rows.join(state, same).withColumns({f"_l{k}": F.ln(F.col("_v") - F.col("_min") + gap(k)) for k in range(steps + 1)})
+        sums = logs.groupBy(*(f"_g{i}" for i in range(len(by)))).agg(*(f(f"_l{k}").alias(f"_{m}{k}") for k in range(steps + 1) for m, f in (("m", F.avg), ("s", F.stddev_pop))))
+        tries = F.array(*(F.struct((-F.ln(F.nullif(F.col(f"_s{k}"), F.lit(0.0))) - F.col(f"_m{k}")).alias("likely"), F.lit(k).alias("k"), F.col(f"_m{k}").alias("mu"), F.col(f"_s{k}").alias("sigma")) for k in range(steps + 1)))
+        own = [F.col(f"_g{i}").alias(f"_h{i}") for i in range(len(by))]
+        best = sums.select(*own, F.array_max(tries).alias("_best"))
+        met = state.join(best, [F.col(f"_g{i}").eqNullSafe(F.col(f"_h{i}")) for i in range(len(by))])
+        t = lambda k: F.col("_a") + (F.col("_b") - F.col("_a")) * F.least(F.greatest(k, F.lit(0)), F.lit(steps)) / steps
+        at = F.col("_best.k")
+        state = checkpointed(met.select(*(f"_g{i}" for i in range(len(by))), "_min", "n", t(at - 1).alias("_a"), t(at + 1).alias("_b"), t(at).alias("_t"), F.col("_best.mu").alias("mu"), F.col("_best.sigma").alias("sigma")))
+    loc = F.col("_min") - F.exp("_t") * (F.col("_min") - low)
+    return state.select(*(F.col(f"_g{i}").alias(c) for i, c in enumerate(by)), "n", loc.alias("loc"), "mu", "sigma", F.exp("mu").alias("scale"))
 
 
 def standardise(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -145,30 +168,56 @@ def mean_coassociation(runs: DataFrame) -> DataFrame:
     return means.crossJoin(F.broadcast(total)).select("id", (F.col("_s") / F.col("_rows")).alias("similarity"))
 
 
+def median_coassociation(runs: DataFrame) -> DataFrame:
+    """(id, similarity): each id's median share of runs with one label over all ids, itself included, as `coassociation` has them, without pairs of ids.
+
+    Ids with the same labels in all runs are one row with their number; pairs of such rows that share a label are counted
+    by their shared runs, and the others share none. runs: id, run, label, one label an id and run. Pairs
+    grow with the different label tuples that meet, not with ids.
+    """
+    from .graph import checkpointed
+
+    labels = F.array_sort(F.collect_list(F.struct("run", "label")))
+    ids = checkpointed(runs.groupBy("id").agg(labels.alias("t")))
+    tuples = checkpointed(ids.groupBy("t").agg(F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()))
+    total, width = ids.count(), runs.select("run").distinct().count()
+    marks = tuples.select("key", "n", F.explode("t").alias("m"))
+    other = marks.select(F.col("key").alias("key2"), F.col("n").alias("n2"), "m")
+    shared = marks.join(other, "m").groupBy("key", "key2").agg(F.count("*").alias("k"), F.max("n2").alias("n2"))
+    bins = shared.groupBy("key", "k").agg(F.sum("n2").alias("c"))
+    none = bins.groupBy("key").agg((F.lit(total) - F.sum("c")).alias("c")).select("key", F.lit(0).cast("long").alias("k"), "c")
+    up = Window.partitionBy("key").orderBy("k")  # at most one row a number of runs
+    ranked = bins.unionByName(none).where("c > 0").withColumn("upto", F.sum("c").over(up))
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("k")))  # noqa: E731  the value of rank r from 0
+    medians = ranked.groupBy("key").agg(((at((total - 1) // 2) + at(total // 2)) / 2 / width).alias("similarity"))
+    return ids.join(tuples.select("key", "t"), "t").join(medians, "key").select("id", "similarity")
+
+
 def k_prototypes(df: DataFrame, key: str, numbers: list[str], categories: list[str], starts: list[tuple], gamma: float, rounds: int = 20) -> DataFrame:
     """(key, cluster from 0, distance) by k-prototypes: squared distance of the numbers plus gamma for each category that differs. starts: the first prototypes, numbers then categories; a round moves each prototype to its rows' means and most frequent categories (ties: the least).
 
-    A prototype without rows stays. Rounds end when none moves; only the k prototypes come to the driver.
+    A prototype without rows stays. Rounds end when no row changes its cluster; only the k prototypes come to the driver.
+    Raises if rows still move after `rounds`.
     """
     width = len(numbers)
 
-    def assigned(centres: list[tuple]) -> DataFrame:
+    def nearest(centres: list[tuple]) -> Column:
         def far(c: tuple) -> Column:
             apart = sum(((F.col(x) - float(m)) * (F.col(x) - float(m)) for x, m in zip(numbers, c, strict=False)), F.lit(0.0))
             return apart + gamma * sum((F.when(F.col(x).eqNullSafe(F.lit(m)), 0).otherwise(1) for x, m in zip(categories, c[width:], strict=True)), F.lit(0))
 
-        best = F.array_min(F.array(*(F.struct(far(c).alias("distance"), F.lit(k).alias("cluster")) for k, c in enumerate(centres))))
-        return df.withColumn("_b", best).select(key, *numbers, *categories, F.col("_b.cluster").alias("cluster"), F.col("_b.distance").alias("distance"))
-
-    centres = [tuple(c) for c in starts]
-    for _ in range(rounds):
-        moved = assigned(centres).groupBy("cluster").agg(*(F.avg(x).alias(x) for x in numbers), *(F.mode(x, True).alias(x) for x in categories))
-        found = {r["cluster"]: tuple(r[x] for x in (*numbers, *categories)) for r in moved.collect()}
-        new = [found.get(k, c) for k, c in enumerate(centres)]
-        if new == centres:
-            break
-        centres = new
-    return assigned(centres).select(key, "cluster", "distance")
+        return F.array_min(F.array(*(F.struct(far(c).alias("distance"), F.lit(k).alias("cluster")) for k, c in enumerate(centres))))
+
+    centres, before = [tuple(c) for c in starts], None
+    for _ in range(rounds + 1):
+        was = nearest(before)["cluster"] if before else F.lit(-1)
+        rows = df.select(key, *numbers, *categories, nearest(centres).alias("_b"), was.alias("_was")).withColumn("cluster", F.col("_b.cluster"))
+        moved = rows.groupBy("cluster").agg(F.sum((F.col("cluster") != F.col("_was")).cast("long")).alias("_n"), *(F.avg(x).alias(x) for x in numbers), *(F.mode(x, True).alias(x) for x in categories))
+        found = {r["cluster"]: r for r in moved.collect()}
+        if not sum(r["_n"] for r in found.values()):
+            return rows.select(key, "cluster", F.col("_b.distance").alias("distance"))
+        before, centres = centres, [tuple(found[k][x] for x in (*numbers, *categories)) if k in found else c for k, c in enumerate(centres)]
+    raise ValueError(f"rows still move after {rounds} rounds")
 
 
 def relabel(df: DataFrame, label: str, value: str) -> DataFrame:

@@ -70,10 +70,14 @@ def assemble_parameters(params: DataFrame, tied: DataFrame, fixed: DataFrame) ->
     return out.select("name", "kind", F.coalesce("value", "_parent", "default").alias("value"), F.when(F.col("kind") == "tied", F.col("partner")).alias("partner"))
 
 
+#: Widths that rules of rolling medians may have between them.
+MOST_WIDTHS = 100
+
+
 def well_weights(df: DataFrame, well: str, date: str, value: str, cutoffs: DataFrame, medians: DataFrame, default: float = 1.0, least: int = 3, order: str | None = None) -> DataFrame:
     """All rules together: default / count by well, 0 for wells with fewer than `least` rows, 0 after a well's cutoff (well, cutoff), and the new weight where a rolling median of a width of its own exceeds the value by more than the threshold (well, width, threshold, low).
 
-    Raises if a rule names a well without observations.
+    Raises if a rule names a well without observations, or if rules have more than MOST_WIDTHS widths.
     """
     named = cutoffs.select("well").unionByName(medians.select("well")).distinct()
     if missing := named.join(df.select(F.col(well).alias("well")).distinct(), "well", "left_anti").limit(5).collect():
@@ -81,7 +85,10 @@ def well_weights(df: DataFrame, well: str, date: str, value: str, cutoffs: DataF
     out = by_count(df, well, default, least)
     out = out.join(cutoffs.withColumnRenamed("well", well), well, "left").join(medians.withColumnRenamed("well", well), well, "left")
     median = F.lit(None).cast("double")
-    for width in sorted(r[0] for r in medians.select("width").distinct().limit(100).collect()):  # rules are a stated list of a few widths
+    widths = sorted(r[0] for r in medians.select("width").distinct().limit(MOST_WIDTHS + 1).collect())
+    if len(widths) > MOST_WIDTHS:
+        raise ValueError(f"rules with more than {MOST_WIDTHS} widths: each width is a window of its own")
+    for width in widths:
         out = rolling(out, [well], [order or date], value, width, width, "median", f"_m{width}")
         median = F.when(F.col("width") == width, F.col(f"_m{width}")).otherwise(median)
     out = out.withColumn("_median", median)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrostrata.functions import numeric
-from hydrostrata.operators import budget, interpolation, intervals, learning, metrics, relational, spatial, texture, weighting
+from hydrostrata.operators import budget, global_kriging, interpolation, intervals, learning, linkage, metrics, relational, spatial, spectral, texture, weighting
 from hydrostrata.sources import tables
 from hydrostrata.sources.tables import table
 
@@ -84,7 +84,7 @@ def co_krige(spark: SparkSession, d: str) -> DataFrame:
 SELECT qid, round(m + ((ca - c * cb) * (av - m) + (cb - c * ca) * (bv - m)) / (1 - c * c), 7) AS estimate FROM c""")
 def global_simple_krige(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d)
-    return rounded(interpolation.simple_kriging(_targets(p), p.where("pid in (2, 4)"), "v", "exponential", 0.1, 0.9, 0.2), 7, "estimate")
+    return rounded(global_kriging.simple_kriging(_targets(p), p.where("pid in (2, 4)"), "v", "exponential", 0.1, 0.9, 0.2), 7, "estimate")
 
 
 _BINS = f"""{_POINTS}, d AS (SELECT a.v - b.v AS dv, a.px - b.px AS dx, a.py - b.py AS dy, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) AS h FROM pts a JOIN pts b ON a.pid < b.pid)"""
@@ -284,25 +284,67 @@ def mean_coassociation(spark: SparkSession, d: str) -> DataFrame:
 _STARTS = [(0.0, "Brand#11"), (1.0, "Brand#22"), (2.0, "Brand#33")]
 
 
-@query(f"""WITH p AS (SELECT p_partkey, p_retailprice / 977 AS x, p_brand AS b FROM part), s AS (SELECT * FROM (VALUES {', '.join(f"({k}, {x}::DOUBLE, '{b}')" for k, (x, b) in enumerate(_STARTS))}) t(k, x, b)),
- a AS (SELECT p_partkey, p.x, p.b, min((pow(p.x - s.x, 2) + CASE WHEN p.b = s.b THEN 0 ELSE 0.5 END, k)) AS best FROM p, s GROUP BY ALL),
- f AS (SELECT best[2] AS k, b, count(*) AS n FROM a GROUP BY ALL), m AS (SELECT k, arg_min(b, (-n, b)) AS b FROM f GROUP BY 1), g AS (SELECT best[2] AS k, avg(x) AS x FROM a GROUP BY 1),
- c AS (SELECT s.k, coalesce(g.x, s.x) AS x, coalesce(m.b, s.b) AS b FROM s LEFT JOIN g USING (k) LEFT JOIN m USING (k)),
- z AS (SELECT p_partkey, min((pow(p.x - c.x, 2) + CASE WHEN p.b = c.b THEN 0 ELSE 0.5 END, k)) AS best FROM p, c GROUP BY 1)
-SELECT p_partkey, CAST(best[2] AS INTEGER) AS cluster, round(best[1], 9) AS distance FROM z""")
+def _prototype_rounds(n: int) -> str:
+    """CTEs of the rounds: c0 are the starts, z<k> the rows' clusters, c<k + 1> the moved prototypes. Rounds after the last move change nothing."""
+    steps = []
+    for k in range(n):
+        steps.append(f"z{k} AS (SELECT p_partkey, p.x, p.b, min((pow(p.x - c.x, 2) + CASE WHEN p.b = c.b THEN 0 ELSE 0.5 END, k)) AS best FROM p, c{k} c GROUP BY ALL)")
+        steps.append(f"f{k} AS (SELECT best[2] AS k, b, count(*) AS n FROM z{k} GROUP BY ALL), m{k} AS (SELECT k, arg_min(b, (-n, b)) AS b FROM f{k} GROUP BY 1), g{k} AS (SELECT best[2] AS k, avg(x) AS x FROM z{k} GROUP BY 1)")
+        steps.append(f"c{k + 1} AS (SELECT s.k, coalesce(g.x, s.x) AS x, coalesce(m.b, s.b) AS b FROM c{k} s LEFT JOIN g{k} g USING (k) LEFT JOIN m{k} m USING (k))")
+    return ", ".join(steps)
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_retailprice / 977 AS x, p_brand AS b FROM part), c0 AS (SELECT * FROM (VALUES {', '.join(f"({k}, {x}::DOUBLE, '{b}')" for k, (x, b) in enumerate(_STARTS))}) t(k, x, b)), {_prototype_rounds(25)}
+SELECT p_partkey, CAST(best[2] AS INTEGER) AS cluster, round(best[1], 8) AS distance FROM z24""")
 def prototype_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") / 977).alias("x"), F.col("p_brand").alias("b"))
-    return rounded(learning.k_prototypes(rows, "p_partkey", ["x"], ["b"], _STARTS, 0.5, 1), 9, "distance")
+    return rounded(learning.k_prototypes(rows, "p_partkey", ["x"], ["b"], _STARTS, 0.5, 24), 8, "distance")
 
 
-_LOCS = [0.0, 0.25, 0.5, 0.75]
+def _location_rounds(steps: int, rounds: int, margin: float) -> str:
+    """CTEs of the same bracket: t<k> the candidates of a round, o<k> the likeliest of each."""
+    out = [f"a0 AS (SELECT p_brand, lo, n, ln({margin}) AS a, 0.0::DOUBLE AS b FROM (SELECT p_brand, min(v) AS lo, max(v) AS hi, count(*) AS n FROM p GROUP BY 1) WHERE hi > lo)"]
+    for k in range(rounds):
+        out.append(f"t{k} AS (SELECT p_brand, n, a, b, j, lo, exp(a + (b - a) * (j / {steps}::DOUBLE)) * lo AS gap FROM a{k}, range({steps + 1}) r(j))")
+        out.append(f"l{k} AS (SELECT p_brand, j, any_value(n) AS n, any_value(a) AS a, any_value(b) AS b, any_value(lo) AS lo, avg(ln(v - lo + gap)) AS mu, stddev_pop(ln(v - lo + gap)) AS sigma FROM t{k} JOIN p USING (p_brand) GROUP BY 1, 2)")
+        out.append(f"o{k} AS (SELECT * FROM l{k} QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY -ln(sigma) - mu DESC, j DESC) = 1)")
+        out.append(f"a{k + 1} AS (SELECT p_brand, lo, n, a + (b - a) * greatest(j - 1, 0) / {steps} AS a, a + (b - a) * least(j + 1, {steps}) / {steps} AS b, a + (b - a) * j / {steps} AS t, mu, sigma FROM o{k})")
+    return ", ".join(out)
 
 
-@query(f"""WITH p AS (SELECT p_type, p_retailprice AS v, min(p_retailprice) OVER (PARTITION BY p_type) AS low FROM part), c AS (SELECT p_type, f, max(low) AS low, count(*) AS n, avg(ln(v - f * low)) AS mu, stddev_pop(ln(v - f * low)) AS sigma FROM p, (SELECT unnest({_LOCS})::DOUBLE AS f) GROUP BY 1, 2)
-SELECT p_type, n, round(f * low, 6) AS loc, round(mu, 8) AS mu, round(sigma, 8) AS sigma, round(exp(mu), 5) AS scale FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY -ln(sigma) - mu DESC, f) AS k FROM c) WHERE k = 1""")
+@query(f"""WITH p AS (SELECT p_brand, p_retailprice AS v FROM part), {_location_rounds(16, 9, 0.001)}
+SELECT p_brand, n, round(lo - exp(t) * lo, 1) AS loc, round(mu, 3) AS mu, round(sigma, 3) AS sigma, round(exp(mu)) AS scale FROM a9""")
 def bounded_lognormal(spark: SparkSession, d: str) -> DataFrame:
-    out = learning.bounded_lognormal_fit(table(spark, d, "part"), ["p_type"], "p_retailprice", _LOCS)
-    return rounded(rounded(rounded(out, 6, "loc"), 8, "mu", "sigma"), 5, "scale")
+    out = learning.bounded_lognormal_fit(table(spark, d, "part"), ["p_brand"], "p_retailprice")
+    return rounded(rounded(rounded(out, 1, "loc"), 3, "mu", "sigma"), 0, "scale")
+
+
+@query("""WITH r AS (SELECT s_suppkey AS id, 1 AS run, s_nationkey AS label FROM supplier UNION ALL SELECT s_suppkey, 2, CAST(s_suppkey % 7 AS INTEGER) FROM supplier UNION ALL SELECT s_suppkey, 3, CAST(s_suppkey % 2 AS INTEGER) FROM supplier)
+SELECT id, round(median(k / 3), 9) AS similarity FROM (SELECT a.id, b.id AS other, sum(CASE WHEN a.label = b.label THEN 1 ELSE 0 END) AS k FROM r a JOIN r b USING (run) GROUP BY 1, 2) GROUP BY 1""")
+def median_coassociation(spark: SparkSession, d: str) -> DataFrame:
+    labels = {1: F.col("s_nationkey"), 2: (F.col("s_suppkey") % 7).cast("int"), 3: (F.col("s_suppkey") % 2).cast("int")}
+    runs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(F.array(*(F.struct(F.lit(k).alias("run"), c.alias("label")) for k, c in labels.items()))).alias("r")).select("id", "r.run", "r.label")
+    return rounded(learning.median_coassociation(runs), 9, "similarity")
+
+
+@query()
+def linkage_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Complete linkage of the points, cut where clusters would be wider than 0.05: only pairs up to that are listed."""
+    p = _points(spark, d).select("pid", "px", "py")
+    near = spatial.within_radius(p.select(F.col("pid").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy")), p, 0.05).where("qid < pid")
+    nodes = p.select(F.col("pid").alias("id"))
+    merges = linkage.complete_linkage(nodes, near.select(F.col("qid").alias("a"), F.col("pid").alias("b"), F.sqrt("d2").alias("distance")))
+    return linkage.cut_tree(nodes, merges, height=0.05)
+
+
+@query()
+def trade_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Nations by the leading eigenvectors of how often they trade with each other."""
+    sold = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    pairs = sold.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.count("*").cast("double").alias("w"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    _, found = spectral.spectral_embedding(both, 2, 1e-7)
+    return rounded(found.select(F.col("id").alias("nation"), F.col("vector")[0].alias("first"), F.col("vector")[1].alias("second")), 6, "first", "second")
 
 
 @query(f"""WITH {_POINTS}, t AS (SELECT pid, px * sin(radians(30)) + py * cos(radians(30)) AS a, (px * cos(radians(30)) - py * sin(radians(30))) / 0.4 AS b FROM pts),
