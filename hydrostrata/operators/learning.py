@@ -220,6 +220,56 @@ def k_prototypes(df: DataFrame, key: str, numbers: list[str], categories: list[s
     raise ValueError(f"rows still move after {rounds} rounds")
 
 
+def _tuples(df: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
+    """One row for each tuple of categories that occurs: its rows, the means of its numbers, and _density: the mean share of rows that have each of its categories."""
+    from .graph import checkpointed
+
+    out = df.groupBy(*categories).agg(F.count("*").alias("_n"), *(F.avg(x).alias(x) for x in numbers))
+    total = df.count()
+    for i, c in enumerate(categories):
+        share = df.groupBy(F.col(c).alias("_value")).agg((F.count("*") / total).alias(f"_share{i}"))
+        out = out.join(share, F.col(c).eqNullSafe(F.col("_value"))).drop("_value")
+    density = sum((F.col(f"_share{i}") for i in range(len(categories))), F.lit(0.0)) / len(categories)
+    return checkpointed(out.withColumn("_density", density).drop(*(f"_share{i}" for i in range(len(categories)))))
+
+
+def _mismatches(categories: list[str], start: tuple) -> Column:
+    return sum((F.when(F.col(c).eqNullSafe(F.lit(v)), 0).otherwise(1) for c, v in zip(categories, start, strict=True)), F.lit(0))
+
+
+def density_starts(df: DataFrame, numbers: list[str], categories: list[str], k: int) -> list[tuple]:
+    """Starts for k_prototypes from dense tuples of categories that differ: first the densest, then each time the one with the greatest least product of density and mismatches to those before (ties: the least tuple), with the means of its rows' numbers. Fewer where fewer tuples occur; one row a start comes to the driver."""
+    tuples, starts = _tuples(df, numbers, categories), []
+    for _ in range(k):
+        score = F.least(*(F.col("_density") * _mismatches(categories, s[len(numbers) :]) for s in starts)) if len(starts) > 1 else F.col("_density") * (_mismatches(categories, starts[0][len(numbers) :]) if starts else 1)
+        best = tuples.withColumn("_score", F.round(score, 12)).where("_score > 0").orderBy(F.col("_score").desc(), *categories).limit(1).collect()
+        if not best:
+            break
+        starts.append(tuple(best[0][c] for c in (*numbers, *categories)))
+    return starts
+
+
+def frequency_starts(df: DataFrame, numbers: list[str], categories: list[str], k: int, seed: int) -> list[tuple]:
+    """Starts for k_prototypes drawn by frequency: each category's value with the probability of its share of rows, then the tuple not yet taken that differs least from the draw (ties: the one with most rows, then the least); numbers are drawn about their mean with their deviation. Fewer where fewer tuples occur. Draws depend on the seed only."""
+    from .simulation import standard_normal
+
+    tuples, starts = _tuples(df, numbers, categories), []
+    spark = df.sparkSession
+    stats = df.agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(numbers)), *(F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(numbers)), F.count("*").alias("n")).first()
+    upto = [df.groupBy(c).agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))) for c in categories]  # one row a value
+    for j in range(k):
+        rolls = spark.range(1).select(*(draw(F.lit(j), F.lit(i), F.lit(seed)).alias(f"u{i}") for i in range(len(categories))), *(standard_normal(F.lit(j), F.lit(i), F.lit(seed)).alias(f"z{i}") for i in range(len(numbers)))).first()
+        drawn = tuple((r[0][c] if (r := own.where(F.col("_upto") > rolls[f"u{i}"] / float(1 << 28) * stats["n"]).orderBy("_upto").limit(1).collect()) else None) for i, (c, own) in enumerate(zip(categories, upto, strict=True)))
+        left = tuples
+        for s in starts:
+            left = left.where(_mismatches(categories, s[len(numbers) :]) > 0)
+        best = left.orderBy(_mismatches(categories, drawn), F.col("_n").desc(), *categories).limit(1).collect()
+        if not best:
+            break
+        starts.append((*(stats[f"m{i}"] + stats[f"s{i}"] * rolls[f"z{i}"] for i in range(len(numbers))), *(best[0][c] for c in categories)))
+    return starts
+
+
 def relabel(df: DataFrame, label: str, value: str) -> DataFrame:
     """Clusters numbered from 0 by ascending mean."""
     means = df.groupBy(label).agg(F.avg(value).alias("_m"))

@@ -301,6 +301,25 @@ def prototype_clusters(spark: SparkSession, d: str) -> DataFrame:
     return rounded(learning.k_prototypes(rows, "p_partkey", ["x"], ["b"], _STARTS, 0.5, 24), 8, "distance")
 
 
+def _density_picks(n: int) -> str:
+    """CTEs s0, s1, ...: the starts one after the other."""
+    out = []
+    for k in range(n):
+        scores = [f"t.dens * (CASE WHEN t.b = s{j}.b THEN 0 ELSE 1 END + CASE WHEN t.z = s{j}.z THEN 0 ELSE 1 END)" for j in range(k)]
+        score = f"least({', '.join(scores)})" if scores else "t.dens"
+        out.append(f"s{k} AS (SELECT t.* FROM t{''.join(f', s{j}' for j in range(k))} WHERE round({score}, 12) > 0 ORDER BY round({score}, 12) DESC, t.b, t.z LIMIT 1)")
+    return ", ".join(out)
+
+
+@query(f"""WITH p AS (SELECT p_brand AS b, p_size AS z, p_retailprice AS v FROM part), t AS (SELECT b, z, avg(v) AS v, any_value((nb + nz) / 2 / n) AS dens FROM (SELECT *, count(*) OVER (PARTITION BY b) AS nb, count(*) OVER (PARTITION BY z) AS nz, count(*) OVER () AS n FROM p) GROUP BY b, z),
+ {_density_picks(4)} {' UNION ALL '.join(f"SELECT CAST({k} AS INTEGER) AS start, b AS brand, CAST(z AS BIGINT) AS size, round(v, 6) AS price FROM s{k}" for k in range(4))}""")
+def prototype_starts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_brand", "p_size", "p_retailprice")
+    starts = learning.density_starts(rows, ["p_retailprice"], ["p_brand", "p_size"], 4)
+    found = spark.createDataFrame([(k, s[1], int(s[2]), float(s[0])) for k, s in enumerate(starts)], "start int, brand string, size long, price double")
+    return rounded(found, 6, "price")
+
+
 def _location_rounds(steps: int, rounds: int, margin: float) -> str:
     """CTEs of the same bracket: t<k> the candidates of a round, o<k> the likeliest of each."""
     out = [f"a0 AS (SELECT p_brand, lo, n, ln({margin}) AS a, 0.0::DOUBLE AS b FROM (SELECT p_brand, min(v) AS lo, max(v) AS hi, count(*) AS n FROM p GROUP BY 1) WHERE hi > lo)"]

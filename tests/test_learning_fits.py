@@ -68,3 +68,36 @@ def test_rules_of_too_many_widths_are_refused(spark, monkeypatch):
     rules = spark.createDataFrame([("w", k, 0.5, 0.1) for k in (3, 5, 7)], "well string, width int, threshold double, low double")
     with pytest.raises(ValueError, match="more than 2 widths"):
         weighting.well_weights(obs, "well", "day", "value", none, rules)
+
+
+def mixed(n, seed):
+    rng = random.Random(seed)
+    return [(k, rng.gauss(0, 2), rng.choice("aaabbc"), rng.choice(["x", "y", "y", None])) for k in range(n)]
+
+
+def test_density_starts(spark):
+    rows = mixed(200, 3)
+    df = spark.createDataFrame(rows, "k long, v double, c string, e string")
+    share = [{x: sum(r[i] == x for r in rows) / 200 for x in {r[i] for r in rows}} for i in (2, 3)]
+    dens = {t: (share[0][t[0]] + share[1][t[1]]) / 2 for t in {r[2:] for r in rows}}
+    far = lambda a, b: sum(x != y for x, y in zip(a, b))
+    first = lambda score: min(dens, key=lambda t: (-round(score(t), 12), t[0], t[1] is not None, t[1] or ""))
+    want = [first(dens.get)]
+    while len(want) < 5:
+        want.append(first(lambda t: min(dens[t] * far(t, s) for s in want)))
+    got = learning.density_starts(df, ["v"], ["c", "e"], 5)
+    assert [s[1:] for s in got] == want
+    assert all(s[0] == pytest.approx(statistics.mean(r[1] for r in rows if r[2:] == s[1:])) for s in got)
+    assert len(learning.density_starts(df, ["v"], ["c", "e"], 50)) == len(dens) and learning.density_starts(df.where("false"), ["v"], ["c", "e"], 3) == []
+    settled = learning.k_prototypes(df, "k", ["v"], ["c", "e"], got, 0.5, 40)
+    assert settled.count() == 200
+
+
+def test_frequency_starts(spark):
+    df = spark.createDataFrame(mixed(200, 4), "k long, v double, c string, e string")
+    runs = [learning.frequency_starts(df.repartition(3), ["v"], ["c", "e"], 3, seed) for seed in range(6)]
+    assert [s[1:] for s in runs[2]] == [s[1:] for s in learning.frequency_starts(df, ["v"], ["c", "e"], 3, 2)]
+    assert all(len({s[1:] for s in run}) == 3 for run in runs) and len({tuple(s[1:] for s in run) for run in runs}) > 2
+    firsts = [run[0][1] for run in runs]
+    assert firsts.count("a") >= firsts.count("c")  # frequent values are drawn more often
+    assert learning.frequency_starts(df.where("false"), ["v"], ["c", "e"], 2, 1) == []
