@@ -37,6 +37,22 @@ def json_dict(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return arrays.select(F.to_json(F.create_map(F.col(key).cast("string"), F.col("v"))).alias("value"))
 
 
+def well_log(df: DataFrame, name: str, x: str, y: str, land: str, top: str, depth: str, classes: list[str], missing: float = -999.0) -> DataFrame:
+    """(Name, ID, n, X, Y, Zland, Depth, classes): the rows of a well-log file, wells numbered by name and each well's intervals, from the shallowest, by their lower ends.
+
+    Where an interval begins below the end of the one before (or below 0), a row to its upper end with missing classes
+    fills the gap; null classes are missing too. Rows without name or depth are left out.
+    """
+    rows = df.where(F.col(name).isNotNull() & F.col(depth).isNotNull())
+    ids = rows.select(F.col(name).alias("Name")).distinct().withColumn("ID", F.row_number().over(Window.orderBy("Name")))  # one row a well
+    well = Window.partitionBy(name).orderBy(depth, top)
+    end = F.coalesce(F.lag(depth).over(well), F.lit(0.0))
+    kept = rows.select(F.col(name).alias("Name"), *(F.col(c).cast("double").alias(n) for c, n in ((x, "X"), (y, "Y"), (land, "Zland"), (top, "_top"), (depth, "Depth"))), end.cast("double").alias("_end"), *(F.coalesce(F.col(c).cast("double"), F.lit(missing)).alias(c) for c in classes))
+    gaps = kept.where("_top > _end").withColumns({"Depth": F.col("_top"), **{c: F.lit(missing) for c in classes}})
+    n = F.row_number().over(Window.partitionBy("Name").orderBy("Depth", "_top"))
+    return kept.unionByName(gaps).withColumn("n", n).join(ids, "Name").select("Name", "ID", "n", "X", "Y", "Zland", "Depth", *classes)
+
+
 def layer_wide(df: DataFrame, by: list[str], layers: list[int], value: str) -> DataFrame:
     """One column a layer, missing values as -999."""
     wide = df.groupBy(*by).pivot("layer", layers).agg(F.first(value, True))

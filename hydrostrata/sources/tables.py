@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -123,3 +126,39 @@ def regular_grid(spark: SparkSession, rows: int, cols: int, x0: float, y0: float
     """(row, col, x, y): cell centres of a regular grid, rows from the top y0 downwards."""
     cells = spark.range(rows * cols).select((F.floor(F.col("id") / cols) + 1).cast("int").alias("row"), (F.col("id") % cols + 1).cast("int").alias("col"))
     return cells.withColumns({"x": F.lit(x0) + (F.col("col") - 0.5) * dx, "y": F.lit(y0) - (F.col("row") - 0.5) * dy})
+
+
+#: Include statements that one set of block input may hold; they name files and so pass the driver.
+MOST_INCLUDES = 1000
+
+
+def spliced_lines(spark: SparkSession, path: str, keyword: str = "EXTERNAL") -> DataFrame:
+    """(place: array that orders the lines, file, line_no, line) of a text file with the lines of the files that it includes in the place of the statements: lines whose first word begins with the keyword and whose second one is a path, taken from the folder of the file that names it.
+
+    Included files may include others: a round reads all files that the round before has named. A place is the including
+    line's place with the line's own number behind it. Raises if a file includes itself, directly or not, if it can't be
+    found, or if a round names more than MOST_INCLUDES files.
+    """
+    words = F.split(stripped(F.col("line")), r"\s+")
+    statement = F.upper(F.element_at(words, 1)).startswith(keyword) & (F.size(words) > 1) & ~F.col("line").rlike(r"^\s*[#*]")
+    lines = numbered_lines(spark, path).select(F.array("line_no").alias("place"), F.array("file").alias("chain"), "file", "line_no", "line")
+    out = None
+    while True:
+        kept = lines.where(~F.coalesce(statement, F.lit(False))).select("place", "file", "line_no", "line")
+        out = kept if out is None else out.unionByName(kept)
+        named = lines.where(statement).select("place", "chain", "file", F.element_at(words, 2).alias("target")).limit(MOST_INCLUDES + 1).collect()
+        if not named:
+            return out
+        if len(named) > MOST_INCLUDES:
+            raise ValueError(f"more than {MOST_INCLUDES} included files")
+        rows = []
+        for r in named:
+            store, place = re.fullmatch(r"([^/]*:(?://[^/]*)?)?(/.*)", r["file"]).groups(default="")
+            target = r["target"].strip("'\"")
+            whole = target if "://" in target else store + posixpath.normpath(posixpath.join(posixpath.dirname(place), target))
+            if whole in r["chain"]:
+                raise ValueError(f"{whole} includes itself")
+            rows.append((r["place"], r["chain"] + [whole], whole))
+        asked = spark.createDataFrame(rows, "above array<long>, chain array<string>, file string")
+        found = numbered_lines(spark, sorted({r[2] for r in rows}))
+        lines = found.join(F.broadcast(asked), "file").select(F.concat("above", F.array("line_no")).alias("place"), "chain", "file", "line_no", "line")
