@@ -13,8 +13,9 @@ Steps, each a Spark shuffle of packed arrays:
   1. documents send their keys to hash parts; parts answer with the keys of several documents. A key that one
      batch of documents already shares is answered there and sent once, so a very common key costs its part one
      entry a batch.
-  2. documents send the phrases of shared keys, each distinct phrase of a batch once. Keys that are hot (over
-     HOT senders) are sent as single strings under a hash of their own, which spreads them over all parts.
+  2. documents send the phrases of shared keys, each distinct phrase of a batch once. A key's batches tell how many
+     distinct phrases they hold; keys that are hot (over HOT in all) are sent as single strings under a hash of
+     their own, which spreads them over all parts.
   3. parts index their phrases and answer with spans; documents drop the bytes that spans cover.
 
 Defined cases: a null text is empty; texts under WIDTH bytes are kept whole; a null doc_id comes before all
@@ -34,9 +35,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, mix64, ragged, stored
+from .common import documents, map_batches, mix64, ragged, sliced, stored
 
 WIDTH, GRAM = 50, 16
+#: Phrases under one key, counted once a batch, from which it is hot: some 160 KB, so that a key fits in a block.
 HOT = 2000
 #: Bytes of text that a task condenses at a time; the more, the fewer copies of a key or phrase are sent.
 BATCH = 32 << 20
@@ -44,6 +46,8 @@ BATCH = 32 << 20
 PART_BYTES, BLOCK = 8 << 20, 1 << 20
 #: Strings of a phrase at most; longer ones are cut.
 LONG = 256
+#: Phrases that a task holds as Python values before it sends them.
+FLUSH = 200_000
 FIRST_ID = -(1 << 63)
 _SPAN = WIDTH - GRAM + 1
 _rng = np.random.default_rng(50)
@@ -77,16 +81,29 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
-def runs(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of concatenated documents (doc: number of each byte's document): key, first and last string start of each phrase."""
-    n = len(data) - WIDTH + 1
-    if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes at each position."""
     h, step = _BYTE[data], 1
     for m in _M:  # grams of 2, 4, 8 and 16 bytes
         h = h[:-step] * m + h[step:]
         step *= 2
-    low, step = mix64(h), 1
+    return h
+
+
+def marks(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A mark of each phrase's bytes, to count distinct ones: six grams cover all bytes of a phrase whose key's gram does not recur (84 bytes at most)."""
+    out, reach = np.zeros(len(first), np.uint64), last - first + WIDTH - GRAM
+    for j in range(6):
+        out = mix64(out + h[first + reach * j // 5])
+    return out
+
+
+def runs(data: np.ndarray, doc: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of concatenated documents (doc: number of each byte's document): key, first and last string start of each phrase."""
+    n = len(data) - WIDTH + 1
+    if n < 1:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    low, step = mix64(gram_hashes(data) if h is None else h), 1
     while step * 2 <= _SPAN:
         low = np.minimum(low[:-step], low[step:])
         step *= 2
@@ -154,18 +171,36 @@ def packed_rows(docs: DataFrame) -> DataFrame:
     return map_batches(rows, fn, "doc_id long, tk int, z binary")
 
 
+def phrase_counts(key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Distinct phrases of each distinct key; keys are sorted."""
+    lead = np.ones(len(key), bool)
+    lead[1:] = key[1:] != key[:-1]
+    group = np.cumsum(lead) - 1
+    size = np.bincount(group, minlength=int(lead.sum()))
+    out = np.ones(len(size), np.int64)
+    several = size[group] > 1
+    group, mark = group[several], mark[several]
+    order = np.lexsort((mark, group))
+    group, mark = group[order], mark[order]
+    fresh = np.ones(len(group), bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (mark[1:] != mark[:-1])
+    return np.maximum(out, np.bincount(group[fresh], minlength=len(size)))
+
+
 def send_keys(docs: DataFrame, n_parts: int) -> DataFrame:
     """(part, doc_part, blob): keys to ask about (doc_part null), and answers that a batch gives itself."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column("doc_id").to_numpy()
-        own: list[tuple[np.ndarray, np.ndarray]] = []
+        own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, data, doc, _ in chunks([(x or "").encode() for x in batch.column("text").to_pylist()]):
-            key, first, _ = runs(data, doc)
-            own.append((key, doc[first] + a))
-        key, at = np.concatenate([k for k, _ in own]), np.concatenate([d for _, d in own])
+            h = gram_hashes(data) if len(data) >= WIDTH else None
+            key, first, last = runs(data, doc, h)
+            own.append((key, doc[first] + a, marks(h, first, last) if len(first) else key))
+        key, at, mark = (np.concatenate(x) for x in zip(*own, strict=True))
         order = np.lexsort((ids[at], key))
         key, who = key[order], ids[at][order]
+        weight = phrase_counts(key, mark[order])
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
         key, who = key[fresh], who[fresh]
@@ -182,7 +217,7 @@ def send_keys(docs: DataFrame, n_parts: int) -> DataFrame:
             o = order[a:b]
             parts.append(p)
             doc_parts.append(None)  # steps between sorted ids may pass 2**63 (FIRST_ID): unsigned, and added modulo 2**64
-            blobs.append(pack(check_of(ask[o]), asker[o][:1], narrow(np.diff(asker[o], prepend=asker[o][:1]).view(np.uint64)), shared[o].astype("u1")))
+            blobs.append(pack(check_of(ask[o]), asker[o][:1], narrow(np.diff(asker[o], prepend=asker[o][:1]).view(np.uint64)), shared[o].astype("u1"), narrow(weight[o])))
         for p, d, blob in _answers(part_of(key[several], n_parts), check_of(key[several]), who[several], n_parts):
             parts.append(p)
             doc_parts.append(d)
@@ -213,20 +248,21 @@ def answer_keys(asked: DataFrame, n_parts: int, hot_size: int = HOT) -> DataFram
 
     def answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = key[0].as_py()
-        checks, ids, known, out = [], [], [], []
+        checks, ids, known, weights, out = [], [], [], [], []
         for batch in batches:
             for d, blob in zip(batch.column("doc_part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if d is not None:
                     out.append((d, blob))
                     continue
-                check, base, delta, shared = unpack(blob)
+                check, base, delta, shared, weight = unpack(blob)
                 checks.append(check)
                 ids.append(base[0] + np.cumsum(delta.astype(np.int64)))
                 known.append(shared)
+                weights.append(weight.astype(np.int64))
         if checks:
-            check, who, shared = np.concatenate(checks), np.concatenate(ids), np.concatenate(known)
+            check, who, shared, weight = (np.concatenate(x) for x in (checks, ids, known, weights))
             order = np.lexsort((who, check))
-            check, who, shared = check[order], who[order], shared[order]
+            check, who, shared, weight = check[order], who[order], shared[order], weight[order]
             lead = np.ones(len(check), bool)
             lead[1:] = check[1:] != check[:-1]
             starts = np.flatnonzero(lead)
@@ -234,7 +270,7 @@ def answer_keys(asked: DataFrame, n_parts: int, hot_size: int = HOT) -> DataFram
             several = (who[starts] != who[starts + size - 1]) | (np.maximum.reduceat(shared, starts) > 0)
             hit = np.repeat(several, size)
             out += [(d, blob) for _, d, blob in _answers(np.full(int(hit.sum()), p), check[hit], who[hit], n_parts)]
-            if len(hot := check[starts[size > hot_size]]):  # every document that has them must know
+            if len(hot := check[starts[several & (np.add.reduceat(weight, starts) > hot_size)]]):  # every document that has them must know
                 told = pack(np.empty(0, np.int64), np.full(len(hot), p, np.uint32), hot)
                 out += [(d, told) for d in range(n_parts)]
         if out:
@@ -266,13 +302,33 @@ def keys_by_document(answers: DataFrame) -> DataFrame:
 def send_phrases(rows: DataFrame, n_parts: int) -> DataFrame:
     """(part, doc_part, blob) from (doc_id, tk, z, keys): distinct phrases of shared keys by part, and spans that a batch settles itself."""
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def message(sent: list[tuple], settled: list[tuple]) -> pa.RecordBatch:
+        parts, doc_parts, blobs = [], [], []
+        if sent:
+            own = np.array([x[0] for x in sent], np.uint64)
+            part = part_of(own, n_parts)
+            by_part = np.argsort(part, kind="stable")
+            docs, tk, start = (np.array([x[i] for x in sent], t) for i, t in ((1, np.int64), (2, np.int32), (3, np.int64)))
+            lens = np.array([len(x[4]) for x in sent])
+            for p, lo, hi in _slices(part[by_part]):
+                o = by_part[lo:hi]
+                parts.append(p)
+                doc_parts.append(None)
+                blobs.append(pack(own[o], docs[o], tk[o], narrow(start[o]), narrow(lens[o]), np.frombuffer(b"".join(sent[i][4] for i in o.tolist()), np.uint8)))
+        if settled:
+            for p, d, blob in _spans(*(np.array(x) for x in zip(*settled, strict=True)), n_parts):
+                parts.append(p)
+                doc_parts.append(d)
+                blobs.append(blob)
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(doc_parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "doc_part", "blob"])
+
+    def messages(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, tks = batch.column("doc_id").to_pylist(), batch.column("tk").to_pylist()
         asked = batch.column("keys").to_pylist()
         order = sorted(range(len(ids)), key=ids.__getitem__)
         all_texts = _decoded(batch.column("z"))
         texts = [all_texts[k] for k in order]
-        first_of: dict[bytes, int] = {}  # phrase to its least doc_id in the batch
+        first_of: dict[bytes, int] = {}  # phrase to its least doc_id among those not yet sent
         sent, settled = [], []
         for a, data, doc, begins in chunks(texts):
             key, first, last = runs(data, doc)
@@ -293,28 +349,18 @@ def send_phrases(rows: DataFrame, n_parts: int) -> DataFrame:
                         else:
                             own = int.from_bytes(hashlib.blake2b(phrase, digest_size=8).digest(), "little") if is_hot else int(key[j])
                             sent.append((own, ids[k], tks[k], s, phrase))
-        parts, doc_parts, blobs = [], [], []
-        if sent:
-            own = np.array([x[0] for x in sent], np.uint64)
-            part = part_of(own, n_parts)
-            by_part = np.argsort(part, kind="stable")
-            docs, tk, start = (np.array([x[i] for x in sent], t) for i, t in ((1, np.int64), (2, np.int32), (3, np.int64)))
-            lens = np.array([len(x[4]) for x in sent])
-            for p, lo, hi in _slices(part[by_part]):
-                o = by_part[lo:hi]
-                parts.append(p)
-                doc_parts.append(None)
-                blobs.append(pack(own[o], docs[o], tk[o], narrow(start[o]), narrow(lens[o]), np.frombuffer(b"".join(sent[i][4] for i in o.tolist()), np.uint8)))
-        if settled:
-            for p, d, blob in _spans(*(np.array(x) for x in zip(*settled, strict=True)), n_parts):
-                parts.append(p)
-                doc_parts.append(d)
-                blobs.append(blob)
-        if not parts:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(doc_parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "doc_part", "blob"])
+                    if len(sent) + len(settled) >= FLUSH:
+                        yield message(sent, settled)
+                        sent, settled, first_of = [], [], {}
+        if sent or settled:
+            yield message(sent, settled)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, BATCH // 3):
+                yield from messages(part)
 
-    return map_batches(rows, fn, "part int, doc_part int, blob binary", BATCH // 3)
+    return rows.mapInArrow(fn, "part int, doc_part int, blob binary")
 
 
 def _spans(ids: np.ndarray, tk: np.ndarray, begin: np.ndarray, end: np.ndarray, n_parts: int) -> Iterator[tuple[int, int, bytes]]:

@@ -223,3 +223,33 @@ def test_index_joins_wide_ranks():
     a[0] = 1 << 22
     got = run_index.RunLengthIndex._joined(a, b, c)
     assert np.argsort(got, kind="stable").tolist() == np.lexsort((c, b, a)).tolist()
+
+
+def test_one_common_string_in_very_many_texts(spark):
+    """Texts around one common string shorter than WIDTH: its key is hot by phrases, whatever the number of batches."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = "the one and only stem ...."[:24]
+    around = lambda: "".join(rng.choices(letters, k=25))
+    rows = [(k, around() + common + around()) for k in range(30_000)]
+    rows += [(40_000, "xx" + rows[17][1]), (40_001, rows[17][1][3:70])]
+    asked = run_index.send_keys(frame(spark, rows), 4)
+    weights = [w for r in asked.where("doc_part is null").collect() for w in run_index.unpack(r["blob"])[4].tolist()]
+    assert max(weights) > run_index.HOT  # one batch alone holds that many
+    sent = run_index.keys_by_document(run_index.answer_keys(asked, 4))
+    phrases = run_index.send_phrases(run_index.packed_rows(frame(spark, rows)).join(sent, "doc_id"), 4)
+    per_key = {}
+    for r in phrases.where("doc_part is null").collect():
+        for own in run_index.unpack(r["blob"])[0].tolist():
+            per_key[own] = per_key.get(own, 0) + 1
+    assert max(per_key.values()) <= run_index.HOT
+    got = {r["doc_id"]: r["n_removed"] for r in run_index.removal_digest(frame(spark, rows)).where("n_removed > 0").collect()}
+    assert got == {40_000: 74, 40_001: 67}
+
+
+def test_phrases_sent_in_pieces(spark, monkeypatch):
+    rows = repetitive(3, "ab")
+    want = brute_spans(rows)
+    monkeypatch.setattr(run_index, "FLUSH", 5)
+    got = sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in run_index.removal_digest(frame(spark, rows), 1).collect())
+    assert got == sorted(want)
