@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 
@@ -73,6 +74,29 @@ def test_matches(spark):
     assert decontaminate.clean_documents(frame(spark, docs), table.limit(0)).count() == len(docs)
 
 
+def test_common_beginnings(monkeypatch):
+    """Very many items with one beginning: quick, and with every match that plain alignment finds."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    stem = words(14)
+    items = [f"{stem} {words(4)}" for _ in range(20_000)]
+    picked = [rng.randrange(len(items)) for _ in range(20)]
+    texts = [f"{words(40)} {items[k][:60]}z{items[k][61:]} {words(40)}" for k in picked]
+    began = time.time()
+    found = {(t, k): e for t, k, e, _ in decontaminate.Items(list(range(len(items))), items).search(texts)}
+    assert time.time() - began < 40  # about 5 s; one band at a time took minutes
+    assert all(found[t, k] <= 1 for t, k in enumerate(picked))
+    few = sorted({*picked, *range(0, 20_000, 1000)})
+    want = {(t, k): e for t, x in enumerate(texts) for k in few if (e := edits(items[k].encode(), x.encode())) <= len(items[k]) // 10}
+    assert {x: e for x, e in found.items() if x[1] in few} == want
+    block = decontaminate.Items(few, [items[k] for k in few])
+    whole = block.search(texts)
+    monkeypatch.setattr(decontaminate, "PAIRS", 500)  # texts in groups, and items in groups of a text
+    monkeypatch.setattr(decontaminate, "CELLS", 3000)
+    assert block.search(texts) == whole and {(t, few[k]): e for t, k, e, _ in whole} == want
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
