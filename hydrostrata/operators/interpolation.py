@@ -25,6 +25,31 @@ def apply_weights(weights: DataFrame, values: DataFrame, value: str) -> DataFram
     return weights.join(values.select("pid", value), "pid").groupBy("qid").agg(F.sum(F.col("weight") * F.col(value)).alias("estimate"))
 
 
+def apply_centred(weights: DataFrame, values: DataFrame, targets: DataFrame, value: str, datasets: int, simple: bool = False) -> DataFrame:
+    """(qid, estimate) of every target from weights (qid, pid, dataset, weight) and values (pid, dataset, value); dataset 0 is the estimated one, covariates have numbers below `datasets`.
+
+    Covariates are re-centred to the mean of dataset 0. simple: all values are taken about the mean of their own dataset, and
+    that of dataset 0 is added to the sum. Means are over the values that are not null; a weight on a null value counts as
+    nothing. targets: qid, active; targets that are not active, or have no weights, are null.
+    """
+    means = values.where(F.col("dataset").between(0, datasets - 1)).groupBy("dataset").agg(F.avg(value).alias("_m"))
+    first = means.where("dataset = 0").select(F.col("_m").alias("_m0"))
+    shift = -F.col("_m") if simple else F.col("_m0") - F.col("_m")
+    moved = means.join(F.broadcast(first), F.lit(True), "left").select("dataset", shift.alias("_by"), "_m0")  # `datasets` rows at most
+    used = weights.join(targets.where("active").select("qid"), "qid", "left_semi")
+    summed = used.join(values.select("pid", "dataset", value), ["pid", "dataset"]).join(F.broadcast(moved), "dataset")
+    total = F.sum(F.col("weight") * (F.col(value) + F.col("_by")))
+    estimates = summed.groupBy("qid").agg((total + F.max("_m0") if simple else total).alias("estimate"))
+    return targets.select("qid").join(estimates, "qid", "left")
+
+
+def reapply(estimates: DataFrame, weights: DataFrame, values: DataFrame, changed: DataFrame, value: str) -> DataFrame:
+    """apply_weights anew for the targets that a changed source reaches; the others keep their estimate. changed: pid."""
+    reached = weights.join(changed.select("pid"), "pid", "left_semi").select("qid").distinct()
+    anew = apply_weights(weights.join(reached, "qid", "left_semi"), values, value)
+    return estimates.select("qid", "estimate").join(reached, "qid", "left_anti").unionByName(anew)
+
+
 def kriging_two(neighbours: DataFrame, kind: str, nugget: float, sill: float, reach: float) -> DataFrame:
     """Ordinary kriging weights of exactly two neighbours, in closed form: 1/2 + (c1 - c2) / (2 (C0 - C12))."""
     cov = lambda d: covariance(kind, d, nugget, sill, reach)

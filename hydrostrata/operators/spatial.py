@@ -89,6 +89,35 @@ def cell_lookup(df: DataFrame, x: str, y: str, x0: float, y0: float, dx: float,
     return df.withColumns({"row": F.when(inside, row).cast("int"), "col": F.when(inside, col).cast("int")})
 
 
+def cells_of_points(points: DataFrame, cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(pid, cell, dist): the cell of unequal width that holds each point, or the nearest one whose edge is less than `tolerance` away.
+
+    points: pid, px, py; cells: cell, xmin, xmax, ymin, ymax, in the points' axes, of active cells only. Cells are closed at
+    their lower edges and open at their upper ones; where cells overlap, or edges are equally far, the least cell counts. cell
+    and dist are null where there is none or where a coordinate is null; dist is 0 inside. All cells are offered, not only those with the
+    nearest centres, so a point in a wide cell beside narrow ones is found. A repeated pid is one point, its rows must agree.
+
+    Each cell, widened by the tolerance, is dealt to squares that are at least as wide as it, with a side of a power of two: it
+    covers four at most. A point meets the cells of its own square of each side in use, so it is one equi-join.
+    """
+    wide = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) + 2 * tolerance
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    sized = cells.select("cell", "xmin", "xmax", "ymin", "ymax").where((F.col("xmax") > F.col("xmin")) & (F.col("ymax") > F.col("ymin"))).withColumn("_level", F.ceil(F.log2(wide)).cast("int"))
+    used = sorted(r[0] for r in sized.select("_level").distinct().collect())  # one row a power of two
+    if not used:
+        return points.select("pid").distinct().select("pid", F.lit(None).cast(cells.schema["cell"].dataType).alias("cell"), F.lit(None).cast("double").alias("dist"))
+    square = lambda c, by=0.0: F.floor((F.col(c) + by) / side).cast("long")
+    spans = [F.sequence(square(f"{c}min", -tolerance), square(f"{c}max", tolerance)) for c in "xy"]
+    dealt = sized.withColumn("_bx", F.explode(spans[0])).withColumn("_by", F.explode(spans[1]))
+    asked = points.select("pid", "px", "py").withColumn("_level", F.explode(F.array(*map(F.lit, used)))).withColumns({"_bx": square("px"), "_by": square("py")})
+    far = lambda p, c: F.greatest(F.lit(0.0), F.col(f"{c}min") - F.col(p), F.col(p) - F.col(f"{c}max"))
+    inside = (F.col("px") >= F.col("xmin")) & (F.col("px") < F.col("xmax")) & (F.col("py") >= F.col("ymin")) & (F.col("py") < F.col("ymax"))
+    dist = F.sqrt(far("px", "x") * far("px", "x") + far("py", "y") * far("py", "y"))
+    met = asked.join(dealt, ["_level", "_bx", "_by"], "left").withColumns({"_in": inside, "_d": dist})
+    choice = F.when(F.col("cell").isNotNull() & (F.col("_in") | (F.col("_d") < tolerance)), F.struct((~F.col("_in")).alias("out"), F.col("_d").alias("dist"), F.col("cell").alias("cell")))
+    return met.groupBy("pid").agg(F.min(choice).alias("_c")).select("pid", "_c.cell", "_c.dist")
+
+
 def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     """Ray casting against a literal ring; the ring closes itself."""
     crossings = F.lit(0)

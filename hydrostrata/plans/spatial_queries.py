@@ -114,6 +114,49 @@ def cell_lookup(spark: SparkSession, d: str) -> DataFrame:
     return spatial.cell_lookup(_points(spark, d).select("pid", "px", "py"), "px", "py", -0.3, 0.3, 0.1, 0.1, 6, 6).select("pid", "row", "col")
 
 
+_EDGES = "e AS (SELECT n_nationkey AS i, -0.25 + 0.5 * (n_nationkey * n_nationkey) / 625.0::DOUBLE AS low, -0.25 + 0.5 * ((n_nationkey + 1) * (n_nationkey + 1)) / 625.0::DOUBLE AS high FROM nation)"
+
+
+@query(f"""WITH {_POINTS}, {_EDGES}, c AS (SELECT a.i * 25 + b.i AS cell, a.low AS xmin, a.high AS xmax, b.low AS ymin, b.high AS ymax FROM e a, e b WHERE a.i * b.i % 7 <> 1),
+ d AS (SELECT pid, cell, px >= xmin AND px < xmax AND py >= ymin AND py < ymax AS inside, sqrt(greatest(0, xmin - px, px - xmax) * greatest(0, xmin - px, px - xmax) + greatest(0, ymin - py, py - ymax) * greatest(0, ymin - py, py - ymax)) AS dist FROM pts, c),
+ r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY inside DESC, dist, cell) AS k FROM d WHERE inside OR dist < 0.02)
+SELECT pts.pid, CAST(cell AS BIGINT) AS cell, round(dist, 8) AS dist FROM pts LEFT JOIN r ON r.pid = pts.pid AND k = 1""")
+def irregular_cells(spark: SparkSession, d: str) -> DataFrame:
+    edge = lambda i: F.lit(-0.25) + F.lit(0.5) * (i * i) / F.lit(625.0)
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
+    cells = n.withColumnRenamed("i", "j").crossJoin(n).where("j * i % 7 <> 1")  # 25 by 25 stated edges
+    cells = cells.select((F.col("j") * 25 + F.col("i")).alias("cell"), edge(F.col("j")).alias("xmin"), edge(F.col("j") + 1).alias("xmax"), edge(F.col("i")).alias("ymin"), edge(F.col("i") + 1).alias("ymax"))
+    return rounded(spatial.cells_of_points(_points(spark, d), cells, 0.02), 8, "dist")
+
+
+def _centred_sql(simple: bool) -> str:
+    shift, back = ("- m.m", " + max(m0)") if simple else ("+ m0 - m.m", "")
+    return f"""WITH {_NEAR}, s AS (SELECT pid, pid % 4 // 2 AS dataset, CASE WHEN pid % 4 = 2 THEN 2 * v + 1 ELSE v END AS v FROM pts WHERE pid % 2 = 0),
+ m AS (SELECT dataset, avg(v) AS m FROM s GROUP BY dataset), z AS (SELECT m AS m0 FROM m WHERE dataset = 0),
+ w AS (SELECT qid, pid, CASE WHEN min(d2) OVER (PARTITION BY qid) = 0 THEN CASE WHEN d2 = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d2 END AS w FROM r WHERE rank <= 8),
+ a AS (SELECT qid, round(sum(w * (s.v {shift})) / sum(w){back}, 8) AS estimate FROM w JOIN s USING (pid) JOIN m USING (dataset), z WHERE qid % 6 <> 3 GROUP BY qid)
+SELECT pts.pid AS qid, estimate FROM pts LEFT JOIN a ON a.qid = pts.pid WHERE pts.pid % 2 = 1"""
+
+
+def _centred(spark: SparkSession, d: str, simple: bool) -> DataFrame:
+    p = _points(spark, d)
+    dataset = F.when(F.col("pid") % 4 == 2, 1).otherwise(0).alias("dataset")
+    values = p.where("pid % 2 = 0").select("pid", dataset, F.when(F.col("pid") % 4 == 2, 2 * F.col("v") + 1).otherwise(F.col("v")).alias("v"))
+    weights = interpolation.idw_weights(_near(spark, d, 8)).select("qid", "pid", dataset, "weight")
+    targets = p.where("pid % 2 = 1").select(F.col("pid").alias("qid"), (F.col("pid") % 6 != 3).alias("active"))
+    return rounded(interpolation.apply_centred(weights, values, targets, "v", 2, simple), 8, "estimate")
+
+
+@query(_centred_sql(False))
+def covariate_apply(spark: SparkSession, d: str) -> DataFrame:
+    return _centred(spark, d, False)
+
+
+@query(_centred_sql(True))
+def centred_apply(spark: SparkSession, d: str) -> DataFrame:
+    return _centred(spark, d, True)
+
+
 def _ray(ring: list[tuple[float, float]]) -> str:
     edges = zip(ring, [*ring[1:], ring[0]], strict=True)
     return " + ".join(f"CASE WHEN py >= {min(b, e)!r} AND py < {max(b, e)!r} AND px < {a!r} + (py - {b!r}) * (({c!r} - {a!r}) / ({e!r} - {b!r})) THEN 1 ELSE 0 END" for (a, b), (c, e) in edges if b != e)
