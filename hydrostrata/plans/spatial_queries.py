@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hydrostrata.functions import numeric
 from hydrostrata.operators import interpolation, intervals, relational, simulation, spatial, texture
+from hydrostrata.operators.graph import shared_path
+from hydrostrata.sources import shapefiles
 from hydrostrata.sources.tables import regular_grid, table
 
 from .series_queries import rounded
@@ -129,6 +131,14 @@ def irregular_cells(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.cells_of_points(_points(spark, d), cells, 0.02), 8, "dist")
 
 
+@query(f"WITH {_POINTS} SELECT pid, px, py, v FROM pts")
+def shapefile_points(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "points")
+    shapefiles.write_shapefile(_points(spark, d).select(F.array(F.array(F.struct(F.col("px").alias("x"), F.col("py").alias("y")))).alias("parts"), "pid", "v"), path, "point")
+    place = F.col("parts")[0][0]
+    return shapefiles.shapefile(spark, path).select("pid", place["x"].alias("px"), place["y"].alias("py"), "v")
+
+
 def _centred_sql(simple: bool) -> str:
     shift, back = ("- m.m", " + max(m0)") if simple else ("+ m0 - m.m", "")
     return f"""WITH {_NEAR}, s AS (SELECT pid, pid % 4 // 2 AS dataset, CASE WHEN pid % 4 = 2 THEN 2 * v + 1 ELSE v END AS v FROM pts WHERE pid % 2 = 0),
