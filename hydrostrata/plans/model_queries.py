@@ -348,11 +348,10 @@ def median_coassociation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def linkage_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Complete linkage of the points, cut where clusters would be wider than 0.05: only pairs up to that are listed."""
+    """Complete linkage of the points, cut where clusters would be wider than 0.05."""
     p = _points(spark, d).select("pid", "px", "py")
-    near = spatial.within_radius(p.select(F.col("pid").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy")), p, 0.05).where("qid < pid")
     nodes = p.select(F.col("pid").alias("id"))
-    merges = linkage.complete_linkage(nodes, near.select(F.col("qid").alias("a"), F.col("pid").alias("b"), F.sqrt("d2").alias("distance")))
+    merges = linkage.point_linkage(p, 0.05)
     return linkage.cut_tree(nodes, merges, height=0.05)
 
 
