@@ -153,11 +153,45 @@ def natural_breaks(df: DataFrame, value: str, classes: int, most_values: int = 5
     return df.sparkSession.createDataFrame(list(enumerate(uppers, 1)), "class int, upper double")
 
 
-def coassociation(runs: DataFrame) -> DataFrame:
-    """Share of runs in which two ids have one label; runs: id, run, label. Ids are the rows of one survey, compared within (run, label)."""
+#: Ids in one block, ids of a label in one part, and pairs of ids that one task makes.
+BLOCK, PART, PAIRS = 256, 4096, 20_000_000
+
+
+def coassociation(runs: DataFrame, digits: int | None = None) -> DataFrame:
+    """Share of runs in which two ids have one label, rounded to `digits` if given; runs: id, run, label. Ids are the rows of one survey, compared within (run, label).
+
+    The result has all such pairs, so nothing is kept or shuffled by pair: ids with the same labels in all runs are dealt
+    to blocks, the blocks of a label to parts, and pairs of parts meet in tasks. A pair of blocks counts where the first label that they
+    share meets, and has its share of runs from their labels; only then its pairs of ids are made.
+    """
+    from .graph import checkpointed
+
     n = runs.select("run").distinct().count()
-    other = runs.select(F.col("id").alias("id2"), "run", "label")
-    return runs.join(other, ["run", "label"]).where("id < id2").groupBy("id", "id2").agg((F.count("*") / n).alias("similarity"))
+    # Rows without a value in id, run or label are equal to none.
+    rows = runs.select("id", "run", "label").where("id is not null and run is not null and label is not null").groupBy("id", "run", "label").agg(F.count("*").alias("c"))
+    keys = checkpointed(rows.groupBy("run", "label").agg(F.count("*").alias("_ids")).withColumn("k", F.monotonically_increasing_id()))
+    marks = rows.join(keys.select("run", "label", "k"), ["run", "label"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("t"))
+    marks = checkpointed(marks)
+    sizes = marks.groupBy("t").agg(F.count("*").alias("_n"))
+    blocks = marks.join(sizes, "t").withColumn("_slot", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / BLOCK)))
+    blocks = checkpointed(blocks.groupBy("t", "_slot").agg(F.collect_list("id").alias("ids")).select(F.monotonically_increasing_id().alias("block"), F.col("t.k").alias("ks"), F.col("t.c").alias("cs"), "ids"))
+    parts = F.ceil(F.col("_ids") / PART)
+    total = keys.agg(F.sum(F.col("_ids") * F.col("_ids") / 2)).first()[0] or 0
+    tasks = int(min(max(total // PAIRS, runs.sparkSession.sparkContext.defaultParallelism), 20_000))
+    dealt = blocks.withColumn("k", F.explode("ks")).join(keys.select("k", parts.alias("_parts")), "k").withColumn("_at", F.pmod(F.xxhash64("block"), F.col("_parts")))
+    # A pair of parts (low, high) gets the blocks of both; they meet once, the first from the low one.
+    low = dealt.withColumn("_high", F.explode(F.sequence("_at", F.col("_parts") - 1))).withColumnRenamed("_at", "_low").drop("_parts")
+    high = dealt.withColumn("_low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_at")))).withColumnRenamed("_at", "_high").drop("_parts")
+    high = high.withColumnsRenamed({c: f"{c}2" for c in ("block", "ks", "cs", "ids")})
+    on = ["k", "_low", "_high"]
+    met = low.repartition(tasks, *on).join(high.repartition(tasks, *on).hint("merge"), on).where((F.col("_low") < F.col("_high")) | (F.col("block") <= F.col("block2")))
+    both = F.array_intersect("ks", "ks2")
+    times = lambda x: F.element_at("cs", F.array_position("ks", x).cast("int")) * F.element_at("cs2", F.array_position("ks2", x).cast("int"))
+    share = F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + times(x)) / n
+    share = share if digits is None else F.round(share, digits)  # once a pair of blocks
+    met = met.where(F.array_min(both) == F.col("k")).select("block", "block2", "ids", "ids2", share.alias("similarity"))
+    pairs = met.withColumn("_a", F.explode("ids")).withColumn("_b", F.explode("ids2")).where((F.col("block") != F.col("block2")) | (F.col("_a") < F.col("_b")))
+    return pairs.select(F.least("_a", "_b").alias("id"), F.greatest("_a", "_b").alias("id2"), "similarity")
 
 
 def mean_coassociation(runs: DataFrame) -> DataFrame:

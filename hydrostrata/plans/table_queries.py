@@ -273,7 +273,7 @@ def coassociation(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
     label = {1: F.col("s_nationkey"), 2: (F.col("s_suppkey") % 7).cast("int"), 3: F.floor(F.col("s_acctbal") / 1000).cast("int")}
     runs = s.select("s_suppkey", F.explode(F.array(*(F.struct(F.lit(k).alias("run"), c.alias("label")) for k, c in label.items()))).alias("r")).select(F.col("s_suppkey").alias("id"), "r.run", "r.label")
-    return rounded(learning.coassociation(runs), 9, "similarity")
+    return learning.coassociation(runs, 9)
 
 
 #: Poisson(1) counts of a uniform u.

@@ -101,3 +101,23 @@ def test_frequency_starts(spark):
     firsts = [run[0][1] for run in runs]
     assert firsts.count("a") >= firsts.count("c")  # frequent values are drawn more often
     assert learning.frequency_starts(df.where("false"), ["v"], ["c", "e"], 2, 1) == []
+
+
+def test_coassociation_without_a_shuffle_of_pairs(spark, monkeypatch):
+    from hydrostrata.operators import learning
+
+    for name, v in (("BLOCK", 3), ("PART", 7), ("PAIRS", 40)):
+        monkeypatch.setattr(learning, name, v, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), r, int(x)) for i in range(90) for r in range(4) for x in (rng.integers(0, 3),) if (i + r) % 9] + [(5, 0, 1), (5, 0, 1), (6, 0, 1), (7, 1, None), (None, 1, 1), (8, None, 1), (9, None, 1), (10, 2, 0), (10, 2, 1), (10, 2, 2)]
+    runs = spark.createDataFrame(rows, "id long, run int, label int")
+    seen = {}
+    for i, r, x in rows:
+        for j, q, y in rows:
+            if None not in (i, j, r, q, x, y) and (r, x) == (q, y) and i < j:
+                seen[i, j] = seen.get((i, j), 0) + 1
+    out = learning.coassociation(runs)
+    got = {(r["id"], r["id2"]): r["similarity"] for r in out.collect()}
+    assert len(got) == out.count() and got == {p: k / 5 for p, k in seen.items()}  # a run without a number is a run
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # pairs are neither counted nor shuffled
