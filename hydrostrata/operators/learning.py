@@ -54,10 +54,15 @@ def standardise(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.withColumn("z", (F.col(value) - F.col("_mean")) / F.nullif(F.col("_dev"), F.lit(0.0))).drop(*moments.columns)
 
 
+def _digits(*keys: Column | str) -> Column:
+    """The first seven hexadecimal digits of the md5 of the keys, joined by '-'."""
+    text = F.concat_ws("-", *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys))
+    return F.substring(F.md5(text.cast("binary")), 1, 7)
+
+
 def draw(*keys: Column | str) -> Column:
     """A whole number from 0 to 2**28 - 1 that depends on the keys alone: the first seven hexadecimal digits of the md5 of the keys, joined by '-'."""
-    text = F.concat_ws("-", *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+    return F.conv(_digits(*keys), 16, 10).cast("long")
 
 
 def fold(column: str, folds: int, seed: int) -> Column:
@@ -65,31 +70,41 @@ def fold(column: str, folds: int, seed: int) -> Column:
     return (draw(column, F.lit(seed)) % folds).cast("int")
 
 
-def _poisson(u: Column) -> Column:
-    """Poisson(1) counts by inverting a uniform column."""
-    import math
-
-    out, total = F.lit(0), 0.0
+def _poisson(digits: Column) -> Column:
+    """Poisson(1) counts by inverting a uniform number: seven hexadecimal digits after the point. Digits in text order are numbers in order, so that none is converted."""
+    steps, total = [], 0.0
     for k in range(10):
         total += math.exp(-1) / math.factorial(k)
-        out = out + F.when(u > total, 1).otherwise(0)
+        steps.append(math.floor(total * (1 << 28)))
+    out = F.lit(10)
+    for k in range(9, -1, -1):
+        out = F.when(digits <= f"{steps[k]:07x}", k).otherwise(out)
     return out
 
 
+def _replicates(df: DataFrame, key: list[str], replicates: int, seed: int, name: str) -> DataFrame:
+    """df's rows once a replicate with their counts _k, dealt to the tasks first: a small file is one task's input, but its rows times replicates are not."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    rows = df.repartition(max(2 * tasks, df.rdd.getNumPartitions()))
+    rows = rows.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    return rows.withColumn("_u", _digits(*key, name, F.lit(seed))).withColumn("_k", _poisson(F.col("_u"))).drop("_u")
+
+
 def bootstrap_means(df: DataFrame, by: list[str], key: list[str], value: str, replicates: int, seed: int = 1) -> DataFrame:
     """2.5 and 97.5 percent limits of the mean, by Poisson bootstrap: each row draws its count in each replicate from a hash of its key."""
-    rows = df.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    rows = rows.withColumn("_u", draw(*key, "_r", F.lit(seed)) / float(1 << 28)).withColumn("_k", _poisson(F.col("_u")))
+    rows = _replicates(df.select(*dict.fromkeys([*by, *key, value])), key, replicates, seed, "_r")
     means = rows.groupBy(*by, "_r").agg((F.sum(F.col("_k") * F.col(value)) / F.nullif(F.sum("_k"), F.lit(0))).alias("_m"))
     return means.groupBy(*by).agg(F.expr("percentile(_m, 0.025)").alias("low"), F.expr("percentile(_m, 0.975)").alias("high"), F.avg("_m").alias("mean"))
 
 
-def weighted_regression(df: DataFrame, by: list[str], xs: list[str], y: str, weight: str) -> DataFrame:
-    """Weighted least squares through the origin by group: the normal equations are sums, solved one small system a group."""
+def weighted_regression(df: DataFrame, by: list[str], xs: list[str], y: str, weight: str, positive: bool = False) -> DataFrame:
+    """Weighted least squares through the origin by group: the normal equations are sums, solved one small system a group. positive: only rows with a weight over 0 count, and only groups that have some."""
     import numpy as np
     import pandas as pd
 
     d = len(xs)
+    if positive:  # in the sums, since a filter would work out what the weight is made of anew
+        df = df.withColumn(weight, F.when(F.col(weight) > 0, F.col(weight)))
     sums = [F.sum(F.col(weight) * F.col(xs[i]) * F.col(xs[j])).alias(f"a{i}_{j}") for i in range(d) for j in range(d)] + [F.sum(F.col(weight) * F.col(x) * F.col(y)).alias(f"b{i}") for i, x in enumerate(xs)]
 
     def solve(frames):
@@ -99,16 +114,16 @@ def weighted_regression(df: DataFrame, by: list[str], xs: list[str], y: str, wei
             coef = np.array([np.linalg.lstsq(m, v, rcond=None)[0] for m, v in zip(a, b, strict=True)]).reshape(-1, d)
             yield pd.concat([pdf[by].reset_index(drop=True), pd.DataFrame(coef, columns=[f"coef_{x}" for x in xs])], axis=1)
 
-    grouped = df.groupBy(*by).agg(*sums)
+    grouped = df.groupBy(*by).agg(*sums, F.count(weight).alias("_rows"))
+    grouped = grouped.where("_rows > 0") if positive else grouped
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + "".join(f", `coef_{x}` double" for x in xs)
     return grouped.mapInPandas(solve, schema)
 
 
 def bootstrap_regression(df: DataFrame, by: list[str], key: list[str], xs: list[str], y: str, weight: str, replicates: int, seed: int = 1) -> DataFrame:
     """(by, replicate, coef_x, inverse_x): weighted least squares in each Poisson replicate; replicates with a negative coefficient are left out."""
-    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    rows = rows.withColumn("_u", draw(*key, "replicate", F.lit(seed)) / float(1 << 28)).withColumn("_k", _poisson(F.col("_u")) * F.col(weight)).where("_k > 0")
-    out = weighted_regression(rows, [*by, "replicate"], xs, y, "_k")
+    rows = _replicates(df.select(*dict.fromkeys([*by, *key, *xs, y, weight])), key, replicates, seed, "replicate").withColumn("_w", F.col("_k") * F.col(weight))
+    out = weighted_regression(rows, [*by, "replicate"], xs, y, "_w", positive=True)
     good = out.where(~F.greatest(*((F.col(f"coef_{x}") < 0) for x in xs)) if len(xs) > 1 else F.col(f"coef_{xs[0]}") >= 0)
     return good.withColumns({f"inverse_{x}": 1 / F.nullif(F.col(f"coef_{x}"), F.lit(0.0)) for x in xs})
 

@@ -1,5 +1,6 @@
 """The located lognormal, prototypes and co-association medians against independent computations."""
 
+import hashlib
 import math
 import random
 import statistics
@@ -121,3 +122,28 @@ def test_coassociation_without_a_shuffle_of_pairs(spark, monkeypatch):
     assert len(got) == out.count() and got == {p: k / 5 for p, k in seen.items()}  # a run without a number is a run
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan  # pairs are neither counted nor shuffled
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bootstrap_regression_draws_once(spark):
+    rows = [(k, k % 2, float(k % 7 + 1), 1.0, 3.0 * (k % 7) + 10, [0.5, 0.0, -1.0, None][k % 4]) for k in range(60)] + [(99, 5, 1.0, 1.0, 2.0, -1.0)]
+    df = spark.createDataFrame(rows, "id long, g int, x double, one double, y double, w double").coalesce(1)
+    out = learning.bootstrap_regression(df, ["g"], ["id"], ["x", "one"], "y", "w", 6, 3)
+    assert _plan(out).count("md5(") == 1  # not once more for each count and for a filter
+    assert "Repartition" in _plan(out)  # one file's rows are one task's, their replicates are not
+    got = {(r["g"], r["replicate"]): (r["coef_x"], r["coef_one"]) for r in out.collect()}
+    limits = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)])
+    for g in (0, 1, 5):
+        for r in range(1, 7):
+            own = [(x, y, w * int((int(hashlib.md5(f"{i}-{r}-3".encode()).hexdigest()[:7], 16) / 2**28 > limits).sum())) for i, h, x, _, y, w in rows if h == g and (w or 0) > 0]
+            own = [(x, y, k) for x, y, k in own if k > 0]
+            if not own:
+                assert (g, r) not in got
+                continue
+            a = np.array([[x, 1.0] for x, *_ in own]) * np.sqrt([[k] for *_, k in own])
+            want = np.linalg.lstsq(a, np.array([y for _, y, _ in own]) * np.sqrt([k for *_, k in own]), rcond=None)[0]
+            if min(want) > 1e-6:
+                assert np.allclose(got[g, r], want)
