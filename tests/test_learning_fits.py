@@ -147,3 +147,16 @@ def test_bootstrap_regression_draws_once(spark):
             want = np.linalg.lstsq(a, np.array([y for _, y, _ in own]) * np.sqrt([k for *_, k in own]), rcond=None)[0]
             if min(want) > 1e-6:
                 assert np.allclose(got[g, r], want)
+
+
+def test_bootstrap_means_of_one_file(spark):
+    df = spark.createDataFrame([(k, k % 2, float(k)) for k in range(50)], "id long, g int, v double").coalesce(1)
+    out = learning.bootstrap_means(df, ["g"], ["id"], "v", 8)
+    assert "Repartition" in _plan(out) and "conv(" not in _plan(out) and _plan(out).count("md5(") == 1
+    limits = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)])
+    for row in out.collect():
+        means = []
+        for r in range(1, 9):
+            k = {i: int((int(hashlib.md5(f"{i}-{r}-1".encode()).hexdigest()[:7], 16) / 2**28 > limits).sum()) for i in range(50) if i % 2 == row["g"]}
+            means.append(sum(i * n for i, n in k.items()) / sum(k.values()))
+        assert np.isclose(row["mean"], np.mean(means)) and np.isclose(row["low"], np.quantile(means, 0.025)) and np.isclose(row["high"], np.quantile(means, 0.975))
