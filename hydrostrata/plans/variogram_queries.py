@@ -29,10 +29,9 @@ def query(sql: str):
     return add
 
 
-def _field(spark: SparkSession, d: str, name: str) -> DataFrame:
-    p = _points(spark, d)
-    value = {"wave": F.sin(14 * F.col("px")) + F.cos(9 * F.col("py")) + 0.2 * F.col("v"), "plain": F.col("v"), "level": F.lit(1.5)}[name]
-    return p.select("pid", "px", "py", value.alias("v"))
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    value = {"wave": F.sin(14 * F.col("px")) + F.cos(9 * F.col("py")) + 0.2 * F.col("v"), "plain": F.col("v"), "level": F.lit(1.5)}
+    return _points(spark, d).select("pid", "px", "py", *(value[name].alias(name) for name in _FIELDS))
 
 
 _PTS = """pts AS (SELECT vec_id AS pid, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py, embedding[3]::DOUBLE AS v FROM embeddings),
@@ -63,8 +62,8 @@ _ALL_BINS = f"g AS (SELECT field AS grp, avg(dv * dv) / 2 AS g, count(*)::DOUBLE
 
 
 def _fits(spark: SparkSession, d: str, kind: str, weights: str = "pairs") -> DataFrame:
-    bins = [interpolation.empirical_variogram(_field(spark, d, name), "v", _LAG, _BINS).withColumn("field", F.lit(name)) for name in _FIELDS]
-    return variogram.fit_variogram(bins[0].unionByName(bins[1]).unionByName(bins[2]), kind, ["field"], weights)
+    bins = interpolation.empirical_variograms(_fields(spark, d), list(_FIELDS), _LAG, _BINS).withColumnRenamed("value", "field")
+    return variogram.fit_variogram(bins, kind, ["field"], weights)
 
 
 @query(f"WITH {_PTS}, {_ALL_BINS},\n {_fit_sql('spherical')}\nSELECT grp AS field, round(reach, 4) AS reach, round(scale, 4) AS scale, round(nugget, 6) AS nugget, round(sill, 6) AS sill, round(r2, 6) AS r2, at_bound FROM fit")
@@ -85,9 +84,8 @@ _DIRECTED = ", ".join(["e AS (" + " UNION ALL ".join(f"SELECT '{n}' AS grp, dv,
 
 @query(f"WITH {_PTS}, {_DIRECTED},\n {_fit_sql('spherical')}\nSELECT f.grp AS direction, round(f.reach / m.reach, 4) AS ratio FROM fit f, fit m WHERE m.grp = 'north'")
 def variogram_anisotropy(spark: SparkSession, d: str) -> DataFrame:
-    p = _field(spark, d, "wave")
-    north, east = (interpolation.directional_variogram(p, "v", _LAG, _BINS, a, 30.0).withColumn("direction", F.lit(n)) for n, a in _DIRECTIONS.items())
-    fits = variogram.fit_variogram(north.unionByName(east), "spherical", ["direction"])
+    bins = interpolation.directional_variograms(_fields(spark, d), "wave", _LAG, _BINS, _DIRECTIONS, 30.0)
+    fits = variogram.fit_variogram(bins, "spherical", ["direction"])
     return rounded(variogram.anisotropy(fits, [], "direction", "north"), 4, "ratio")
 
 

@@ -1,5 +1,7 @@
 """Fitted variograms against an independent search, and the layout of their block."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,28 @@ def test_block_layout(spark):
         "  CLASS Sand", "           1    Sph    0.013   0.250    1.50E+04       3.00E+04  45.0    16", "           2    Exp    0.000   1.000    1.00E+00       2.00E+00  0.0    16",
         "END VARIOGRAMS",
     ]
+
+
+def test_pairs_are_summed_in_tasks(spark, monkeypatch):
+    from hydrostrata.operators import interpolation
+
+    monkeypatch.setattr(interpolation, "BLOCK", 40, raising=False)
+    rng = np.random.default_rng(6)
+    rows = [(k, float(x), float(y), None if k % 17 == 0 else float(v)) for k, (x, y, v) in enumerate(rng.normal(0, 0.2, (300, 3)))]
+    rows += [(300, rows[1][1], rows[1][2], 4.0), (301, None, 0.0, 1.0), (302, float("nan"), 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "pid long, px double, py double, v double")
+    for azimuth in (None, 90.0):
+        out = interpolation.empirical_variogram(df, "v", 0.03, 5) if azimuth is None else interpolation.directional_variogram(df, "v", 0.03, 5, azimuth, 30.0)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" in plan and "d2" not in plan  # blocks of points meet, pairs are no rows
+        bins = {}
+        for i, x, y, v in rows[:301]:
+            for j, p, q, u in rows[:i]:
+                h = math.sqrt((x - p) * (x - p) + (y - q) * (y - q))
+                if h * h <= 0.15 * 0.15 and int(h / 0.03) < 5 and (azimuth is None or (h > 0 and abs(x - p) >= h * math.cos(math.radians(30)))):
+                    bins.setdefault(int(h / 0.03), []).append((h, None if None in (u, v) else (u - v) ** 2))
+        got = {r["bin"]: (r["pairs"], r["distance"], r["gamma"]) for r in out.collect()}
+        assert set(got) == set(bins)
+        for b, own in bins.items():
+            squares = [s for _, s in own if s is not None]
+            assert got[b][0] == len(own) and np.allclose(got[b][1:], (np.mean([h for h, _ in own]), np.mean(squares) / 2))
