@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostrata.operators import metrics, relational, series, weighting
+from hydrostrata.operators import metrics, quantiles, relational, series, weighting
 from hydrostrata.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -222,8 +222,9 @@ def distribution_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, median(o_totalprice) AS median, round(quantile_cont(o_totalprice, 0.05), 6) AS p05, round(quantile_cont(o_totalprice, 0.95), 6) AS p95, round(stddev_pop(o_totalprice), 4) AS sd_pop FROM orders")
 def global_statistics(spark: SparkSession, d: str) -> DataFrame:
-    v = "o_totalprice"
-    return table(spark, d, "orders").agg(F.round(F.sum(v), 2).alias("total"), F.round(F.avg(v), 4).alias("mean"), F.expr(f"percentile({v}, 0.5)").alias("median"), F.round(F.expr(f"percentile({v}, 0.05)"), 6).alias("p05"), F.round(F.expr(f"percentile({v}, 0.95)"), 6).alias("p95"), F.round(F.stddev_pop(v), 4).alias("sd_pop"))
+    v, orders = "o_totalprice", table(spark, d, "orders")
+    median, p05, p95 = (F.lit(q).cast("double") for q in quantiles.quantiles(orders, v, [0.5, 0.05, 0.95]))
+    return orders.agg(F.round(F.sum(v), 2).alias("total"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("sd_pop")).select("total", "mean", median.alias("median"), F.round(p05, 6).alias("p05"), F.round(p95, 6).alias("p95"), "sd_pop")
 
 
 @query(f"WITH {_OBS} SELECT l_orderkey, obs, round(pow(wt * (obs - sim) / 1000, 2), 5) AS phi FROM obs WHERE wt <> 0 ORDER BY pow(wt * (obs - sim) / 1000, 2) DESC, l_orderkey, obs LIMIT 10")

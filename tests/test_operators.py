@@ -365,3 +365,10 @@ def test_density_clusters_of_dense_points(spark, monkeypatch):
         assert {r["pid"]: (r["cluster"], r["core"]) for r in got.collect()} == want
         pairs = sum(map(len, close.values()))
         assert max(sizes) < 4 * len(pts) < pairs
+
+
+def test_global_statistics_ship_no_distinct_values(spark, sf_dir):
+    from hydrostrata.plans import series_queries
+
+    plan = series_queries.global_statistics(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
