@@ -83,11 +83,15 @@ def _poisson(digits: Column) -> Column:
 
 
 def _replicates(df: DataFrame, key: list[str], replicates: int, seed: int, name: str) -> DataFrame:
-    """df's rows once a replicate with their counts _k, dealt to the tasks first: a small file is one task's input, but its rows times replicates are not."""
+    """df's rows once a replicate with their counts _k, dealt to the tasks first: a small file is one task's input, but its rows times replicates are not.
+
+    A count is that of the digits of (key, replicate, seed). The text of a row's key is made once, and that of replicate and seed is a constant, so that a draw puts two texts together.
+    """
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    rows = df.repartition(max(2 * tasks, df.rdd.getNumPartitions()))
-    rows = rows.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return rows.withColumn("_u", _digits(*key, name, F.lit(seed))).withColumn("_k", _poisson(F.col("_u"))).drop("_u")
+    rows = df.repartition(max(2 * tasks, df.rdd.getNumPartitions())).withColumn("_own", F.concat_ws("-", *(F.col(k).cast("string") for k in key), F.lit("")))
+    draws = F.inline(F.array(*(F.struct(F.lit(k), F.lit(f"{k}-{seed}")) for k in range(1, replicates + 1))))
+    digits = F.substring(F.md5(F.concat("_own", "_end").cast("binary")), 1, 7)
+    return rows.select("*", draws.alias(name, "_end")).withColumn("_u", digits).withColumn("_k", _poisson(F.col("_u"))).drop("_own", "_end", "_u")
 
 
 def bootstrap_means(df: DataFrame, by: list[str], key: list[str], value: str, replicates: int, seed: int = 1) -> DataFrame:

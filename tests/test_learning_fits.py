@@ -160,3 +160,17 @@ def test_bootstrap_means_of_one_file(spark):
             k = {i: int((int(hashlib.md5(f"{i}-{r}-1".encode()).hexdigest()[:7], 16) / 2**28 > limits).sum()) for i in range(50) if i % 2 == row["g"]}
             means.append(sum(i * n for i, n in k.items()) / sum(k.values()))
         assert np.isclose(row["mean"], np.mean(means)) and np.isclose(row["low"], np.quantile(means, 0.025)) and np.isclose(row["high"], np.quantile(means, 0.975))
+
+
+def test_bootstrap_makes_a_key_text_once_a_row(spark):
+    rows = [(k, None if k % 5 == 0 else f"s{k % 3}", None if k % 7 == 0 else k, float(k)) for k in range(40)]
+    out = learning.bootstrap_means(spark.createDataFrame(rows, "id long, a string, b int, v double"), [], ["a", "b"], "v", 5, 9)
+    plan = _plan(out)
+    assert plan.index("Generate") < plan.index("concat_ws")  # below the step that replicates the rows
+    limits = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)])
+    means = []
+    for r in range(1, 6):
+        k = [int((int(hashlib.md5("-".join(str(x) for x in (a, b, r, 9) if x is not None).encode()).hexdigest()[:7], 16) / 2**28 > limits).sum()) for _, a, b, _ in rows]
+        means.append(sum(n * v for n, (*_, v) in zip(k, rows)) / sum(k))
+    row = out.first()
+    assert np.isclose(row["mean"], np.mean(means)) and np.isclose(row["low"], np.quantile(means, 0.025)) and np.isclose(row["high"], np.quantile(means, 0.975))
