@@ -112,3 +112,36 @@ def test_pairs_are_summed_in_tasks(spark, monkeypatch):
         for b, own in bins.items():
             squares = [s for _, s in own if s is not None]
             assert got[b][0] == len(own) and np.allclose(got[b][1:], (np.mean([h for h, _ in own]), np.mean(squares) / 2))
+
+
+def _pairs(rows, lag, bins):
+    """(bin, h, dx, dy, squares: None where a value is missing) of all pairs in reach."""
+    for i, (_, x, y, *v) in enumerate(rows):
+        for _, p, q, *u in rows[:i]:
+            h = math.sqrt((x - p) * (x - p) + (y - q) * (y - q))
+            if h * h <= (lag * bins) ** 2 and int(h / lag) < bins:
+                yield int(h / lag), h, x - p, y - q, [None if None in (a, b) else (a - b) ** 2 for a, b in zip(u, v)]
+
+
+def _some_points(spark, monkeypatch):
+    """Points of many small tiles, some at one place, some without a value."""
+    from hydrostrata.operators import interpolation
+
+    monkeypatch.setattr(interpolation, "BLOCK", 50)
+    monkeypatch.setattr(interpolation, "TILE", 128)
+    rng = np.random.default_rng(3)
+    rows = [(k, float(x), float(y), None if k % 11 == 0 else float(v), float(w)) for k, (x, y, v, w) in enumerate(rng.normal(0, 0.15, (220, 4)))]
+    rows += [(300 + k, rows[k][1], rows[k][2], 1.0, 2.0) for k in range(5)]
+    return interpolation, rows, spark.createDataFrame(rows, "pid long, px double, py double, v double, w double")
+
+
+def test_tiles_of_blocks_in_order(spark, monkeypatch):
+    interpolation, rows, df = _some_points(spark, monkeypatch)
+    got = {(r["value"], r["bin"]): (r["pairs"], r["distance"], r["gamma"]) for r in interpolation.empirical_variograms(df, ["v", "w"], 0.03, 6).collect()}
+    pairs = list(_pairs(rows, 0.03, 6))
+    assert len(got) == 12
+    for k, name in enumerate(("v", "w")):
+        for b in range(6):
+            own = [p for p in pairs if p[0] == b]
+            squares = [p[4][k] for p in own if p[4][k] is not None]
+            assert got[name, b][0] == len(own) and np.allclose(got[name, b][1:], (np.mean([p[1] for p in own]), np.mean(squares) / 2))
