@@ -145,3 +145,16 @@ def test_tiles_of_blocks_in_order(spark, monkeypatch):
             own = [p for p in pairs if p[0] == b]
             squares = [p[4][k] for p in own if p[4][k] is not None]
             assert got[name, b][0] == len(own) and np.allclose(got[name, b][1:], (np.mean([p[1] for p in own]), np.mean(squares) / 2))
+
+
+def test_tiles_by_direction(spark, monkeypatch):
+    interpolation, rows, df = _some_points(spark, monkeypatch)
+    got = {(r["direction"], r["bin"]): (r["pairs"], r["distance"], r["gamma"]) for r in interpolation.directional_variograms(df, "v", 0.03, 6, {"north": 0.0, "east": 90.0}, 30.0).collect()}
+    pairs, seen = list(_pairs(rows, 0.03, 6)), set()
+    for name, along in (("north", 3), ("east", 2)):
+        for b in range(6):
+            own = [p for p in pairs if p[0] == b and p[1] > 0 and abs(p[along]) >= p[1] * math.cos(math.radians(30))]
+            squares = [p[4][0] for p in own if p[4][0] is not None]
+            seen |= {(name, b)} if own else set()
+            assert not own or (got[name, b][0] == len(own) and np.allclose(got[name, b][1:], (np.mean([p[1] for p in own]), np.mean(squares) / 2)))
+    assert set(got) == seen
