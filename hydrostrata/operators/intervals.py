@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of logs in one task: what is sorted and grouped for them stays in its memory, however many tasks there are.
+ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """df dealt by key to tasks of about ROWS rows, which are counted first. Windows, joins and groups by the same key then stay in the task.
+
+    Spark itself joins partitions by their compressed bytes, of which a task's sorts and groups are many times the size.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+    return df.repartition(tasks, *by)
+
 
 def overlap_join(a: DataFrame, b: DataFrame, on: list[str], width: float | None = None) -> DataFrame:
     """Pairs of intervals (top, bot) of one key that overlap, with the thickness they share.
@@ -81,7 +93,7 @@ def first_below(df: DataFrame, by: list[str], depth: str, classes: list[str], la
 
 
 def class_thickness(logs: DataFrame, pixels: DataFrame, on: list[str], pixel: list[str], label: str, classes: list[str]) -> DataFrame:
-    """Thickness of each class (a column each) by pixel, over the log intervals that overlap it; other labels are left out."""
+    """Thickness of each class (a column each) by pixel, over the log intervals that overlap it; other labels are left out. Large logs and their pixels should be `dealt` by key."""
     pairs = overlap_join(logs.where(F.col(label).isin(classes)), pixels, on)
     return pairs.groupBy(*on, *pixel).agg(*(F.sum(F.when(F.col(label) == c, F.col("thickness")).otherwise(0.0)).alias(c) for c in classes))
 

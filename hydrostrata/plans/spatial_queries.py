@@ -212,8 +212,9 @@ _LOGS = """logs AS (SELECT l_orderkey AS well, n, coalesce(lag(bot) OVER (PARTIT
 
 
 def _logs(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("well"), F.row_number().over(w).alias("n"), F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("bot"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("price"))
+    rows = intervals.dealt(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "well"), ["well"])
+    w = Window.partitionBy("well").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    rows = rows.select("well", F.row_number().over(w).alias("n"), F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("bot"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("flag"), F.col("l_discount").alias("price"))
     return intervals.implicit_tops(rows, ["well"], ["n"], "bot")
 
 

@@ -372,3 +372,16 @@ def test_global_statistics_ship_no_distinct_values(spark, sf_dir):
 
     plan = series_queries.global_statistics(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan
+
+
+def test_logs_are_dealt_by_rows_once(spark, sf_dir, monkeypatch):
+    from hydrostrata.plans.registry import QUERIES
+
+    wells = spark.createDataFrame([(k // 7, float(k)) for k in range(700)], "well long, v double")
+    monkeypatch.setattr(intervals, "ROWS", 50, raising=False)
+    tasks = intervals.dealt(wells, ["well"]).select("well", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == 100 and len({r["task"] for r in tasks}) > 8  # a key is in one task, and tasks are more than the cores
+    assert intervals.dealt(wells, ["well"]).rdd.getNumPartitions() == 14
+    monkeypatch.setattr(intervals, "ROWS", 500)
+    plan = QUERIES["class_thickness"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan  # windows, join and groups need no further shuffle, whose partitions Spark would join by bytes
